@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ordertape.llm.common import crc_of_id, share, shared_value, slices
 
@@ -146,7 +147,7 @@ def _score(text: str | None, table: np.ndarray, profiles: Profiles) -> tuple[str
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its cosine (clipped to 0..1) added."""
     shared = share(docs.sparkSession, profiles)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    schema = StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = symbol_table(), shared_value(shared)
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_ou
                     names=[*part.schema.names, lang_out, score_out],
                 )
 
-    return docs.mapInArrow(run, f"{schema}, `{lang_out}` string, `{score_out}` double")
+    return docs.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:
