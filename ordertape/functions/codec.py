@@ -56,6 +56,29 @@ def parse(raw: Column, delimiter: Column | None = None) -> Column:
     return F.when(parse_error(raw, delimiter).isNull(), fields)
 
 
+def pieces(raw: Column) -> Column:
+    """Every field with its tag (null when it is not a number) and whether it has an ``=``; one pass over the text."""
+    bare = F.regexp_replace(raw, r"[\r\n]+$", "")
+    parts = F.when(F.contains(raw, F.lit(SOH)), F.split(bare, SOH)).when(F.contains(raw, F.lit("|")), F.split(bare, r"\|")).otherwise(F.array(bare))
+    return F.transform(
+        F.filter(parts, lambda x: x != ""),
+        lambda x: F.struct(_tag(x).alias("tag"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value"), F.contains(x, F.lit("=")).alias("eq")),
+    )
+
+
+def pieces_error(found: Column) -> Column:
+    return (
+        F.when(found.isNull() | (F.size(found) == 0), F.lit("empty message"))
+        .when(F.exists(found, lambda p: ~p["eq"]), F.lit("field without ="))
+        .when(F.exists(found, lambda p: p["tag"].isNull()), F.lit("tag is not a number"))
+        .when(F.exists(found, lambda p: p["tag"] <= 0), F.lit("tag is not positive"))
+    )
+
+
+def fields_of(found: Column) -> Column:
+    return F.transform(found, lambda p: F.struct(p["tag"].alias("tag"), p["value"].alias("value")))
+
+
 def has_data_fields(raw: Column) -> Column:
     """Whether a length tag occurs, so that a data value may hold delimiters."""
     return raw.rlike(rf"(^|[\x01|])\s*({'|'.join(map(str, DATA_FIELDS))})\s*=")
@@ -124,12 +147,10 @@ def body_length(fields: Column) -> Column:
 
 def checksum(text: Column) -> Column:
     """Sum of the bytes modulo 256, three digits."""
-    digits = F.hex(_latin(text))
-    pairs = F.sequence(F.lit(1), F.length(digits) - 1, F.lit(2))
-    total = F.aggregate(
-        pairs, F.lit(0).cast("bigint"), lambda acc, k: acc + F.conv(F.substring(digits, k, F.lit(2)), 16, 10).cast("bigint")
-    )
-    return F.lpad((F.when(F.length(digits) > 0, total).otherwise(F.lit(0)) % 256).cast("string"), 3, "0")
+    # ascii() is a character's code point; what ISO-8859-1 lacks counts as a question mark
+    code = lambda c: F.when(F.ascii(c) < 256, F.ascii(c)).otherwise(F.lit(63))
+    total = F.aggregate(F.split(text, ""), F.lit(0), lambda acc, c: acc + F.when(c == "", F.lit(0)).otherwise(code(c)))
+    return F.lpad((total % 256).cast("string"), 3, "0")
 
 
 def checksum_of(fields: Column) -> Column:

@@ -15,7 +15,14 @@ CAPTURED = ("D", "G", "F", "8", "9", "Q")
 def parsed(tape: DataFrame, raw_col: str = "raw", with_data: bool = False) -> DataFrame:
     """``tape`` with ``fields`` (null for a malformed message) and ``parse_error``."""
     raw = F.col(raw_col)
-    return tape.withColumns({"fields": codec.parse_with_data(raw) if with_data else codec.parse(raw), "parse_error": codec.parse_error(raw)})
+    # the pieces are split once and then only referred to
+    pieces = tape.withColumn("__pieces", codec.pieces(raw))
+    checked = pieces.withColumn("parse_error", codec.pieces_error(F.col("__pieces")))
+    fields = F.when(F.col("parse_error").isNull(), codec.fields_of(F.col("__pieces")))
+    if with_data:
+        slow = codec.has_data_fields(raw)
+        fields = F.when(slow, codec.parse_with_data(F.when(slow, raw))).otherwise(fields)
+    return checked.withColumn("fields", fields).drop("__pieces")
 
 
 def lifted(messages: DataFrame, fields_col: str = "fields") -> DataFrame:
