@@ -31,60 +31,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import partitions_for, slices
+from ordertape.llm.common import SLICE_BYTES, partitions_for, slices
 from ordertape.plans import stage
 
 CAPACITY = 2048
 END_ID = 0
 SHARD = 4096
 ISLANDS = 3
-_PLAIN = re.compile(r"([A-Za-z]+)([.,:;!?]?)")
+#: Latin letters that no normal form changes, then at most one mark.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?]?)")
 
 
 class ChunkTokenizer:
-    """Ids of white-space separated chunks, remembered; emptied when it has grown large."""
+    """Ids of white-space separated chunks as packed 32-bit numbers.
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    The first ``most`` different chunks are remembered (frequent ones come early);
+    later ones are tokenised again in each slice of text that holds them.
+    """
+
+    def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.full, self.most, self.known = Tokenizer.from_file(path), most, {}
         self.model = self.full.model
-        #: plain ASCII words skip normaliser and splitter where these leave them alone but for their case
-        probe = "Abcdefghij Zyx, abc!"
-        apart = [i for w in ("abcdefghij", "zyx", ",", "abc", "!") for i in self._model_ids(w)]
-        self.direct = self.full.encode(probe, add_special_tokens=False).ids == apart
-
-    def _model_ids(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word)]
-
-    def ids(self, chunks: list[str]) -> list[np.ndarray]:
-        known, out, rest = self.known, [None] * len(chunks), []
-        for k, chunk in enumerate(chunks):
-            m = _PLAIN.fullmatch(chunk) if self.direct else None
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
+        #: plain Latin words skip normaliser and splitter where these leave them alone but for their case
+        probe = "Abcdefghij Zyx, abc! \u00c9t\u00e9 stra\u00dfe"
+        apart = b"".join(self._word(w) for w in ("abcdefghij", "zyx", ",", "abc", "!", "\u00e9t\u00e9", "stra\u00dfe"))
+        self.direct = self._pack(self.full.encode(probe, add_special_tokens=False).ids) == apart
+
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return self._pack([t.id for t in self.model.tokenize(mapped)])
+
+    def ids(self, chunks: list[str]) -> list[bytes]:
+        out = list(map(self.known.get, chunks))
+        rest, plain = [], _PLAIN.fullmatch
+        for k in [k for k, x in enumerate(out) if x is None]:
+            m = plain(chunks[k]) if self.direct else None
             if m is None:
                 rest.append(k)
                 continue
-            word = m[1].lower()
-            ids = known.get(word)
-            if ids is None:
-                ids = self._model_ids(word)
-                if len(known) >= self.most:
-                    known.clear()
-                known[word] = ids
-            if m[2]:
-                end = known.get(m[2])
-                if end is None:
-                    end = known[m[2]] = self._model_ids(m[2])
-                ids = ids + end
-            out[k] = ids
-        todo = [k for k in rest if chunks[k] not in known]
-        for k, e in zip(todo, self.full.encode_batch_fast([chunks[k] for k in todo], add_special_tokens=False)):
-            if len(known) >= self.most:
-                known.clear()
-            out[k] = known[chunks[k]] = e.ids
-        for k in rest:
-            if out[k] is None:
-                out[k] = known.get(chunks[k]) or self.full.encode(chunks[k], add_special_tokens=False).ids
+            out[k] = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
+            if len(self.known) < self.most:
+                self.known[chunks[k]] = out[k]
+        for k, e in zip(rest, self.full.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
+            out[k] = self._pack(e.ids)
+            if len(self.known) < self.most:
+                self.known[chunks[k]] = out[k]
         return out
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +95,10 @@ class ChunkTokenizer:
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         unique = self.ids(words.dictionary.to_pylist())
-        size = np.array([len(u) for u in unique] + [0], np.int64)
-        flat = np.array([i for u in unique for i in u], np.uint32)
+        size = np.array([*map(len, unique), 0], np.int64) // 4
+        flat = np.frombuffer(b"".join(unique), "<u4")
         start = np.concatenate(([0], np.cumsum(size[:-1])))
-        index = words.indices.to_numpy().astype(np.int64)
+        index = words.indices.to_numpy()
         lengths = size[index]
         ends = np.cumsum(lengths)
         at = np.repeat(start[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
@@ -110,10 +111,15 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     """``(doc_id, copy, piece, start, length, ids_crc32)``; ``copy`` numbers rows so that repeated ids stay apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one tokenizer per task; forked workers keep none
-        tok = ChunkTokenizer(tokenizer)
+        # a worker process keeps its tokenizer and its words from task to task
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_ordertape_chunks", {})
+        if tokenizer not in held:
+            held[tokenizer] = ChunkTokenizer(tokenizer)
+        tok = held[tokenizer]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * SLICE_BYTES):
                 ids, bounds = tok.texts(part.column(1))
                 rows, piece, start, length, crc = [], [], [], [], []
                 for k in range(part.num_rows):
@@ -267,7 +273,6 @@ def _epoch(capacity: int, generations: int, epoch: int):
 def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = 2,
          generations: int = 3) -> DataFrame:
     """``cut`` (from :func:`pieces`) with ``sequence_id`` and ``offset``."""
-    spark = cut.sparkSession
     keyed = stage.save(cut.withColumn("n", F.monotonically_increasing_id()), "pieces")
     short = keyed.where(F.col("length") < capacity)
     count = short.count()
@@ -293,9 +298,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands:
     ).groupBy("shard").agg(F.min_by(F.struct("items", "sizes", "bin"), "rank").alias("x"))
     placed = best.mapInArrow(_offsets, "n bigint, sequence_id bigint, offset bigint")
     base = F.lit(1 << 40)
-    packed = short.join(placed, "n").select("*")
+    packed = short.join(placed, "n")
     full = keyed.where(F.col("length") >= capacity).select("*", (base + F.col("n")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    del spark
     return packed.unionByName(full).drop("n")
 
 
