@@ -163,17 +163,15 @@ def checksum_error(fields: Column) -> Column:
     return F.when(given.isNull(), F.lit("no checksum")).when(given != checksum_of(fields), F.lit("wrong checksum"))
 
 
-def strict_error(raw: Column) -> Column:
+def strict_error(fields: Column, malformed: Column) -> Column:
     """Faults under the strict grammar: 8, 9, 35 first, 10 last, right BodyLength and CheckSum."""
-    soh = F.regexp_replace(raw, r"\|", SOH)
-    fields = parse(soh)
     first = F.transform(F.slice(fields, 1, 3), lambda f: f["tag"])
     return (
-        F.when(parse_error(soh).isNotNull(), parse_error(soh))
+        F.when(malformed.isNotNull(), malformed)
         .when(F.array_join(first, ",") != "8,9,35", F.lit("header is not 8, 9, 35"))
         .when(F.try_element_at(fields, F.lit(-1))["tag"] != 10, F.lit("checksum is not last"))
         .when(~first_value(fields, 9).try_cast("int").eqNullSafe(body_length(fields)), F.lit("wrong body length"))
-        .when(checksum_error(fields).isNotNull(), checksum_error(fields))
+        .when(first_value(fields, 10) != checksum_of(fields), F.lit("wrong checksum"))
     )
 
 

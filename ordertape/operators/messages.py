@@ -25,6 +25,12 @@ def parsed(tape: DataFrame, raw_col: str = "raw", with_data: bool = False) -> Da
     return checked.withColumn("fields", fields).drop("__pieces")
 
 
+def strictly_parsed(tape: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """:func:`parsed` under the strict grammar: ``strict_error`` says what is wrong (pipes stand for SOH)."""
+    rows = parsed(tape.withColumn("__raw", F.replace(F.col(raw_col), F.lit("|"), F.lit(codec.SOH))), "__raw").drop("__raw")
+    return rows.withColumn("strict_error", codec.strict_error(F.col("fields"), F.col("parse_error")))
+
+
 def lifted(messages: DataFrame, fields_col: str = "fields") -> DataFrame:
     """First value of every known tag as a text column; empty values are null.
 

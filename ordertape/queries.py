@@ -101,7 +101,7 @@ def c7_body_length(spark, sf_dir):
 def c4_strict_validation(spark, sf_dir):
     """Canonical messages pass the strict grammar."""
     rows = _parsed(spark, sf_dir).select("seq", codec.canonical(F.col("fields")).alias("m"))
-    return rows.select("seq", codec.strict_error(F.col("m")).alias("error"))
+    return messages.strictly_parsed(rows, "m").select("seq", F.col("strict_error").alias("error"))
 
 
 @query("""SELECT l_orderkey AS order_key, CAST(COUNT(*) AS INTEGER) AS n_entries, SUM(l_quantity) AS shares,
@@ -175,10 +175,10 @@ def c17_epoch_millis(spark, sf_dir):
     return spark.table("events").select("event_id", codec.epoch_millis(F.col("event_id") * 1_000_000).alias("at"))
 
 
-@query("SELECT event_id, CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE) AS day FROM events")
+@query("SELECT event_id, CAST(CAST(((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York') AS DATE) AS VARCHAR) AS day FROM events")
 def c18_trading_date(spark, sf_dir):
     _views(spark, sf_dir, ("events",))
-    return spark.table("events").select("event_id", codec.trading_date(F.col("ts"), "America/New_York").alias("day"))
+    return spark.table("events").select("event_id", codec.trading_date(F.col("ts"), "America/New_York").cast("string").alias("day"))
 
 
 @query(r"""SELECT s_suppkey, CASE WHEN v IS NULL OR TRIM(v) = '' OR c LIKE '.%' THEN '_unknown' ELSE c END AS segment FROM (
@@ -210,10 +210,10 @@ def p2_lift_tags(spark, sf_dir):
     return rows.select("seq", *(messages.typed(n).alias(n) for n in names))
 
 
-@query(f"{_WITH} SELECT CAST(ts AS DATE) AS event_date, seq AS ingest_seq, msg_type, account, order_qty, cum_qty FROM tape WHERE msg_type IN ('D','G','F','8','9','Q')")
+@query(f"{_WITH} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date, seq AS ingest_seq, msg_type, account, order_qty, cum_qty FROM tape WHERE msg_type IN ('D','G','F','8','9','Q')")
 def p4_raw_rows(spark, sf_dir):
     rows = messages.raw_rows(_parsed(spark, sf_dir), "w1")
-    return rows.select("event_date", "ingest_seq", "msg_type", "account", "order_qty", "cum_qty")
+    return rows.select(F.col("event_date").cast("string").alias("event_date"), "ingest_seq", "msg_type", "account", "order_qty", "cum_qty")
 
 
 @query(f"{_WITH} SELECT msg_type, COUNT(*) AS n, COUNT(DISTINCT seq) AS n_seq FROM tape WHERE msg_type IN ('D', '8', 'F') GROUP BY msg_type")
