@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ordertape.functions import codec
 from ordertape.functions.codes import CXL_REJ_RESPONSE_TO, EXEC_TYPE, ORD_STATUS, ORD_TYPE, SIDE, TERMINAL, decode, encode
-from ordertape.operators import chain, fold, messages, rollup, state
+from ordertape.operators import chain, fold, messages, rollup, state, typed
 from ordertape.plans.tape import RAW, TAPE, raw_tape, tape
 from ordertape.plans.tape import views as _views
 
@@ -152,6 +152,23 @@ def c11_code_sets(spark, sf_dir):
     return out.withColumn("side_code", encode("side", F.col("side")))
 
 
+@query(f"""{_WITH} SELECT seq, cl_ord_id AS id, CASE WHEN side = '1' THEN 'BUY' ELSE 'SELL' END AS side, COALESCE(order_qty, 0.0) AS order_qty,
+COALESCE(cum_qty, 0.0) AS cum_qty, {_case('exec_type', EXEC_TYPE, "'UNSPECIFIED'")} AS exec_type FROM tape WHERE msg_type = '8'""")
+def c12_typed_reports(spark, sf_dir):
+    rows = typed.typed_rows(_parsed(spark, sf_dir), "8")
+    return rows.select("seq", F.col("message.ClOrdID").alias("id"), F.col("message.Side").alias("side"), F.col("message.OrderQty").alias("order_qty"),
+                       F.col("message.CumQty").alias("cum_qty"), F.col("message.ExecType").alias("exec_type"))
+
+
+@query(f"{_WITH} SELECT seq, cl_ord_id, orig_cl_ord_id, order_id, order_qty FROM tape WHERE msg_type = 'F'")
+def c13_typed_to_fields(spark, sf_dir):
+    """Cancel requests through their typed form and back."""
+    rows = typed.typed_rows(_parsed(spark, sf_dir), "F").select("seq", typed.from_typed(F.col("message"), "F").alias("f"))
+    f = F.col("f")
+    return rows.select("seq", codec.first_value(f, 11).alias("cl_ord_id"), codec.first_value(f, 41).alias("orig_cl_ord_id"),
+                       codec.first_value(f, 37).alias("order_id"), codec.number(codec.first_value(f, 38)).alias("order_qty"))
+
+
 @query("""SELECT event_id, CASE WHEN value = ROUND(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'x' END AS whole,
 CAST(CAST(event_id AS BIGINT) AS VARCHAR) AS id_text FROM events""")
 def c14_number_format(spark, sf_dir):
