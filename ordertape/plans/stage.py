@@ -7,6 +7,8 @@ executor can read it and a lost executor loses nothing.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,11 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN_KEY, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    own = "file://" + tempfile.mkdtemp(prefix="ordertape-")
-    spark.conf.set(_OWN_KEY, own)
-    return own
+    folder = tempfile.mkdtemp(prefix="ordertape-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.conf.set(_OWN_KEY, f"file://{folder}")
+    return f"file://{folder}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
