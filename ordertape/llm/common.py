@@ -70,6 +70,33 @@ def shared_value(broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
+#: Bits of a key filter (4 MB, whatever the table's size).
+FILTER_BITS = 1 << 25
+
+
+def key_filter(keys: DataFrame, column: str):
+    """A bit set of fixed size over 64-bit keys: tells keys that are certainly absent."""
+    places = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b")).selectExpr("b >> 6 AS w", "shiftleft(1L, b & 63) AS m")
+    found = places.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 64 rows
+    bits = np.zeros(FILTER_BITS // 64, np.uint64)
+    bits[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
+    return share(keys.sparkSession, bits)
+
+
+def keep_maybe(shared, column: str, invert: bool = False):
+    """A ``mapInArrow`` function: rows whose key may be in the filter (or, inverted, the others)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared_value(shared)
+        for batch in batches:
+            if batch.num_rows:
+                b = np.mod(batch.column(batch.schema.get_field_index(column)).to_numpy(), FILTER_BITS)
+                hit = ((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                yield batch.filter(pa.array(hit != invert))
+
+    return run
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import partitions_for, slices, utf8
+from ordertape.llm.common import keep_maybe, key_filter, partitions_for, slices, utf8
 from ordertape.operators.components import connected_components
 from ordertape.plans import stage
 
@@ -247,9 +247,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     smallest by text; rows without an id cannot be told apart and stay.
     """
     found = stage.save(classes(docs, id_col, text_col, radius), "simhash-classes")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
+    # documents move only when their id may be among those to drop; the others pass in place
+    dropped = stage.save(
+        found.where(F.col("doc_id") != F.col("component_id")).select(F.xxhash64("doc_id").alias("__key"), F.col("doc_id").alias("__drop")).distinct(), "dropped"
+    )
+    bits = key_filter(dropped, "__key")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col)))
+    maybe = keyed.mapInArrow(keep_maybe(bits, "__key"), keyed.schema).drop("__key")
+    maybe = maybe.join(dropped.drop("__key"), maybe[id_col] == dropped["__drop"], "left_anti")
+    rows = keyed.mapInArrow(keep_maybe(bits, "__key", invert=True), keyed.schema).drop("__key").unionByName(maybe)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        named = rows.where(F.col(id_col).isNotNull())
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-        rows = rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+        named = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        rows = named.unionByName(rows.where(F.col(id_col).isNull()))
+    return rows

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import Words, byte_set, mix64, share, shared_value, slices, utf8
+from ordertape.llm.common import Words, byte_set, keep_maybe, key_filter, mix64, slices, utf8
 from ordertape.plans import stage
 
 WINDOW = 35
@@ -47,8 +47,6 @@ ANCHOR = 12
 BATCHES = 2
 _SPACE = byte_set(0x20, *range(0x09, 0x0E))
 _BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-#: Bits of the filter that keeps texts without candidates from the shuffle (4 MB, whatever the table's size).
-FILTER_BITS = 1 << 25
 
 
 def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -167,27 +165,6 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _filter_of(keys: DataFrame):
-    """A bit set of fixed size over ``k1``, built from per-task bit positions."""
-    places = keys.select(F.pmod("k1", F.lit(FILTER_BITS)).cast("int").alias("b")).selectExpr("b >> 6 AS w", "shiftleft(1L, b & 63) AS m")
-    found = places.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
-    return share(keys.sparkSession, bits)
-
-
-def _maybe(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared_value(shared)
-        for batch in batches:
-            if batch.num_rows:
-                b = np.mod(batch.column(1).to_numpy(), FILTER_BITS)
-                hit = (bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
-                yield batch.filter(pa.array(hit.astype(bool)))
-
-    return run
-
-
 def _covered(n_words: int, starts: np.ndarray) -> np.ndarray:
     """Words covered by windows at ``starts``."""
     change = np.zeros(n_words + 1, np.int64)
@@ -287,7 +264,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     stage.drop(texts)
     stage.drop(index.run)
     _free(spark)
-    kept = keyed.mapInArrow(_maybe(_filter_of(candidates)), keyed.schema).withColumn("rid", rid)
+    kept = keyed.mapInArrow(keep_maybe(key_filter(candidates, "k1"), "k1"), keyed.schema).withColumn("rid", rid)
     held = stage.save(
         candidates.join(kept.drop("doc_id"), ["k1", "k2", "rid"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "weight", "at", "text"), "held"
     )
@@ -352,5 +329,9 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     _, verdict = judge(docs, id_col, text_col, batches)
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = verdict.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(17), text)}).join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
-    return rows.mapInArrow(_cut(text_col, chars_col), docs.schema)
+    keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(17), text)})
+    # only texts that may have a verdict are shuffled to it; the others pass in place
+    bits = key_filter(verdict, "k1")
+    touched = keyed.mapInArrow(keep_maybe(bits, "__k1"), keyed.schema).join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
+    rest = keyed.mapInArrow(keep_maybe(bits, "__k1", invert=True), keyed.schema).drop("__k1", "__k2")
+    return touched.mapInArrow(_cut(text_col, chars_col), docs.schema).unionByName(rest)
