@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a worker turns into arrays at once (not a cap: longer texts form their own slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +137,11 @@ class Words:
             if n <= 4 * SLICE_BYTES:
                 Words._powers = held
         sums = np.zeros(n, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * held[0][:n - 1], out=sums[1:])
+        terms = sums[1:]  # all steps in place: one array of the slice's size
+        terms += self.data
+        terms += np.uint64(1)
+        terms *= held[0][:n - 1]
+        np.cumsum(terms, out=terms)
         return mix64((sums[self.ends] - sums[self.starts]) * held[1][self.starts])
 
     def text(self, word: int) -> bytes:

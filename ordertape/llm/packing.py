@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             held[tokenizer] = ChunkTokenizer(tokenizer)
         tok = held[tokenizer]
         for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE_BYTES):
+            for part in slices(batch, "text", 4 * SLICE_BYTES):
                 ids, bounds = tok.texts(part.column(1))
                 rows, piece, start, length, crc = [], [], [], [], []
                 for k in range(part.num_rows):

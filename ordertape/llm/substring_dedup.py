@@ -198,8 +198,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = at + np.repeat(words.first[:-1], n)
             whole = [pa.array(one[place].view(np.int64)), pa.array(two[place].view(np.int64)), part.column(2).take(row), part.column(0).take(row),
                      part.column(1).take(row), pa.array(at.astype(np.int32))]
-            for a in range(0, len(at), 200_000):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 200_000) for c in whole], names=["w1", "w2", "weight", "k1", "k2", "at"])
+            for a in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([c.slice(a, 50_000) for c in whole], names=["w1", "w2", "weight", "k1", "k2", "at"])
 
 
 def _spans(covered: np.ndarray) -> list[dict]:
