@@ -44,8 +44,8 @@ from ordertape.plans import stage
 
 COSINE = 0.9
 SAMPLE = 16_384
-LIST_SIZE = 512
-SIGMAS = 4.0
+LIST_SIZE = 2048
+SIGMAS = 2.5
 TILE = 2048
 SUBSPACES = 8
 
