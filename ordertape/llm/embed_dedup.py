@@ -1,20 +1,25 @@
 """Embedding near-duplicates by inverted lists and product quantisation, with exact rerank.
 
 Unit vectors are assigned to the nearest of ``n_lists`` coarse centroids and
-their residuals are coded in ``M`` subspaces of 256 codes. A vector visits its
-own list and every list whose border lies close enough: a neighbour at angle
-arccos(t) is at most ``r = sqrt(2 - 2 t)`` away, and the part of that step that
-points across a given border has standard deviation ``r / sqrt(dims)``; lists
-whose border lies within ``SIGMAS`` of those are probed (no cap on their number).
-Inside a list, distances are looked up in per-vector tables (asymmetric:
-the visitor is not quantised). By the triangle inequality a neighbour's looked
-up distance is at most ``r`` plus its stored coding error, so this filter loses
-nothing. What passes is compared by cosine in double precision.
-
-A pair can meet in two lists; it counts where the smaller list number is, when
-both visit each other. Identical vectors are one node with a multiplicity. A
-list with more members than ``TILE`` is dealt out as pairs of tiles. Tasks
-return link counts and a spanning forest of the links they saw, not all pairs.
+their residuals are coded in ``M`` subspaces of 256 codes. A neighbour at angle
+arccos(t) is at most ``r = sqrt(2 - 2 t)`` away. Where two neighbours have
+different lists, each lies on its own side of the border between them, so their
+distances to that border add up to ``r`` at most and one of them is within
+``r / 2`` of it. A vector visits its own list and every list whose border lies
+within ``r / 2`` (no cap on their number): of any two neighbours one visits the
+other's list, whatever the distribution and the number of lists.
+The visitor is compared with the decoded members (asymmetric: the visitor is not
+quantised) by a matrix product. By the triangle inequality a neighbour's
+distance to the decoded member is at most ``r`` plus its stored coding error, so
+this filter loses nothing. What passes is compared by cosine in double precision.
+
+The members of a list are packed into tiles of about ``TILE``, one row each with
+the lists its members visit. Tiles are paired where one visits the other's list;
+no vector is copied to the lists it visits. A pair of tiles is compared once,
+which sees each pair of vectors once. Identical vectors are one node with a
+multiplicity. Tasks return link counts and a spanning forest of the links they
+saw, not all pairs. Where the vectors spread evenly over many dimensions most
+borders are near, and the work grows with the square of the table.
 
 Centroids and codes are fitted on a bounded sample (``SAMPLE`` vectors with the
 smallest hash); every vector is indexed and every vector is a query.
@@ -45,7 +50,6 @@ from ordertape.plans import stage
 COSINE = 0.9
 SAMPLE = 16_384
 LIST_SIZE = 2048
-SIGMAS = 2.5
 TILE = 2048
 SUBSPACES = 8
 
@@ -78,30 +82,28 @@ def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
 @dataclass
 class Quantiser:
     centers: np.ndarray
-    gaps: np.ndarray
     cuts: list[tuple[int, int]]
     books: list[np.ndarray]
-    margin: float
+    reach: float
 
-    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Own list, codes, coding error and probed lists of unit vectors."""
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Own list, codes and coding error of unit vectors."""
         home = _nearest(x, self.centers)
         rest = x - self.centers[home]
         codes = np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.books)], axis=1).astype(np.uint8)
-        back = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
-        error = np.linalg.norm(rest - back, axis=1)
-        probes = []
-        for a in range(0, len(x), 1024):
-            part, own = x[a:a + 1024], home[a:a + 1024]
-            squares = ((part**2).sum(axis=1)[:, None] + (self.centers**2).sum(axis=1) - 2 * part @ self.centers.T)
-            over = squares - squares[np.arange(len(part)), own][:, None]
-            near = over <= 2 * self.margin * self.gaps[own]
-            near[np.arange(len(part)), own] = True
-            probes += [np.flatnonzero(row).astype(np.int32) for row in near]
-        return home, codes, error, probes
-
-
-def fit(sample: np.ndarray, n_lists: int, cosine: float = COSINE, sigmas: float = SIGMAS, subspaces: int = SUBSPACES, seed: int = 7) -> Quantiser:
+        return home, codes, np.linalg.norm(rest - self.decode(codes), axis=1)
+
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
+
+    def visits(self, x: np.ndarray, home: int, lists: np.ndarray) -> np.ndarray:
+        """Which of ``lists`` each vector of the list ``home`` visits: those with a border within half the reach."""
+        own, other = self.centers[home], self.centers[lists]
+        over = (other**2).sum(axis=1) - (own**2).sum() - 2 * x @ (other - own).T
+        return (over <= self.reach * np.linalg.norm(other - own, axis=1) + 1e-9) | (lists == home)
+
+
+def fit(sample: np.ndarray, n_lists: int, cosine: float = COSINE, subspaces: int = SUBSPACES, seed: int = 7) -> Quantiser:
     rng = np.random.default_rng(seed)
     centers = _kmeans(sample, n_lists, rng)
     dims = sample.shape[1]
@@ -109,105 +111,139 @@ def fit(sample: np.ndarray, n_lists: int, cosine: float = COSINE, sigmas: float
     edges = np.linspace(0, dims, min(subspaces, dims) + 1).astype(int)
     cuts = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
     books = [_kmeans(rest[:, a:b], 256, rng, 5) for a, b in cuts]
-    gaps = np.sqrt(np.maximum(0, (centers**2).sum(1)[:, None] + (centers**2).sum(1) - 2 * centers @ centers.T))
-    return Quantiser(centers, gaps, cuts, books, sigmas * math.sqrt(2 - 2 * cosine) / math.sqrt(dims))
+    return Quantiser(centers, cuts, books, math.sqrt(max(0.0, 2 - 2 * cosine)))
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray, n: int, dims: int) -> np.ndarray:
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in chunks]).reshape(n, dims)
 
 
-def _index(shared, dims_of_model: int):
-    """Rows of lists: members (with code and error) and visitors."""
+def _index(shared, dims: int):
+    """Rows of vectors with their list, code and coding error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared_value(shared)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            node, count = batch.column(0), batch.column(1)
-            vectors = batch.column(2)
-            x = unit(np.asarray(vectors.values if vectors.offset == 0 else vectors.flatten(), np.float64).reshape(batch.num_rows, dims_of_model))
-            home, codes, error, probes = held.assign(x)
-            n = np.array([len(p) for p in probes])
-            row = np.repeat(np.arange(len(probes)), n)
-            at = np.concatenate(probes)
-            take = pa.array(row)
+            home, codes, error = held.assign(unit(_vectors(batch.column(2), batch.num_rows, dims)))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(at, pa.int32()), node.take(take), count.take(take), vectors.take(take), pa.array(home[row], pa.int32()),
-                    pa.array(probes, pa.list_(pa.int32())).take(take), pa.array([c.tobytes() for c in codes], pa.binary()).take(take), pa.array(error[row]),
-                ],
-                names=["list", "node", "count", "vector", "home", "probes", "code", "error"],
+                [pa.array(home, pa.int32()), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                names=["list", "node", "count", "vector", "code", "error"],
             )
 
     return run
 
 
-_ROW = "list int, node bigint, count bigint, vector array<float>, home int, probes array<int>, code binary, error double"
+_ROW = "list int, node bigint, count bigint, vector array<float>, code binary, error double"
+_TILE_ROW = "list int, tile int, near array<int>, node binary, count binary, vector binary, code binary, error binary"
 
 
-def _compare(shared, dims: int, cosine: float):
-    reach = math.sqrt(2 - 2 * cosine)
-
-    def meet(held: Quantiser, list_id: int, rows: dict[str, np.ndarray], members: np.ndarray, visitors: np.ndarray, same: bool):
-        """Links between the members of a tile and the visitors of a tile, as index pairs."""
-        x, out = rows["x"], []
-        codes, error = rows["codes"][members], rows["error"][members]
-        home = rows["home"]
-        for a in range(0, len(visitors), 128):
-            v = visitors[a:a + 128]
-            rest = x[v] - held.centers[list_id]
-            looked = np.zeros((len(v), len(members)))
-            for m, ((p, q), book) in enumerate(zip(held.cuts, held.books)):
-                part = rest[:, p:q]
-                table = (part**2).sum(axis=1)[:, None] + (book**2).sum(axis=1) - 2 * part @ book.T
-                looked += table[:, codes[:, m]]
-            near = looked <= (reach + error + 1e-9) ** 2 + 1e-9
-            i, j = np.nonzero(near)
-            i, j = v[i], members[j]
-            # own members meet once; of two that visit each other's lists, the smaller list counts
-            guest = home[i] != list_id
-            ok = np.where(guest, (home[i] > list_id) | ~rows["visited"](j, home[i]), (rows["node"][i] < rows["node"][j]))
-            i, j = i[ok], j[ok]
-            exact = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
-            out.append((i[exact], j[exact]))
-        return out
+def _pack(shared, dims: int):
+    """One row for the members of a tile, with the lists that any of them visits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def group(table: pa.Table) -> pa.Table:
         held = shared_value(shared)
-        table = pa.Table.from_batches(list(batches))  # one (list, tile pair): bounded by two tiles of members and visitors
-        if not table.num_rows:
-            return
-        list_id = table.column("list")[0].as_py()
-        probes = table.column("probes").to_pylist()
-        sets = [set(p) for p in probes]
-        rows = {
-            "node": table.column("node").to_numpy(), "count": table.column("count").to_numpy(), "home": table.column("home").to_numpy(),
-            "error": table.column("error").to_numpy(),
-            "codes": np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(table.num_rows, -1),
-            "x": unit(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vector").chunks]).reshape(table.num_rows, dims)),
-            "visited": lambda j, lists: np.fromiter((int(w) in sets[k] for k, w in zip(j.tolist(), lists.tolist())), bool, len(j)),
-        }
-        side = table.column("side").to_numpy()  # bit 1: member side, bit 2: visitor side
-        members = np.flatnonzero((rows["home"] == list_id) & (side & 1 > 0))
-        visitors = np.flatnonzero(side & 2 > 0)
-        links = np.zeros(table.num_rows, np.int64)
-        forest, edges = _Forest(table.num_rows), []
-        for i, j in meet(held, list_id, rows, members, visitors, False):
-            np.add.at(links, i, rows["count"][j])
-            np.add.at(links, j, rows["count"][i])
-            for a, b in zip(i.tolist(), j.tolist()):
-                if forest.join(a, b):
-                    edges.append((a, b))
+        list_id, vectors = table.column("list")[0].as_py(), _vectors(table.column("vector"), table.num_rows, dims).astype(np.float32)
+        near = np.zeros(len(held.centers), bool)
+        for a in range(0, len(vectors), 1024):
+            near |= held.visits(unit(vectors[a:a + 1024]), list_id, np.arange(len(held.centers))).any(axis=0)
+        return pa.table({
+            "list": pa.array([list_id], pa.int32()), "tile": pa.array([table.column("tile")[0].as_py()], pa.int32()),
+            "near": pa.array([np.flatnonzero(near).astype(np.int32)], pa.list_(pa.int32())),
+            **{c: pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("node", "count")},
+            "vector": pa.array([vectors.tobytes()], pa.binary()),
+            "code": pa.array([b"".join(table.column("code").to_pylist())], pa.binary()),
+            "error": pa.array([table.column("error").to_numpy().astype(np.float64).tobytes()], pa.binary()),
+        })
+
+    return group
+
+
+class _Tile:
+    def __init__(self, held: Quantiser, dims: int, row: dict) -> None:
+        self.list = row["list"]
+        self.node, self.count = np.frombuffer(row["node"], np.int64), np.frombuffer(row["count"], np.int64)
+        self.x = unit(np.frombuffer(row["vector"], np.float32).reshape(-1, dims))
+        self.error = np.frombuffer(row["error"])
+        back = held.decode(np.frombuffer(row["code"], np.uint8).reshape(len(self.node), -1))
+        # visitor . member with the lengths in a further component: half of what the squared distance falls short of its limit
+        limit = (held.reach + self.error + 1e-9) ** 2 + 1e-5 + 1e-6 * dims  # with the rounding of single precision
+        self.back = np.concatenate((back, np.ones((len(back), 1))), axis=1).astype(np.float32)
+        self.least = (((back**2).sum(axis=1) - limit) / 2).astype(np.float32)
+
+
+def _meet(held: Quantiser, cosine: float, of: _Tile, visitors: np.ndarray, to: _Tile, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between visitors and members, as pairs of places in their tiles."""
+    if not len(members):
+        return
+    whole = len(members) == len(to.node)
+    back, least = (to.back, to.least) if whole else (to.back[members], to.least[members])
+    for a in range(0, len(visitors), 256):
+        v = visitors[a:a + 256]
+        rest = of.x[v] - held.centers[to.list]
+        looked = np.concatenate((rest, -(rest**2).sum(axis=1, keepdims=True) / 2), axis=1).astype(np.float32) @ back.T
+        hits = np.flatnonzero(looked >= least)
+        for b in range(0, len(hits), 1 << 16):
+            i, j = np.divmod(hits[b:b + (1 << 16)], len(members))
+            i, j = v[i], members[j]
+            if of is to:
+                ahead = i < j
+                i, j = i[ahead], j[ahead]
+            exact = np.einsum("ij,ij->i", of.x[i], to.x[j]) >= cosine
+            yield i[exact], j[exact]
+
+
+def _compare(shared, dims: int, cosine: float):
+    """Link counts and forest edges of pairs of tiles."""
+
+    def links_of(held: Quantiser, a: _Tile, b: _Tile) -> tuple[list, list, list]:
+        every_a, every_b = np.arange(len(a.node)), np.arange(len(b.node))
+        if a is b:
+            met = [(i, j) for i, j in _meet(held, cosine, a, every_a, a, every_a)]
+        elif a.list == b.list:
+            met = [(i, j) for i, j in _meet(held, cosine, a, every_a, b, every_b)]
+        else:
+            goes = held.visits(a.x, a.list, np.array([b.list]))[:, 0]
+            comes = held.visits(b.x, b.list, np.array([a.list]))[:, 0]
+            met = [(i, j) for i, j in _meet(held, cosine, a, np.flatnonzero(goes), b, every_b)]
+            met += [(i, j) for j, i in _meet(held, cosine, b, np.flatnonzero(comes), a, np.flatnonzero(~goes))]
+        shift = 0 if a is b else len(a.node)
+        node, count = (a.node, a.count) if a is b else (np.concatenate((a.node, b.node)), np.concatenate((a.count, b.count)))
+        links, forest, edges = np.zeros(len(node), np.int64), _Forest(len(node)), []
+        for i, j in met:
+            j = j + shift
+            np.add.at(links, i, count[j])
+            np.add.at(links, j, count[i])
+            edges += [(p, q) for p, q in zip(i.tolist(), j.tolist()) if forest.join(p, q)]
         hit = np.flatnonzero(links)
-        node = rows["node"]
-        # one row per linked node (its links here), with one edge of the forest where there is one
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((node[hit], node[[a for a, _ in edges]] if edges else np.zeros(0, np.int64)))),
-                pa.array(np.concatenate((links[hit], np.zeros(len(edges), np.int64)))),
-                pa.array([None] * len(hit) + [int(node[b]) for _, b in edges], pa.int64()),
-            ],
-            names=["node", "links", "other"],
+        # one row per linked node (its links here), and one per edge of the forest
+        return (
+            node[hit].tolist() + [int(node[p]) for p, _ in edges], links[hit].tolist() + [0] * len(edges),
+            [None] * len(hit) + [int(node[q]) for _, q in edges],
         )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = shared_value(shared), {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pair = []
+                for side in ("a", "b"):
+                    column = batch.column(batch.schema.get_field_index(side))
+                    name = tuple(column.field(n)[k].as_py() for n in ("list", "tile"))
+                    if pair and last["a"][0] == name:
+                        pair.append(pair[0])
+                        continue
+                    if side not in last or last[side][0] != name:
+                        last[side] = (name, _Tile(held, dims, column[k].as_py()))
+                    pair.append(last[side][1])
+                node, links, other = links_of(held, *pair)
+                if node:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], names=["node", "links", "other"]
+                    )
+
     return run
 
 
@@ -215,33 +251,18 @@ def _search(nodes: DataFrame, dims: int, cosine: float, total: int) -> DataFrame
     """``(node, links, other)``: partial link counts, and forest edges where ``other`` is set."""
     spark = nodes.sparkSession
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow().column("vector")
-    x = unit(np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in sample.chunks]).reshape(len(sample), dims))
+    x = unit(_vectors(sample, len(sample), dims))
     shared = share(spark, fit(x, max(1, min(4096, len(x) // 4, total // LIST_SIZE)), cosine))
     listed = stage.save(nodes.select("node", "count", "vector").repartition(partitions_for(nodes)).mapInArrow(_index(shared, dims), _ROW), "pq")
-    sizes = listed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
-    rows = listed.join(sizes, "list")
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
-    member, visitor = F.lit(1), F.lit(2)
-    # each row is the member side of (its tile, any) and the visitor side of (any, its tile)
-    spread = F.transform(
-        other, lambda t: F.struct((tile * F.col("tiles") + t).alias("pair"), F.when(tile == t, F.lit(3)).otherwise(member).alias("side"))
-    )
-    back = F.transform(
-        F.filter(other, lambda t: t != tile), lambda t: F.struct((t * F.col("tiles") + tile).alias("pair"), visitor.alias("side"))
-    )
-    own = F.col("home") == F.col("list")
-    dealt = rows.select(
-        "list", "node", "count", "vector", "home", "probes", "code", "error",
-        F.explode(F.filter(F.concat(spread, back), lambda s: own | (s["side"] >= 2))).alias("t"),
-    ).select("list", F.col("t.pair").alias("pair"), F.col("t.side").alias("side"), "node", "count", "vector", "home", "probes", "code", "error")
-    compare = _compare(shared, dims, cosine)
-
-    def group(table: pa.Table) -> pa.Table:
-        out = list(compare(iter(table.to_batches())))
-        return pa.Table.from_batches(out) if out else pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-
-    return dealt.groupBy("list", "pair").applyInArrow(group, "node bigint, links bigint, other bigint")
+    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    dealt = listed.join(F.broadcast(sizes), "list").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).drop("tiles")
+    tiles = stage.save(dealt.groupBy("list", "tile").applyInArrow(_pack(shared, dims), _TILE_ROW), "tiles")
+    stage.drop(listed)
+    a, b = (tiles.select(F.struct(*tiles.columns).alias(side)) for side in ("a", "b"))
+    met = (F.col("a.list") == F.col("b.list")) | F.array_contains("a.near", F.col("b.list")) | F.array_contains("b.near", F.col("a.list"))
+    once = (F.col("a.list") < F.col("b.list")) | ((F.col("a.list") == F.col("b.list")) & (F.col("a.tile") <= F.col("b.tile")))
+    # the sides are read again for each other, not shuffled
+    return a.crossJoin(b).where(once & met).mapInArrow(_compare(shared, dims, cosine), "node bigint, links bigint, other bigint")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:

@@ -262,6 +262,24 @@ def test_embeddings_equal_brute_force(spark):
     assert embed_dedup.near_duplicates(frame.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rank", [6, 64])
+def test_embedding_recall_with_hundreds_of_lists(spark, monkeypatch, rank):
+    """No link is lost at the lists' borders, also where the vectors vary in few of their dimensions."""
+    rng = np.random.default_rng(rank)
+    x = rng.normal(size=(1200, rank)) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    step = rng.normal(size=(1200, rank)) @ np.linalg.qr(x.T @ rng.normal(size=(1200, rank)))[0].T
+    step -= (step * x).sum(axis=1)[:, None] * x
+    step /= np.linalg.norm(step, axis=1)[:, None]
+    x = np.concatenate((x, 0.905 * x + np.sqrt(1 - 0.905**2) * step)).astype(np.float32)
+    monkeypatch.setattr(embed_dedup, "LIST_SIZE", 12)
+    monkeypatch.setattr(embed_dedup, "TILE", 10)
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>")
+    found = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(frame).collect()}
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    assert found == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
 def test_decontamination(spark):
     item = "What is the tallest mountain of the northern valley called by its first settlers? It is called the grey old watchman of the pass."
     other = prose(11, 40)
