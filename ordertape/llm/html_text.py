@@ -53,10 +53,10 @@ _DROP_WORD = re.compile(
     r"|toolbar|search|complementary|contentinfo|skip-link|tags|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S
-)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+))""")
+#: An attribute as the HTML tokeniser reads it: a quote opens a string only as the first character of a value.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)(?:"|\Z)|'([^']*+)(?:'|\Z)|([^\s>"'][^\s>]*+))?+)?+""")
 _SCOPE = frozenset("table td th html body article section div ul ol".split())
 
 
@@ -75,7 +75,7 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
         return "hidden" in attrs.split()
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
-        value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
+        value = next((v for v in m.groups()[1:] if v is not None), "")
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and _DROP_WORD.search(value):
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):

@@ -108,6 +108,16 @@ def test_html_text():
     assert html_text.main_text("<body><p>" + "word " * 50_000 + "</p></body>") == ("word " * 50_000).strip()
 
 
+def test_html_stray_quotes():
+    """A quote opens a string only where a value begins, so a tag with stray quotes ends at its first '>'."""
+    one = "<article><p>one</p><p title=Bob's>two</p><p>three</p></article>"
+    two = '<article><p>one <a href="/x"">two</a> three</p><p>four <a href="/y">five</a></p></article>'
+    assert html_text.main_text(one) == "one\ntwo\nthree"
+    assert html_text.main_text(two) == "one two three\nfour five"
+    assert html_text.main_text("<article><p 'a \"b>x</p><p title = 'a > b'>y</p><p title=a=\"b>z</p><p title= >q</p></article>") == "x\ny\nz\nq"
+    assert html_text.main_text("<article><p>x</p><p title=it's class='ad'>y</p><p title='\" class=ad'>z</p></article>") == "x\nz"
+
+
 def test_html_pages(spark):
     pages = spark.createDataFrame([(1, None, None, 3), (2, "u", "<p>a</p>", 3)], "page_id bigint, url string, html string, text int")
     assert [tuple(r) for r in html_text.extract(pages).orderBy("page_id").collect()] == [(1, None, "", 0), (2, "u", "a", 1)]
