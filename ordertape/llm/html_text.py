@@ -3,8 +3,13 @@
 A page is tokenised into a node tree in one pass (unclosed and misnested tags
 are closed as browsers do for the cases that matter to text). Elements that hold
 no article text by their kind (menus, headers, footers, asides, forms, scripts,
-styles ...) or by the words of their class, id or role (adverts, notices,
-sidebars, comments ...) are left out. For every other node the characters per
+styles ...) are left out. Those whose class, id or role has a word of adverts,
+notices, sidebars, comments ... are left out unless the text is mostly theirs:
+where the article, main or kept element around them (else the page) has text in
+further articles, they are kept when they hold some of it and more of it lies in
+such elements than outside; where it has none, with more text than there is outside of such elements (so a long comment
+section can outweigh a short text that no article or main marks). Words after
+has-, no-, with-, without- or not- do not count. For every other node the characters per
 tag, adjusted for link characters and link tags, give its density; a node's
 density sum adds the densities of its children. The subtree with the largest
 density sum is selected; the smallest density on its path up to the body is the
@@ -53,6 +58,8 @@ _DROP_WORD = re.compile(
     r"|toolbar|search|complementary|contentinfo|skip-link|tags|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Class words that only say what else the page has or lacks.
+_MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*", re.I)
 #: An attribute as the HTML tokeniser reads it: a quote opens a string only as the first character of a value.
 _ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>"'][^\s>]*+)?+)?+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]++|{_ATTRIBUTE})*+)(?:>|\Z)", re.S)
@@ -61,26 +68,66 @@ _SCOPE = frozenset("table td th html body article section div ul ol".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "kids", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "best_at")
+    __slots__ = ("tag", "up", "kids", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "best_at",
+                 "worded", "plain", "free", "articles", "free_articles")
 
-    def __init__(self, tag: str, up: "Node | None", dropped: bool) -> None:
-        self.tag, self.up, self.dropped = tag, up, dropped
+    def __init__(self, tag: str, up: "Node | None", dropped: bool, worded: bool = False) -> None:
+        self.tag, self.up, self.dropped, self.worded = tag, up, dropped, worded
         self.kids: list[Node | str] = []
 
 
-def _boilerplate(tag: str, attrs: str, inside_article: bool) -> bool:
+def _boilerplate(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is never article text, and whether a word of its class, id or role marks boilerplate."""
     if tag in _DROP or (tag == "header" and not inside_article):
-        return True
+        return True, False
     if "=" not in attrs:
-        return "hidden" in attrs.split()
+        return "hidden" in attrs.split(), False
+    worded = False
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = next((v for v in m.groups()[1:] if v is not None), "")
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and _DROP_WORD.search(value):
-            return True
+        if name in ("class", "id", "role") and tag not in ("body", "html") and _DROP_WORD.search(_MODIFIER.sub(" ", value)):
+            worded = True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, worded
+
+
+def _drop_worded(root: Node) -> None:
+    """Drop the elements marked by a word, unless the text around them is mostly theirs."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, link = todo.pop()
+        link = link or node.tag == "a"
+        node.plain = 0 if link else sum(len(k) - k.count(" ") - k.count("\n") for k in node.kids if isinstance(k, str))
+        order.append(node)
+        todo += [(k, link) for k in node.kids if isinstance(k, Node) and not k.dropped]
+    # plain: characters outside of links; free: those outside of marked elements below; articles: those in unmarked articles below,
+    # free_articles: of these, those outside of marked elements
+    for node in reversed(order):
+        node.free, node.articles, node.free_articles = node.plain, 0, 0
+        for k in node.kids:
+            if isinstance(k, Node) and not k.dropped:
+                marked, article = k.worded, k.tag in ("article", "main")
+                node.plain += k.plain
+                node.free += 0 if marked and not article else k.free
+                node.articles += k.plain if article and not marked else k.articles
+                node.free_articles += 0 if marked and not article else k.free_articles if marked or not article else k.plain
+    around = [(root, root)]
+    while around:
+        node, frame = around.pop()
+        for k in node.kids:
+            if not isinstance(k, Node) or k.dropped:
+                continue
+            inner = frame
+            if k.tag in ("article", "main"):
+                inner = frame if k.worded else k
+            elif k.worded:
+                mostly = k.articles and frame.articles > 2 * frame.free_articles if frame.articles else k.plain > frame.free
+                k.dropped = not mostly
+                inner = k
+            if not k.dropped:
+                around.append((k, inner))
 
 
 def parse(html: str) -> Node:
@@ -143,7 +190,8 @@ def parse(html: str) -> Node:
             close_within(("head",), frozenset())
         elif tag == "a":
             close_within(("a",), _BLOCK)
-        node = Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, m[3], articles > 0))
+        never, worded = _boilerplate(tag, m[3], articles > 0)
+        node = Node(tag, stack[-1], stack[-1].dropped or never, worded)
         if tag in _VOID:
             if tag == "br":
                 stack[-1].kids.append(" ")
@@ -164,6 +212,7 @@ def parse(html: str) -> Node:
         if tag in ("article", "main"):
             articles += 1
     text(end)
+    _drop_worded(root)
     return root
 
 

@@ -108,6 +108,26 @@ def test_html_text():
     assert html_text.main_text("<body><p>" + "word " * 50_000 + "</p></body>") == ("word " * 50_000).strip()
 
 
+def test_html_wrappers_with_boilerplate_words():
+    """Class words take out boilerplate beside the text, never the text that they wrap."""
+    body = "<h1>Head</h1><p>First part of a text.</p><p>Second part of it.</p>"
+    want = "Head\nFirst part of a text.\nSecond part of it."
+    aside = "<div class='sidebar'><p>Elsewhere</p></div><div id=comments><article class=comment-body><p>" + "I disagree. " * 30 + "</p></article></div>"
+    for mark in ("class='layout has-sidebar'", "class=no-sidebar", "class='page page--with-banner'", "class='news-alert'", "id='search-results'", "role=search"):
+        assert html_text.main_text(f"<body><div {mark}><article>{body}</article></div></body>") == want
+        assert html_text.main_text(f"<body><div {mark}>{body}</div></body>") == want
+        assert html_text.main_text(f"<body><main><section {mark}>{body}</section></main></body>") == want
+        assert html_text.main_text(f"<body><div {mark}><article>{body}</article>{aside}</div></body>") == want
+        assert html_text.main_text(f"<body><div {mark}><article>{body}</article></div>{aside}</body>") == want
+        assert html_text.main_text(f"<body><main><article>{body}</article>{aside}</main></body>") == want
+    two = f"<section class=news-alert><article>{body}</article></section>" * 2
+    assert html_text.main_text(f"<body>{two}</body>") == f"{want}\n{want}"
+    share = "<div class='share social'><p>Tell others</p></div>"
+    assert html_text.main_text(f"<body><article>{body}{share}</article></body>") == want
+    teasers = "<div class=related>" + "<article><p>See this</p></article>" * 3 + "</div>"
+    assert html_text.main_text(f"<body><main>{body}</main>{teasers}</body>") == want
+
+
 def test_html_stray_quotes():
     """A quote opens a string only where a value begins, so a tag with stray quotes ends at its first '>'."""
     one = "<article><p>one</p><p title=Bob's>two</p><p>three</p></article>"
