@@ -76,7 +76,7 @@ def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
 
 def question_and_answer(text: bytes) -> tuple[list[bytes], list[bytes]]:
     """Words of all sentences but the last, and of the last; an item of one sentence is its own answer."""
-    parts = [p for p in _SENTENCE.split(text) if _WORD.search(p)]
+    parts = [p for p in _SENTENCE.split(text) if words_of(p)]
     if len(parts) < 2:
         return words_of(text), words_of(text)
     return [w for p in parts[:-1] for w in words_of(p)], words_of(parts[-1])

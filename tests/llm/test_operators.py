@@ -323,6 +323,15 @@ def test_decontamination(spark):
     assert decontam.find(docs(spark, texts), bench.where("false")).count() == 0
 
 
+def test_decontamination_of_items_with_a_detached_last_quote(spark):
+    """A last part of punctuation only is no answer; such an item is found like any other."""
+    items = [f"Quelle est la capitale de la grande vall\u00e9e du nord ? C'est la vieille ville de Paris. {end}" for end in ("\u00bb", "\u2026", "\u201d\n\u201d")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    hits = {(r.doc_id, r.item_id) for r in decontam.find(docs(spark, [f"{prose(30, 90)} {items[0]} {prose(31, 50)}", prose(32, 80)]), bench).collect()}
+    assert hits == {(0, 0), (0, 1), (0, 2)}
+    assert decontam.question_and_answer(items[0].encode())[1] == "c est la vieille ville de paris".encode().split()
+
+
 def test_wand_equals_scoring_everything():
     items = [prose(k, 30, "t").encode() for k in range(60)]
     items = [b" ".join(w.replace(b"t", b"") [:2] + b"q" for w in t.split()) for t in items]
