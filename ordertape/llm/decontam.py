@@ -2,8 +2,9 @@
 
 The test items are indexed: for each term, postings (item, impact) in item
 order, cut into blocks that carry their largest impact. Every document is cut
-into overlapping passages, each at least as long as the longest item, that
-advance by that length, so any copy of an item lies wholly inside one passage.
+into overlapping passages, each three times as long as the longest item, that
+advance by that length, so any copy of an item with inserted words lies wholly
+inside one passage as long as it is no more than twice as long as the longest item.
 Each passage is a query. Impacts are BM25 impacts divided by the item's score
 for its own text, so a score is the share of the item's weight that the passage
 covers and one threshold fits items of any length.
@@ -48,6 +49,8 @@ COMMON_MASS = 0.3
 THRESHOLD = 0.6
 OVERLAP = 0.8
 SHINGLE = 5
+#: Length of a passage in strides; a stride is as long as the longest item.
+SPAN = 3
 #: A word is a maximal run of letters, digits, underscores and non-ASCII characters, A-Z lower-cased; the
 #: punctuation blocks U+0080-00BF and U+2000-203F are not part of words.
 _WORD = re.compile(rb"[0-9A-Za-z_\x80-\xff]+")
@@ -214,12 +217,12 @@ class Hit:
     start: int
 
 
-def _candidate_windows(index: Index, codes: np.ndarray, window: np.ndarray, threshold: float) -> np.ndarray:
-    """Windows in which some item could reach the threshold; ``window``: the first window of each word's two."""
+def _candidate_windows(index: Index, codes: np.ndarray, window: np.ndarray, lowest: np.ndarray, threshold: float) -> np.ndarray:
+    """Windows in which some item could reach the threshold; ``window``: the last window of each word, ``lowest``: the first of its text."""
     keep = index.rare[codes]
-    codes, window = codes[keep], window[keep]
+    codes, window, lowest = codes[keep], window[keep], lowest[keep]
     terms = len(index.rare)
-    pairs = np.unique(np.concatenate((window, window - 1)) * terms + np.concatenate((codes, codes)))
+    pairs = np.unique(np.concatenate([np.maximum(window - back, lowest) * terms + codes for back in range(SPAN)]))
     window, codes = pairs // terms, pairs % terms
     start, size = index.offsets[codes], index.offsets[codes + 1] - index.offsets[codes]
     total = int(size.sum())
@@ -283,24 +286,20 @@ def search_all(index: Index, texts: list[bytes | None], threshold: float = THRES
     coder = Coder(index) if coder is None else coder
     codes = coder.codes(texts)
     words: dict[int, list[bytes]] = {}
-    # window w of a text holds its words [w * stride, (w + 2) * stride); windows of all texts are numbered in one run
-    base, at = [], 1
-    for c in codes:
-        base.append(at)
-        at += len(c) // stride + 2
-    window = np.concatenate([b + np.arange(len(c)) // stride for b, c in zip(base, codes)]) if codes else np.zeros(0, np.int64)
-    able = _candidate_windows(index, np.concatenate(codes), window, threshold) if codes else window
-    owner = np.searchsorted(np.array(base), able, side="right") - 1
-    # the window before a text's first holds a part of the first
+    # window w of a text holds its words [w * stride, (w + SPAN) * stride); windows of all texts are numbered in one run
+    sizes = np.array([len(c) for c in codes], np.int64)
+    base = np.cumsum(sizes // stride + 1) - (sizes // stride + 1)
+    lowest = np.repeat(base, sizes)
+    window = lowest + np.concatenate([np.arange(n) // stride for n in sizes]) if codes else lowest
+    able = _candidate_windows(index, np.concatenate(codes), window, lowest, threshold) if codes else window
+    owner = np.searchsorted(base, able, side="right") - 1
     for w, k in zip(able.tolist(), owner.tolist()):
-        if k < 0 or (w - base[k]) * stride >= len(codes[k]):
-            k += 1
-        start = max(0, (w - base[k]) * stride)
-        inside = codes[k][start:start + 2 * stride]
+        start = int(w - base[k]) * stride
+        inside = codes[k][start:start + SPAN * stride]
         terms = np.unique(inside[inside < none])
         if k not in words:
             words[k] = words_of(texts[k])
-        _verify(index, words[k][start:start + 2 * stride], terms.tolist(), start, threshold, overlap, found[k])
+        _verify(index, words[k][start:start + SPAN * stride], terms.tolist(), start, threshold, overlap, found[k])
     return [[hits[i] for i in sorted(hits)] for hits in found]
 
 

@@ -332,6 +332,17 @@ def test_decontamination_of_items_with_a_detached_last_quote(spark):
     assert decontam.question_and_answer(items[0].encode())[1] == "c est la vieille ville de paris".encode().split()
 
 
+def test_decontamination_of_a_copy_with_inserted_words():
+    """A near copy of the longest item is seen whole, wherever it begins."""
+    item = prose(40, 60).split()
+    index = decontam.build([1, 2], [" ".join(item).encode(), prose(41, 20).encode()])
+    copy = " ".join(item[:30] + prose(42, 20, "v").split() + item[30:])
+    for before in range(0, 130, 5):
+        texts = [None, b"", f"{prose(43, before, 'u')} {copy} {prose(44, 100, 'u')}".encode(), b"", prose(45, 70).encode(), copy.encode()]
+        hits = decontam.search_all(index, texts)
+        assert [[h.item for h in x] for x in hits] == [[], [], [0], [], [], [0]] and hits[2][0].overlap > 0.9
+
+
 def test_wand_equals_scoring_everything():
     items = [prose(k, 30, "t").encode() for k in range(60)]
     items = [b" ".join(w.replace(b"t", b"") [:2] + b"q" for w in t.split()) for t in items]
