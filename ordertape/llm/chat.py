@@ -125,9 +125,10 @@ def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Counts and digests read back from the formatted output."""
+    """Counts and digests read back from the formatted output, the loss through its mask."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    cut = lambda s: F.col("formatted").substr((s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))
+    loss = F.array_join(F.transform("loss_spans", lambda s: unescape_text(cut(s))), "")
     return formatted.select(
         "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),

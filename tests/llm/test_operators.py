@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from ordertape.llm import chat, decontam, embed_dedup, html_text, langid, packing, simhash, substring_dedup, toxicity, url_filter
 from ordertape.llm.queries import RULES, tokenizer_path
@@ -170,6 +171,16 @@ def test_chat_round_trip(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_chat_loss_is_read_through_its_mask(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b\U0001F600<|end|>c"), (1, 2, "assistant", "d")], "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_turns(frame)
+    row = chat.digest(formatted).first()
+    assert (row.loss_chars, row.loss_sha256) == (11, hashlib.sha256("b\U0001F600<|end|>cd".encode()).hexdigest())
+    moved = formatted.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.struct(s["start"].alias("start"), (s["stop"] - 1).alias("stop"))))
+    row = chat.digest(moved).first()
+    assert (row.loss_chars, row.loss_sha256) == (9, hashlib.sha256("b\U0001F600<|end|>".encode()).hexdigest())
+
+
 def test_packing_equals_the_tokenizer(spark, texts):
     from tokenizers import Tokenizer
 
