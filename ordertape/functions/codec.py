@@ -195,13 +195,13 @@ def has_tag(fields: Column, tag: int) -> Column:
     return F.exists(fields, lambda f: f["tag"] == tag)
 
 
-def tag_map(fields: Column) -> Column:
-    """First value of every tag."""
-    firsts = F.aggregate(
-        fields, F.array().cast(FIELDS_TYPE),
-        lambda acc, f: F.when(F.exists(acc, lambda a: a["tag"] == f["tag"]), acc).otherwise(F.concat(acc, F.array(f))),
-    )
-    return F.map_from_entries(firsts)
+def lift(fields: Column, tags: dict[str, int]) -> dict[str, Column]:
+    """First value of each tag, by name; ``fields`` should be a plain column, as it is used twice for every tag.
+
+    A search in the array of tag numbers and a positional read, both in generated code.
+    """
+    numbers, values = fields["tag"], fields["value"]
+    return {n: F.get(values, (F.array_position(numbers, F.lit(t)) - 1).cast("int")) for n, t in tags.items()}
 
 
 def number(value: Column, default: float | None = None) -> Column:

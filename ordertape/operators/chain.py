@@ -1,77 +1,120 @@
 """Chain resolution: which order every message belongs to.
 
 A message is looked up by its identifiers in the order they are trusted and
-re-points all of them to the chain it resolves to. Messages that share
-identifiers, directly or not, form a component; a component is resolved on its
-own. A component in which only one message found none of its identifiers bound
-is one chain, without replay. Only the others are replayed in sequence order by
-one task per component.
+binds all of them to the chain it resolves to. What an identifier is bound to
+just before a message is decided by one earlier message alone: the last one
+that re-pointed it, or else the first that named it. So every message has at
+most one earlier message to follow, and its chain is the root of that forest:
+
+1. the first binding of each identifier (an aggregation) tells which of a
+   message's identifiers are known, and so which one it selects;
+2. a window over the uses of an identifier finds the last binding message that
+   did *not* select that same identifier; messages between the two follow it
+   too, so runs of any length are skipped in one step;
+3. pointer jumping over the messages that others follow (a small part of all)
+   ends after as many rounds as the logarithm of the identifier changes.
+
+Nothing is replayed and no component is gathered: an identifier that a third of
+all messages carry is cut into ranges of ``SPLIT`` uses, whose last bindings
+are carried over by a second, small window.
 
 ``chain_id`` is the sequence number of the chain's first message: stable, and
 no global counter is needed. :func:`chain_names` gives the counter names.
+
+Policy A lets every message re-point all of its identifiers. Policy B lets
+original and referenced ids bind only if nothing did, knows the identifiers of
+each message type, drops messages without identifiers and lets status requests
+look up but never bind or open. Identifiers of different spaces never meet: an
+order id that equals a client id names another thing, under either policy.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ordertape.operators.components import connected_components
 from ordertape.operators.fold import filled
 from ordertape.plans import stage
 
-#: probe order: (column, identifier space)
+#: (column, identifier space, whether it re-points, message types that carry it; None: all)
 PROBES = {
-    "A": (("order_id", "O"), ("orig_cl_ord_id", "C"), ("cl_ord_id", "C"), ("exec_id", "E")),
-    "B": (("order_id", "O"), ("cl_ord_id", "C"), ("orig_cl_ord_id", "C"), ("exec_id", "E"), ("exec_ref_id", "E")),
+    "A": (("order_id", "O", True, None), ("orig_cl_ord_id", "C", True, None), ("cl_ord_id", "C", True, None), ("exec_id", "E", True, None)),
+    "B": (("order_id", "O", True, "8FG9HQ"), ("cl_ord_id", "C", True, "D8FG9H"), ("orig_cl_ord_id", "C", False, "8FG9"), ("exec_id", "E", True, "8Q"),
+          ("exec_ref_id", "E", False, "8")),
 }
+#: Uses of one identifier that a window task takes at most (a larger identifier is cut by sequence ranges).
+SPLIT = 1 << 20
 
 
-def _ids(policy: str) -> Column:
-    return F.filter(F.array(*(F.concat(F.lit(space + ":"), filled(c)) for c, space in PROBES[policy])), lambda x: x.isNotNull())
-
+def _uses(messages: DataFrame, policy: str) -> Column:
+    """``array<struct<probe, id, puts, binds>>`` of a message's identifiers, most trusted first."""
+    typed = "msg_type" in messages.columns
+    found = []
+    for k, (column, space, puts, types) in enumerate(PROBES[policy]):
+        value = F.concat(F.lit(space + ":"), filled(column))
+        if types is not None and typed:
+            value = F.when(F.col("msg_type").isin(*types), value)
+        binds = F.col("msg_type") != "H" if policy == "B" and typed else F.lit(True)
+        found.append(F.struct(F.lit(k).alias("probe"), value.alias("id"), F.lit(puts).alias("puts"), F.coalesce(binds, F.lit(True)).alias("binds")))
+    return F.filter(F.array(*found), lambda u: u["id"].isNotNull())
 
-def replay(rows: pd.DataFrame, policy: str) -> pd.DataFrame:
-    """Sequential resolution of one component, rows in any order."""
-    rows = rows.sort_values("seq")
-    bound: dict[str, int] = {}
-    out = []
-    for seq, ids in zip(rows.seq, rows.ids):
-        ids = list(ids)
-        chain = next((bound[i] for i in ids if i in bound), seq)
-        for i in ids:
-            if policy == "A":
-                bound[i] = chain
-            else:
-                bound.setdefault(i, chain)
-        out.append(chain)
-    return pd.DataFrame({"seq": rows.seq, "chain_id": out})
 
+def identifiers(messages: DataFrame, policy: str = "A") -> Column:
+    """A message's identifiers with their space, such as ``C:<client id>``."""
+    return F.transform(_uses(messages, policy), lambda u: u["id"])
 
-def resolve(messages: DataFrame, policy: str = "A") -> DataFrame:
-    """``messages`` with ``chain_id`` (and ``component``); ``seq`` is unique.
 
-    A message without identifiers is a chain of its own.
-    """
-    keyed = messages.select("seq", _ids(policy).alias("ids"))
-    uses = keyed.select("seq", F.explode("ids").alias("id")).distinct()
-    first = uses.groupBy("id").agg(F.min("seq").alias("first"))
-    seen = stage.save(uses.join(first, "id").select("seq", "first"), "id-uses")
-    parts = connected_components(seen, "seq", "first").withColumnRenamed("node", "seq")
-    # a message opens a chain when nothing it names was bound before
-    opens = seen.groupBy("seq").agg((F.min("first") == F.col("seq")).alias("opens"))
-    known = keyed.join(parts, "seq", "left").join(opens, "seq", "left").select(
-        "seq", "ids", F.coalesce("component", "seq").alias("component"), F.coalesce("opens", F.lit(True)).alias("opens")
+def _pointers(messages: DataFrame, policy: str, split: int) -> DataFrame:
+    """``(seq, up)``: the earlier message that decides where a message belongs; ``up`` is null for one that opens a chain."""
+    uses = messages.select("seq", F.explode(_uses(messages, policy)).alias("u")).select("seq", "u.*")
+    known = uses.groupBy("id").agg(
+        F.min(F.when(F.col("binds"), F.col("seq"))).alias("first"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")
     )
-    known = stage.save(known, "components")
-    roots = known.groupBy("component").agg(F.sum(F.col("opens").cast("int")).alias("roots"))
-    judged = known.join(roots, "component")
-    simple = judged.where("roots = 1").select("seq", F.col("component").alias("chain_id"), "component")
-    exact = judged.where("roots > 1").groupBy("component").applyInPandas(
-        lambda rows: replay(rows, policy).assign(component=rows.component.iloc[0]), "seq bigint, chain_id bigint, component bigint"
+    parts = F.ceil(F.col("n") / F.lit(split)).cast("int")
+    part = ((F.col("seq") - F.col("low")) / (F.col("high") - F.col("low") + 1) * parts).cast("int")
+    seen = uses.join(known, "id").select("seq", "probe", "id", "puts", "binds", "first", F.when(parts > 1, part).otherwise(0).alias("part"), (parts > 1).alias("cut"))
+    choice = F.min(F.when(F.col("first") < F.col("seq"), F.struct("probe", "id"))).over(Window.partitionBy("seq"))
+    chosen = seen.withColumn("choice", choice)
+    follows = F.coalesce(F.col("choice.id") == F.col("id"), F.lit(False))
+    marked = chosen.select(
+        "seq", "id", "part", "cut", "first", (F.col("choice.probe").eqNullSafe(F.col("probe"))).alias("asks"), F.col("choice").isNull().alias("opens"), "probe", "binds",
+        F.when(F.col("binds") & F.col("puts") & ~follows, F.col("seq")).alias("mark"),
     )
-    return messages.join(simple.unionByName(exact), "seq")
+    marked = stage.save(marked, "chain-uses")
+    inside = Window.partitionBy("id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    near = marked.withColumn("near", F.max("mark").over(inside))
+    # the last mark of earlier ranges; one row for each range of a cut identifier
+    ends = marked.where("cut").groupBy("id", "part").agg(F.max("mark").alias("mark"))
+    before = ends.select("id", "part", F.max("mark").over(Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    asking = near.where("asks").join(before, ["id", "part"], "left").select("seq", F.coalesce("near", "carried", "first").alias("up"))
+    opening = marked.where("opens").groupBy("seq").agg(F.max("binds").alias("binds")).where("binds").select("seq", F.lit(None).cast("bigint").alias("up"))
+    return asking.unionByName(opening)
+
+
+def resolve(messages: DataFrame, policy: str = "A", split: int = SPLIT, max_rounds: int = 60) -> DataFrame:
+    """``messages`` with ``chain_id``; ``seq`` is unique.
+
+    Under policy A a message without identifiers is a chain of its own; under
+    policy B it is dropped, and so is a status request that finds nothing.
+    """
+    found = stage.save(_pointers(messages, policy, split), "chain-pointers")
+    followed = found.where("up is not null").select(F.col("up").alias("seq")).distinct()
+    hops = stage.save(found.where("up is not null").join(followed, "seq", "left_semi"), "chain-hops")
+    for _ in range(max_rounds):
+        further = hops.select(F.col("seq").alias("up"), F.col("up").alias("over"))
+        jumped = stage.save(hops.join(further, "up", "left").select("seq", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")), "chain-hops")
+        moved = jumped.where("moved").limit(1).count()
+        stage.drop(hops)
+        hops = jumped.drop("moved")
+        hops._stage_path = jumped._stage_path
+        if not moved:
+            break
+    else:
+        raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
+    roots = hops.select(F.col("seq").alias("up"), F.col("up").alias("root"))
+    chains = found.join(roots, "up", "left").select("seq", F.coalesce("root", "up", "seq").alias("chain_id"))
+    out = messages.join(chains, "seq", "left" if policy == "A" else "inner")
+    return out.withColumn("chain_id", F.coalesce("chain_id", "seq")) if policy == "A" else out
 
 
 def chain_names(resolved: DataFrame) -> DataFrame:
@@ -88,14 +131,30 @@ def chain_names(resolved: DataFrame) -> DataFrame:
     )
 
 
+def order_keys(resolved: DataFrame) -> DataFrame:
+    """``(chain_id, order_key, previous_key, seq)``: policy B's changing key of an order, one row for each change.
+
+    The key is the client id (else the original id) of the first message until a message brings an order id, which then renames the order.
+    """
+    types = {column: types for column, _, _, types in PROBES["B"]}
+    held = lambda c: F.when(F.col("msg_type").isin(*types[c]), filled(c))
+    w = Window.partitionBy("chain_id").orderBy("seq")
+    named = F.when(F.col("msg_type") != "H", held("order_id"))
+    first = F.when(F.row_number().over(w) == 1, F.coalesce(held("cl_ord_id"), held("orig_cl_ord_id")))
+    keys = resolved.select("chain_id", "seq", F.coalesce(named, first).alias("order_key")).where("order_key is not null")
+    return keys.withColumn("previous_key", F.lag("order_key").over(w)).where("not (order_key <=> previous_key)").select("chain_id", "order_key", "previous_key", "seq")
+
+
 def id_index(resolved: DataFrame, policy: str = "A") -> DataFrame:
     """``(id_kind, id_value, chain_id, seq)``: the chain each identifier points to after the last message.
 
-    Policy A keeps the latest binding, policy B the first.
+    The last message that re-points an identifier decides, else the first that names it.
     """
-    uses = resolved.select("seq", "chain_id", F.explode(_ids(policy)).alias("id"))
-    pick = F.max_by if policy == "A" else F.min_by
-    bound = uses.groupBy("id").agg(pick(F.struct("chain_id", "seq"), "seq").alias("x"))
+    uses = resolved.select("seq", "chain_id", F.explode(_uses(resolved, policy)).alias("u")).where("u.binds")
+    put = F.col("u.puts")
+    bound = uses.groupBy("u.id").agg(
+        F.max_by(F.struct("chain_id", "seq"), F.when(put, F.col("seq"))).alias("last"), F.min_by(F.struct("chain_id", "seq"), "seq").alias("first")
+    ).select("id", F.coalesce("last", "first").alias("x"))
     return bound.select(F.substring("id", 1, 1).alias("id_kind"), F.expr("substring(id, 3)").alias("id_value"), "x.chain_id", "x.seq")
 
 

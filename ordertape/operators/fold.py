@@ -1,9 +1,10 @@
 """The order fold: every message of a chain becomes a version of the order's state.
 
-Only the status with its stack of requests is sequential; it is a higher-order
-``aggregate`` over the chain's ordered events. Everything else is a running
-window (last non-blank value with handler-specific input). All windows share
-one partitioning by chain, so the fold is one shuffle.
+Only the status with its open requests is sequential, and only where a request
+is rejected; those chains take one pass over sorted narrow rows. Everything else
+is a running window (last non-blank value with handler-specific input). The
+narrow events are staged once; the wide rows meet them by sequence number and
+then share one partitioning by chain.
 
 Input columns are the lifted text columns plus ``chain_id``, ``seq`` and ``ts``.
 """
@@ -18,10 +19,7 @@ from pyspark.sql import functions as F
 
 from ordertape.functions import codec
 from ordertape.functions.codes import decode, is_terminal
-
-#: Chains with more messages are folded by one pass over sorted rows instead of a growing array.
-LONG_CHAIN = 4096
-
+from ordertape.plans import stage
 
 def _chain() -> Window:
     return Window.partitionBy("chain_id").orderBy("seq")
@@ -41,47 +39,8 @@ def latest(value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(_so_far())
 
 
-_EVENTS = "array<struct<seq:bigint,kind:string,status:string,request:string,dup:boolean,confirms:boolean>>"
-
-
-def _status_path(events: Column) -> Column:
-    """``array<struct<seq, status>>``: the status after each event."""
-    start = F.struct(
-        F.lit("UNSPECIFIED").alias("status"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("prior"),
-        F.array().cast("array<struct<seq:bigint,status:string>>").alias("path"),
-    )
-
-    def step(acc: Column, e: Column) -> Column:
-        has_request = e["request"].isNotNull()
-        without = F.map_filter(acc["prior"], lambda k, _: k != e["request"])
-        held = F.when(has_request, F.try_element_at(acc["prior"], e["request"]))
-        request = e["kind"].isin("F", "G")
-        report = (e["kind"] == "8") & ~e["dup"]
-        reject = e["kind"] == "9"
-        status = (
-            F.when((e["kind"] == "D") & (acc["status"] == "UNSPECIFIED"), F.lit("PENDING_NEW"))
-            .when(report & e["status"].isNotNull(), e["status"])
-            .when(e["kind"] == "F", F.lit("PENDING_CANCEL"))
-            .when(e["kind"] == "G", F.lit("PENDING_REPLACE"))
-            .when(reject & held.isNotNull(), held)
-            .when(reject & e["status"].isNotNull(), e["status"])
-            .otherwise(acc["status"])
-        )
-        prior = (
-            F.when(request & has_request, F.map_concat(without, F.create_map(F.coalesce(e["request"], F.lit("")), acc["status"])))
-            .when(has_request & (reject | (report & e["confirms"])), without)
-            .otherwise(acc["prior"])
-        )
-        return F.struct(
-            status.alias("status"), prior.alias("prior"),
-            F.concat(acc["path"], F.array(F.struct(e["seq"].alias("seq"), status.alias("status")))).alias("path"),
-        )
-
-    return F.aggregate(events, start, step, lambda acc: acc["path"])
-
-
-def _status_of_long(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same status rules over rows sorted by chain and sequence, in constant memory per chain."""
+def _status_of_sorted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The status rules over rows sorted by chain and sequence; a chain keeps no more than its open requests."""
     chain, status, prior = None, "UNSPECIFIED", {}
     for part in parts:
         out = []
@@ -102,60 +61,69 @@ def _status_of_long(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 back = prior.pop(request, None) if request is not None else None
                 status = back if back is not None else given if given is not None else status
             out.append(status)
-        yield pd.DataFrame({"chain_id": part.chain_id, "seq": part.seq, "ord_status": out})
-
-
-def statuses(events: DataFrame, long_chain: int = LONG_CHAIN) -> DataFrame:
-    """``(chain_id, seq, ord_status)`` for event rows ``(chain_id, seq, kind, status, request, dup, confirms)``."""
-    sized = events.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("chain_id")))
-    short = sized.where(F.col("__n") <= long_chain).groupBy("chain_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "status", "request", "dup", "confirms"))).alias("e")
-    ).select("chain_id", F.explode(_status_path(F.col("e").cast(_EVENTS))).alias("x")).select("chain_id", F.col("x.seq").alias("seq"), F.col("x.status").alias("ord_status"))
-    kind = events.schema["chain_id"].dataType.simpleString()
-    long = sized.where(F.col("__n") > long_chain).drop("__n").repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(
-        _status_of_long, f"chain_id {kind}, seq bigint, ord_status string"
+        yield pd.DataFrame({"seq": part.seq, "ord_status": out})
+
+
+def statuses(events: DataFrame) -> DataFrame:
+    """``(seq, ord_status)`` for event rows ``(chain_id, seq, kind, status, request, dup, confirms)``.
+
+    A chain without a reject never takes a status back: there the status is the last one stated, and a new order counts only while none
+    is. Chains with a reject take one pass over sorted rows, which holds the requests that are still open.
+    """
+    w = _so_far()
+    stated = (
+        F.when((F.col("kind") == "8") & ~F.col("dup"), F.col("status"))
+        .when(F.col("kind") == "F", F.lit("PENDING_CANCEL")).when(F.col("kind") == "G", F.lit("PENDING_REPLACE"))
+    )
+    rejects = F.max((F.col("kind") == "9").cast("int")).over(Window.partitionBy("chain_id")) > 0
+    rows = events.withColumn("__hard", rejects)
+    last = F.last(F.when(stated.isNotNull(), F.struct("seq", stated.alias("s"))), ignorenulls=True).over(w)
+    opened = F.max(F.when(F.col("kind") == "D", F.col("seq"))).over(w)
+    walked = rows.where(~F.col("__hard")).select("seq", last.alias("x"), opened.alias("d"))
+    known = F.nullif(F.col("x.s"), F.lit("UNSPECIFIED"))
+    easy = walked.select("seq", F.coalesce(known, F.when(F.col("d") > F.coalesce("x.seq", F.col("d") - 1), F.lit("PENDING_NEW")), F.lit("UNSPECIFIED")).alias("ord_status"))
+    hard = rows.where("__hard").drop("__hard").repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(_status_of_sorted, "seq bigint, ord_status string")
+    return easy.unionByName(hard)
+
+
+def _events(messages: DataFrame) -> DataFrame:
+    """The narrow columns of every message that decide about duplicates, the execution type and the status."""
+    report = F.col("msg_type") == "8"
+    rows = messages.select(
+        "chain_id", "seq", F.col("msg_type").alias("kind"), F.when(filled("ord_status").isNotNull(), decode("ord_status", F.col("ord_status"))).alias("status"),
+        filled("cl_ord_id").alias("request"), F.when(report, filled("exec_id")).alias("exec"),
+        F.when(filled("exec_type").isNotNull(), decode("exec_type", F.col("exec_type"))).alias("type"),
     )
-    return short.unionByName(long)
+    # rows that are not reports of an execution never count as a duplicate, nor before one
+    again = lambda c: F.row_number().over(Window.partitionBy("chain_id", c).orderBy("seq")) > 1
+    rows = rows.repartition("chain_id").withColumn("dup", F.col("exec").isNotNull() & again("exec")).withColumn("new_request", F.col("request").isNotNull() & ~again("request"))
+    rows = rows.withColumn("exec_type", latest(F.when((F.col("kind") == "8") & ~F.col("dup"), F.col("type"))))
+    return rows.withColumn("confirms", F.coalesce(F.col("exec_type").isin("CANCELED", "REPLACED"), F.lit(False))).drop("type")
 
 
-def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id", long_chain: int | None = None) -> DataFrame:
+def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id") -> DataFrame:
     """One row per message: the state of its order after it, with the message's own columns as ``cause_*``.
 
-    ``long_chain``: chains with more messages take the sorted-row path (None: no chain does).
+    The ids that an order has had grow with it, so a version only says which
+    ones its message added (``new_exec_id``, ``new_busted_id``) and how many there are; :func:`latest_states` lists them.
     """
+    events = stage.save(_events(messages), "fold-events")
+    told = events.join(statuses(events.drop("exec", "exec_type", "new_request")), "seq").select(
+        "seq", F.col("dup").alias("__dup"), F.col("exec_type").alias("__exec_type"), F.col("new_request").alias("__new"), F.col("ord_status").alias("ord_status_after"),
+    )
+    rows = messages.join(told, "seq")
     kind = F.col("msg_type")
     d, report = kind == "D", kind == "8"
     terms = d | report
-    # rows that are not reports of an execution never count as a duplicate, nor before one
-    flagged = messages.withColumn("__exec", F.when(report, filled("exec_id")))
-    rank = F.row_number().over(Window.partitionBy("chain_id", "__exec").orderBy("seq"))
-    rows = flagged.withColumn("__dup", report & F.col("__exec").isNotNull() & (rank > 1))
     fresh = report & ~F.col("__dup")
-    rows = rows.withColumn("__exec_type", latest(F.when(fresh, F.when(filled("exec_type").isNotNull(), decode("exec_type", F.col("exec_type"))))))
-    confirms = F.coalesce(F.col("__exec_type").isin("CANCELED", "REPLACED"), F.lit(False))
-    events = rows.select(
-        "chain_id", "seq", kind.alias("kind"),
-        F.when(filled("ord_status").isNotNull(), decode("ord_status", F.col("ord_status"))).alias("status"),
-        filled("cl_ord_id").alias("request"), F.col("__dup").alias("dup"), confirms.alias("confirms"),
-    )
-    if long_chain is None:
-        # one pass: the events are collected over the same partitioning and the status is picked by position
-        collected = rows.withColumn("__e", F.struct(
-            F.col("seq"), kind.alias("kind"), F.when(filled("ord_status").isNotNull(), decode("ord_status", F.col("ord_status"))).alias("status"),
-            filled("cl_ord_id").alias("request"), F.col("__dup").alias("dup"), confirms.alias("confirms"), F.struct(*messages.columns, "__exec", "__exec_type").alias("row"),
-        ))
-        grouped = collected.groupBy("chain_id").agg(F.sort_array(F.collect_list("__e")).alias("e"))
-        paired = grouped.select(F.explode(F.arrays_zip(F.col("e").alias("e"), F.transform(_status_path(
-            F.transform("e", lambda x: F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), x["status"].alias("status"), x["request"].alias("request"),
-                                                x["dup"].alias("dup"), x["confirms"].alias("confirms")))), lambda p: p["status"]).alias("s"))).alias("z"))
-        rows = paired.select("z.e.row.*", F.col("z.e.dup").alias("__dup"), F.col("z.s").alias("ord_status_after"))
-    else:
-        rows = rows.join(statuses(events, long_chain).withColumnRenamed("ord_status", "ord_status_after"), ["chain_id", "seq"])
     rejected = fresh & ((F.col("__exec_type") == "REJECTED") | (F.col("ord_status_after") == "REJECTED"))
     trans = decode("exec_trans_type", F.col("exec_trans_type"))
+    busts = F.when(fresh & trans.isin("CANCEL", "CORRECT"), filled("exec_ref_id"))
+    rows = rows.repartition("chain_id").withColumn("__bust", busts)
+    first_bust = F.row_number().over(Window.partitionBy("chain_id", "__bust").orderBy("seq")) == 1
+    rows = rows.withColumn("__bust", F.when(first_bust, F.col("__bust"))).withColumn("__exec", F.when(fresh, filled("exec_id")))
     amount = lambda c: F.when(fresh & filled(c).isNotNull(), codec.number(F.col(c), 0))
     term = lambda c: F.when(terms, codec.number(filled(c)))
-    seen = lambda c: F.array_distinct(F.collect_list(c).over(_so_far()))
     own = lambda c: F.coalesce(c, F.lit(0.0))
     parent = F.when(filled(parent_tag).isNotNull(), F.col(parent_tag)) if parent_tag in messages.columns else F.lit(None).cast("string")
     out = rows.select(
@@ -163,8 +131,8 @@ def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id", long_
         latest(filled("order_id")).alias("order_id"),
         latest(F.when(kind != "9", filled("cl_ord_id"))).alias("cl_ord_id"),
         latest(filled("orig_cl_ord_id")).alias("orig_cl_ord_id"),
-        seen(filled("cl_ord_id")).alias("cl_ord_id_history"),
-        seen(F.when(report, filled("exec_id"))).alias("exec_ids"),
+        F.collect_list(F.when(F.col("__new"), F.col("cl_ord_id"))).over(_so_far()).alias("cl_ord_id_history"),
+        F.count("__exec").over(_so_far()).cast("int").alias("exec_id_count"), F.col("__exec").alias("new_exec_id"),
         latest(filled("account")).alias("account"), latest(filled("symbol")).alias("symbol"),
         latest(F.when(filled("side").isNotNull(), decode("side", F.col("side")))).alias("side"),
         latest(F.when(terms & filled("ord_type").isNotNull(), decode("ord_type", F.col("ord_type")))).alias("ord_type"),
@@ -177,12 +145,20 @@ def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id", long_
         latest(F.when(rejected | kind.isin("9", "Q"), filled("text"))).alias("text"),
         latest(F.when(rejected, codec.whole(F.col("ord_rej_reason")))).alias("ord_rej_reason"),
         latest(F.when(kind == "9", codec.whole(F.col("cxl_rej_reason")))).alias("cxl_rej_reason"),
-        seen(F.when(fresh & trans.isin("CANCEL", "CORRECT"), filled("exec_ref_id"))).alias("busted_exec_ids"),
+        F.count("__bust").over(_so_far()).cast("int").alias("busted_count"), F.col("__bust").alias("new_busted_id"),
         latest(parent).alias("tagged_parent_id"), parent.alias("cause_parent_id"),
         F.row_number().over(_chain()).cast("bigint").alias("update_count"),
         F.first("ts").over(_so_far()).alias("first_seen_ts"), F.col("ts").alias("last_update_ts"), kind.alias("last_msg_type"),
         kind.alias("cause_msg_type"), F.col("cl_ord_id").alias("cause_cl_ord_id"), F.col("exec_id").alias("cause_exec_id"),
     )
     return out.withColumn("is_terminal", is_terminal(F.col("ord_status"))).withColumn(
-        "chain_key", F.coalesce(F.try_element_at("cl_ord_id_history", F.lit(1)), "cl_ord_id", "order_id")
+        "chain_key", F.coalesce(F.get("cl_ord_id_history", F.lit(0)), "cl_ord_id", "order_id")
     )
+
+
+def latest_states(changed: DataFrame) -> DataFrame:
+    """The last version of every order, with the lists of its execution ids and busted ids in order (one aggregation)."""
+    ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c])
+    kept = [c for c in changed.columns if c not in ("new_exec_id", "new_busted_id")]
+    grouped = changed.groupBy("chain_id").agg(F.max_by(F.struct(*kept), "seq").alias("v"), ids("new_exec_id").alias("exec_ids"), ids("new_busted_id").alias("busted_exec_ids"))
+    return grouped.select("v.*", "exec_ids", "busted_exec_ids")

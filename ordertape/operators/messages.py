@@ -34,11 +34,11 @@ def strictly_parsed(tape: DataFrame, raw_col: str = "raw") -> DataFrame:
 def lifted(messages: DataFrame, fields_col: str = "fields") -> DataFrame:
     """First value of every known tag as a text column; empty values are null.
 
-    The map of first values is built once per row, in the same code stage.
+    Plans that filter or join lifted rows should read them from a stage table:
+    Catalyst moves a filter below the projection and repeats the parser in it.
     """
-    with_map = messages.withColumn("__tags", codec.tag_map(F.col(fields_col)))
-    names = {n: F.nullif(F.try_element_at("__tags", F.lit(tag)), F.lit("")) for n, (tag, _) in LIFTED.items()}
-    return with_map.withColumns(names).drop("__tags")
+    found = codec.lift(F.col(fields_col), {n: tag for n, (tag, _) in LIFTED.items()})
+    return messages.withColumns({n: F.nullif(c, F.lit("")) for n, c in found.items()})
 
 
 def typed(name: str) -> Column:

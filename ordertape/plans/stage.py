@@ -11,10 +11,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_KEY = "ordertape.local.checkpoint.dir"
+_KEPT: dict[tuple[str, str], DataFrame] = {}  # by application and name
+_SWEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,8 +38,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{folder}"
 
 
+def _home(spark: SparkSession) -> str:
+    """The folder of this application's stage tables; it goes when the driver ends."""
+    home = f"{shared_dir(spark)}/stages/{spark.sparkContext.applicationId}"
+    if home not in _SWEPT:
+        _SWEPT.add(home)
+        atexit.register(_sweep, spark, home)
+    return home
+
+
+def _sweep(spark: SparkSession, home: str) -> None:
+    try:
+        _delete(spark, home)
+    except Exception:  # noqa: BLE001 - the session was stopped before: its owner clears the shared folder
+        pass
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
+    return f"{_home(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -50,11 +74,20 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     return table
 
 
-def drop(table: DataFrame) -> None:
-    """Delete a stage table that no later plan reads."""
-    path = getattr(table, "_stage_path", None)
-    if path is None:
-        return
-    spark = table.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage table that is written at its first use and read again by later plans of the application."""
+    held = (spark.sparkContext.applicationId, f"{name} {key}")
+    if held not in _KEPT:
+        _KEPT[held] = save(build(), name)
+    table = _KEPT[held]
+    again = spark.read.schema(table.schema).parquet(table._stage_path)
+    again._stage_path = table._stage_path
+    return again
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete stage tables that no later plan reads."""
+    for table in tables:
+        path = getattr(table, "_stage_path", None)
+        if path is not None:
+            _delete(table.sparkSession, path)

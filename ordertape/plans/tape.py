@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ordertape.plans import stage
+
 TABLES = ("customer", "orders", "lineitem", "events", "nation", "region", "supplier", "part")
 
 _DAY = "((EXTRACT(YEAR FROM {t}) - 1970) * 372 + EXTRACT(MONTH FROM {t}) * 31 + EXTRACT(DAY FROM {t}))"
@@ -129,6 +131,10 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seq, ts, raw``: the tape as wire text."""
-    views(spark, sf_dir, ("orders", "lineitem"))
-    return spark.sql(f"WITH {TAPE} SELECT seq, ts, {RAW} AS raw FROM tape")
+    """``seq, ts, raw``: the tape as wire text, derived once in an application and then read as the stored source it stands for."""
+
+    def build() -> DataFrame:
+        views(spark, sf_dir, ("orders", "lineitem"))
+        return spark.sql(f"WITH {TAPE} SELECT seq, ts, {RAW} AS raw FROM tape")
+
+    return stage.once(spark, "wire", sf_dir, build)

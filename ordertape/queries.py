@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ordertape.functions import codec
 from ordertape.functions.codes import CXL_REJ_RESPONSE_TO, EXEC_TYPE, ORD_STATUS, ORD_TYPE, SIDE, TERMINAL, decode, encode
 from ordertape.operators import chain, fold, messages, rollup, state, typed
+from ordertape.plans import stage
 from ordertape.plans.tape import RAW, TAPE, raw_tape, tape
 from ordertape.plans.tape import views as _views
 
@@ -41,7 +42,13 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.lifted(_parsed(spark, sf_dir))
+    """Parsed and lifted messages as a stage table: parsed once, whatever the plan above reads it for."""
+    return stage.once(spark, "lifted", sf_dir, lambda: messages.lifted(_parsed(spark, sf_dir)).drop("raw", "fields", "parse_error"))
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folded versions as a stage table, for plans that read them several times."""
+    return stage.save(fold.versions(_single_chain(spark, sf_dir)), "versions")
 
 
 def _single_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +228,7 @@ def c22_partition_path(spark, sf_dir):
 @query(f"""{_WITH} SELECT seq, msg_type, account, symbol, cl_ord_id, orig_cl_ord_id, order_id, exec_id, exec_ref_id, parent_id AS secondary_cl_ord_id, side,
 order_qty, CAST(price AS DOUBLE) AS price, last_qty, last_px, cum_qty, leaves_qty, avg_px, ord_status, exec_type, text FROM tape""")
 def p2_lift_tags(spark, sf_dir):
-    rows = _lifted(spark, sf_dir)
+    rows = messages.lifted(_parsed(spark, sf_dir))
     names = ("msg_type", "account", "symbol", "cl_ord_id", "orig_cl_ord_id", "order_id", "exec_id", "exec_ref_id", "secondary_cl_ord_id", "side", "order_qty",
              "price", "last_qty", "last_px", "cum_qty", "leaves_qty", "avg_px", "ord_status", "exec_type", "text")
     return rows.select("seq", *(messages.typed(n).alias(n) for n in names))
@@ -356,14 +363,14 @@ def fold_status(spark, sf_dir):
 @query(f"""{_FLAGGED} SELECT chain_id, STRING_AGG(DISTINCT exec_ref_id, ',' ORDER BY exec_ref_id) AS busted FROM flagged
 WHERE msg_type = '8' AND NOT dup AND exec_trans_type = '1' GROUP BY chain_id""")
 def fold_busted(spark, sf_dir):
-    latest = state.latest_by(fold.versions(_single_chain(spark, sf_dir)), "chain_id", "seq")
+    latest = fold.latest_states(fold.versions(_single_chain(spark, sf_dir)))
     return latest.where("size(busted_exec_ids) > 0").select("chain_id", F.array_join(F.array_sort("busted_exec_ids"), ",").alias("busted"))
 
 
 @query(f"""{_CHAINS} SELECT chain_id, COUNT(DISTINCT CASE WHEN msg_type = '8' THEN exec_id END) AS exec_id_count,
 STRING_AGG(DISTINCT cl_ord_id, ',' ORDER BY cl_ord_id) AS cl_ord_ids, MIN(ts) AS first_seen, MAX(seq) AS last_seq FROM msgs GROUP BY chain_id""")
 def fold_bookkeeping(spark, sf_dir):
-    latest = state.latest_by(fold.versions(_single_chain(spark, sf_dir)), "chain_id", "seq")
+    latest = fold.latest_states(fold.versions(_single_chain(spark, sf_dir)))
     return latest.select(
         "chain_id", F.size("exec_ids").cast("bigint").alias("exec_id_count"), F.array_join(F.array_sort("cl_ord_id_history"), ",").alias("cl_ord_ids"),
         F.col("first_seen_ts").alias("first_seen"), F.col("seq").alias("last_seq"),
@@ -379,7 +386,7 @@ def j1_chain_resolution(spark, sf_dir):
 
 def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     versions = fold.versions(_single_chain(spark, sf_dir))
-    return versions, state.latest_by(versions, "chain_id", "seq")
+    return versions, fold.latest_states(versions)
 
 
 @query(f"{_CHAINS} SELECT cl_ord_id AS id_value, chain_id FROM msgs WHERE cl_ord_id LIKE '%R' GROUP BY ALL")
@@ -455,9 +462,8 @@ FROM trg t JOIN lnk l ON t.parent = l.parent AND l.since <= t.seq JOIN ver v ON
 GROUP BY t.parent, t.seq""")
 def a2_parent_rollup(spark, sf_dir):
     """The aggregate of a parent's children as of every message that refreshes it."""
-    versions = fold.versions(_single_chain(spark, sf_dir))
-    return rollup.parent_versions(versions).where("not own").select(
-        "chain_id", "seq", "cum_qty", "leaves_qty", F.size("child_order_ids").cast("bigint").alias("n_children")
+    return rollup.parent_versions(_versions(spark, sf_dir)).where("not own").select(
+        "chain_id", "seq", "cum_qty", "leaves_qty", F.col("child_order_count").cast("bigint").alias("n_children")
     )
 
 
@@ -465,7 +471,7 @@ def a2_parent_rollup(spark, sf_dir):
        " ELSE 'UPDATE' END AS kind FROM msgs) GROUP BY kind")
 def change_stream(spark, sf_dir):
     """Own changes by kind (roll-up rows are checked on the golden tape)."""
-    versions = fold.versions(_single_chain(spark, sf_dir))
+    versions = _versions(spark, sf_dir)
     rows = rollup.changes(versions, rollup.parent_versions(versions)).where("not is_rollup")
     return rows.groupBy("change_kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -476,7 +482,6 @@ def change_stream(spark, sf_dir):
 @query(f"{_WITH} SELECT msg_type, COUNT(*) AS n, SUM(order_qty) AS order_qty FROM tape GROUP BY msg_type")
 def snk1_archive_round_trip(spark, sf_dir):
     """Write the raw rows to partitioned Parquet, compact every partition, and query them back by SQL."""
-    from ordertape.plans import stage
     from ordertape.sources.archive import Archive
 
     archive = Archive(spark, stage.new_path(spark, "archive"), template="{yyyy}")
@@ -488,7 +493,6 @@ def snk1_archive_round_trip(spark, sf_dir):
 @query(f"{_FLAGGED} SELECT COUNT(*) AS n, COUNT(DISTINCT chain_id) AS n_chains FROM msgs")
 def t1_streaming_fold(spark, sf_dir):
     """The keyed streaming fold over the resolved tape, drained once."""
-    from ordertape.plans import stage
     from ordertape.streaming import live
 
     names = live._FOLD_INPUT
@@ -501,8 +505,8 @@ def t1_streaming_fold(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire text to latest states: parse, resolve chains from identifiers, fold, keep the last version."""
-    versions = fold.versions(chain.resolve(_lifted(spark, sf_dir)))
-    return state.latest_by(versions, "chain_id", "seq").select("chain_key", "order_id", "symbol", "ord_status", "order_qty", "cum_qty", "leaves_qty", "update_count")
+    rows = stage.save(messages.lifted(_parsed(spark, sf_dir)).drop("raw", "fields", "parse_error"), "lifted")
+    return fold.latest_states(fold.versions(chain.resolve(rows))).select("chain_key", "order_id", "symbol", "ord_status", "order_qty", "cum_qty", "leaves_qty", "update_count")
 
 
 @query()

@@ -18,8 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordertape.operators import messages
+from ordertape.plans import stage
 from ordertape.sources.archive import files, fs_of
 
+#: Batches after which the identifier index is merged into one run.
+COMPACT_EVERY = 16
 RAW_SCHEMA = "seq bigint, ts timestamp_ntz, raw string"
 _FOLD_INPUT = ("seq", "ts", "msg_type", "cl_ord_id", "order_id", "exec_id", "ord_status", "exec_type", "cum_qty", "leaves_qty", "avg_px")
 
@@ -34,10 +37,12 @@ class ChainStage:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def index(self, before: int | None = None) -> DataFrame:
-        """Latest binding of each identifier, from batches before ``before``."""
+    def index(self, before: int | None = None, ids: DataFrame | None = None) -> DataFrame:
+        """Latest binding of each identifier (of ``ids`` only, if given) from batches before ``before``."""
         rows = self._read("index", "id string, chain_id bigint, seq bigint, batch bigint")
         rows = rows if before is None else rows.where(F.col("batch") < before)
+        if ids is not None:
+            rows = rows.join(ids, "id", "left_semi")
         return rows.groupBy("id").agg(F.max_by("chain_id", "seq").alias("chain_id"), F.max("seq").alias("seq"))
 
     def resolved(self) -> DataFrame:
@@ -51,28 +56,41 @@ class ChainStage:
         return (reader.schema(schema) if schema else reader).parquet(path)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        from ordertape.operators.chain import _ids, resolve
+        from ordertape.operators.chain import identifiers, resolve
 
-        lifted = messages.lifted(messages.parsed(batch).where("fields is not null")).drop("fields", "parse_error")
+        lifted = stage.save(messages.lifted(messages.parsed(batch).where("fields is not null")).drop("fields", "parse_error"), "batch")
         # bindings of earlier batches take part as messages that only name one identifier
-        known = self.index(batch_id)
-        touched = lifted.select(F.explode(_ids("A")).alias("id")).distinct()
-        old = known.join(touched, "id")
+        old = self.index(batch_id, lifted.select(F.explode(identifiers(lifted)).alias("id")).distinct())
         column = F.substring("id", 1, 1)
         value = F.expr("substring(id, 3)")
-        seeds = old.select(
+        seeds = stage.save(old.select(
             (F.lit(-1) - F.xxhash64("id").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFE))).alias("seq"), F.lit(None).cast("timestamp_ntz").alias("ts"),
             F.when(column == "O", value).alias("order_id"), F.when(column == "C", value).alias("cl_ord_id"), F.when(column == "E", value).alias("exec_id"),
             F.col("chain_id").alias("__old"),
-        )
-        # several seeds may stand for one old chain: what resolves to any of them belongs to it
+        ), "seeds")
         marked = lifted.unionByName(seeds.drop("__old"), allowMissingColumns=True)
-        found = resolve(marked)
-        back = found.where("seq < 0").join(seeds.select("seq", "__old"), "seq").groupBy("chain_id").agg(F.min("__old").alias("__old"))
-        rows = found.where("seq > 0").join(back, "chain_id", "left").withColumn("chain_id", F.coalesce("__old", "chain_id")).drop("__old", "component")
+        found = resolve(marked).where("seq > 0")
+        back = seeds.select(F.col("seq").alias("chain_id"), "__old")
+        rows = stage.save(found.join(back, "chain_id", "left").withColumn("chain_id", F.coalesce("__old", "chain_id")).drop("__old"), "batch")
         self._put(rows, "messages", batch_id)
-        bound = rows.select("chain_id", "seq", F.explode(_ids("A")).alias("id")).groupBy("id").agg(F.max_by("chain_id", "seq").alias("chain_id"), F.max("seq").alias("seq"))
+        bound = rows.select("chain_id", "seq", F.explode(identifiers(rows)).alias("id")).groupBy("id").agg(F.max_by("chain_id", "seq").alias("chain_id"), F.max("seq").alias("seq"))
         self._put(bound.select("id", "chain_id", "seq", F.lit(batch_id).cast("bigint").alias("batch")), "index", batch_id)
+        stage.drop(lifted, seeds, rows)
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """Replace the index files of batches before ``batch_id`` by one run with one row for each identifier.
+
+        The run is written before the others go, and a binding that is read twice changes nothing, so a failure in between does no harm.
+        """
+        merged = self.index(batch_id).select("id", "chain_id", "seq", F.lit(batch_id - 1).cast("bigint").alias("batch"))
+        merged.write.mode("overwrite").parquet(f"{self.folder}/index/run={batch_id:012d}")
+        fs, top = fs_of(self.spark, f"{self.folder}/index")
+        for found in fs.listStatus(top):
+            kind, _, number = found.getPath().getName().partition("=")
+            if number and int(number) < batch_id:
+                fs.delete(found.getPath(), True)
 
     def _put(self, rows: DataFrame, name: str, batch_id: int) -> None:
         # a batch has its own directory: a repeated batch overwrites itself
