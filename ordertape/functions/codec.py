@@ -56,29 +56,30 @@ def parse(raw: Column, delimiter: Column | None = None) -> Column:
     return F.when(parse_error(raw, delimiter).isNull(), fields)
 
 
-def pieces(raw: Column) -> Column:
-    """Every field with its tag (null when it is not a number) and whether it has an ``=``; one pass over the text."""
-    bare = F.regexp_replace(raw, r"[\r\n]+$", "")
+def tokens(raw: Column) -> Column:
+    """The non-empty pieces between the delimiters of a message."""
+    bare = F.rtrim(raw, F.lit("\r\n"))
     parts = F.when(F.contains(raw, F.lit(SOH)), F.split(bare, SOH)).when(F.contains(raw, F.lit("|")), F.split(bare, r"\|")).otherwise(F.array(bare))
-    return F.transform(
-        F.filter(parts, lambda x: x != ""),
-        lambda x: F.struct(_tag(x).alias("tag"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value"), F.contains(x, F.lit("=")).alias("eq")),
-    )
+    return F.when(raw.isNotNull(), F.array_remove(parts, ""))
+
+
+def token_tags(found: Column) -> Column:
+    return F.transform(found, _tag)
+
 
+def token_values(found: Column) -> Column:
+    return F.transform(found, lambda x: F.substr(x, F.instr(x, "=") + 1))
 
-def pieces_error(found: Column) -> Column:
+
+def token_error(found: Column, tags: Column) -> Column:
     return (
         F.when(found.isNull() | (F.size(found) == 0), F.lit("empty message"))
-        .when(F.exists(found, lambda p: ~p["eq"]), F.lit("field without ="))
-        .when(F.exists(found, lambda p: p["tag"].isNull()), F.lit("tag is not a number"))
-        .when(F.exists(found, lambda p: p["tag"] <= 0), F.lit("tag is not positive"))
+        .when(F.exists(found, lambda x: ~F.contains(x, F.lit("="))), F.lit("field without ="))
+        .when(F.size(F.array_compact(tags)) < F.size(tags), F.lit("tag is not a number"))
+        .when(F.array_min(tags) <= 0, F.lit("tag is not positive"))
     )
 
 
-def fields_of(found: Column) -> Column:
-    return F.transform(found, lambda p: F.struct(p["tag"].alias("tag"), p["value"].alias("value")))
-
-
 def has_data_fields(raw: Column) -> Column:
     """Whether a length tag occurs, so that a data value may hold delimiters."""
     return raw.rlike(rf"(^|[\x01|])\s*({'|'.join(map(str, DATA_FIELDS))})\s*=")
@@ -195,13 +196,21 @@ def has_tag(fields: Column, tag: int) -> Column:
     return F.exists(fields, lambda f: f["tag"] == tag)
 
 
-def lift(fields: Column, tags: dict[str, int]) -> dict[str, Column]:
-    """First value of each tag, by name; ``fields`` should be a plain column, as it is used twice for every tag.
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a one-element ``transform`` binds it to a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def lift(fields: Column, tags: list[int]) -> Column:
+    """Array of the first value of each tag; null where it is absent or empty.
 
-    A search in the array of tag numbers and a positional read, both in generated code.
+    One expression for all tags: a projection with a search for every tag
+    becomes a method too large for the JIT compiler, and what the search refers
+    to is bound once, as Catalyst moves a column that is named once into the loop.
     """
-    numbers, values = fields["tag"], fields["value"]
-    return {n: F.get(values, (F.array_position(numbers, F.lit(t)) - 1).cast("int")) for n, t in tags.items()}
+    arrays = F.struct(F.transform(fields, lambda f: f["tag"]).alias("tags"), F.transform(fields, lambda f: f["value"]).alias("values"))
+    first = lambda x: F.transform(F.lit(tags), lambda t: F.get(x["values"], (F.array_position(x["tags"], t) - 1).cast("int")))
+    return F.transform(let(arrays, first), lambda v: F.nullif(v, F.lit("")))
 
 
 def number(value: Column, default: float | None = None) -> Column:

@@ -15,14 +15,14 @@ CAPTURED = ("D", "G", "F", "8", "9", "Q")
 def parsed(tape: DataFrame, raw_col: str = "raw", with_data: bool = False) -> DataFrame:
     """``tape`` with ``fields`` (null for a malformed message) and ``parse_error``."""
     raw = F.col(raw_col)
-    # the pieces are split once and then only referred to
-    pieces = tape.withColumn("__pieces", codec.pieces(raw))
-    checked = pieces.withColumn("parse_error", codec.pieces_error(F.col("__pieces")))
-    fields = F.when(F.col("parse_error").isNull(), codec.fields_of(F.col("__pieces")))
+    # each step is named more than once, so Catalyst computes it once and refers to it
+    found = tape.withColumn("__tokens", codec.tokens(raw)).withColumn("__tags", codec.token_tags(F.col("__tokens")))
+    checked = found.withColumn("parse_error", codec.token_error(F.col("__tokens"), F.col("__tags")))
+    fields = F.when(F.col("parse_error").isNull(), F.arrays_zip(F.col("__tags"), codec.token_values(F.col("__tokens")).alias("__values")).cast(codec.FIELDS_TYPE))
     if with_data:
         slow = codec.has_data_fields(raw)
         fields = F.when(slow, codec.parse_with_data(F.when(slow, raw))).otherwise(fields)
-    return checked.withColumn("fields", fields).drop("__pieces")
+    return checked.withColumn("fields", fields).drop("__tokens", "__tags")
 
 
 def strictly_parsed(tape: DataFrame, raw_col: str = "raw") -> DataFrame:
@@ -37,8 +37,8 @@ def lifted(messages: DataFrame, fields_col: str = "fields") -> DataFrame:
     Plans that filter or join lifted rows should read them from a stage table:
     Catalyst moves a filter below the projection and repeats the parser in it.
     """
-    found = codec.lift(F.col(fields_col), {n: tag for n, (tag, _) in LIFTED.items()})
-    return messages.withColumns({n: F.nullif(c, F.lit("")) for n, c in found.items()})
+    found = messages.withColumn("__found", codec.lift(F.col(fields_col), [tag for tag, _ in LIFTED.values()]))
+    return found.withColumns({n: F.get("__found", F.lit(k)) for k, n in enumerate(LIFTED)}).drop("__found")
 
 
 def typed(name: str) -> Column:

@@ -82,7 +82,8 @@ def src1_wire_text(spark, sf_dir):
 SELECT CAST(SPLIT_PART(t, '=', 1) AS INTEGER) AS tag, COUNT(*) AS n, COUNT(DISTINCT SPLIT_PART(t, '=', 2)) AS n_values FROM f GROUP BY 1""")
 def c1_parse_fields(spark, sf_dir):
     """Occurrences and distinct values of every tag."""
-    rows = _parsed(spark, sf_dir).select(F.explode("fields").alias("f"))
+    # an outer explode: for an inner one Catalyst infers a filter, which would parse again below the projection
+    rows = _parsed(spark, sf_dir).select(F.explode_outer("fields").alias("f")).where("f is not null")
     return rows.groupBy("f.tag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("f.value").alias("n_values"))
 
 
