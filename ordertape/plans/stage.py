@@ -49,12 +49,13 @@ def _home(spark: SparkSession) -> str:
 
 def _sweep(spark: SparkSession, home: str) -> None:
     try:
-        _delete(spark, home)
+        delete(spark, home)
     except Exception:  # noqa: BLE001 - the session was stopped before: its owner clears the shared folder
         pass
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -90,4 +91,4 @@ def drop(*tables: DataFrame) -> None:
     for table in tables:
         path = getattr(table, "_stage_path", None)
         if path is not None:
-            _delete(table.sparkSession, path)
+            delete(table.sparkSession, path)
