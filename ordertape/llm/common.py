@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -70,31 +71,55 @@ def shared_value(broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
-#: Bits of a key filter (4 MB, whatever the table's size).
+#: Bits of a key filter (4 MB, whatever the table's size; with far more keys than bits it lets every row through).
 FILTER_BITS = 1 << 25
 
 
-def key_filter(keys: DataFrame, column: str):
+def key_filter(keys: DataFrame, column: str) -> bytearray:
     """A bit set of fixed size over 64-bit keys: tells keys that are certainly absent."""
-    places = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b")).selectExpr("b >> 6 AS w", "shiftleft(1L, b & 63) AS m")
-    found = places.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 64 rows
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    bits[found.column("w").to_numpy()] = found.column("m").to_numpy().view(np.uint64)
-    return share(keys.sparkSession, bits)
+    places = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b")).selectExpr("b >> 3 AS w", "shiftleft(1, b & 7) AS m")
+    found = places.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 8 rows
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    bits[found.column("w").to_numpy()] = found.column("m").to_numpy()
+    return bytearray(bits.tobytes())
 
 
-def keep_maybe(shared, column: str, invert: bool = False):
-    """A ``mapInArrow`` function: rows whose key may be in the filter (or, inverted, the others)."""
+def maybe(bits: bytearray, column: str) -> Column:
+    """Whether a row's key may be in the filter, as an expression: rows are not moved to a Python worker for it."""
+    at = F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substr(F.lit(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
+    return hit == 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared_value(shared)
-        for batch in batches:
-            if batch.num_rows:
-                b = np.mod(batch.column(batch.schema.get_field_index(column)).to_numpy(), FILTER_BITS)
-                hit = ((bits[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                yield batch.filter(pa.array(hit != invert))
 
-    return run
+#: Rows of text that travel to a Python worker at once, at most.
+BATCH_ROWS = 512
+
+
+def map_text(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts; the session's Arrow batches become small enough for long texts.
+
+    The bound is a session setting because Spark has none for a single operator; a smaller one is left as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(conf.get(name))
+    if held <= 0 or held > BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for plans that are run inside the block (``__`` stands for a point); restored afterwards."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)

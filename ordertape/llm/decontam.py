@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import Words, byte_set, share, shared_value, slices, utf8
+from ordertape.llm.common import Words, byte_set, map_text, share, shared_value, slices, utf8
 
 SHARD_ITEMS = 20_000
 BLOCK = 16
@@ -353,7 +353,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        part = rows.mapInArrow(run, schema)
+        part = map_text(rows, run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -374,5 +374,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **
                     clean = [not hits for hits in search_all(held, utf8(part.column(at)), coder=coder, **options)]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
-        kept = kept.mapInArrow(run, schema)
+        kept = map_text(kept, run, schema)
     return kept

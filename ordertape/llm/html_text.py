@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import slices
+from ordertape.llm.common import map_text, slices
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes textarea title plaintext".split())
@@ -333,4 +333,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return map_text(rows, run, f"page_id {kind}, url string, text string, n_chars bigint")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ordertape.llm.common import crc_of_id, share, shared_value, slices
+from ordertape.llm.common import crc_of_id, map_text, share, shared_value, slices
 
 DIM = 2048
 SYMBOLS = 64
@@ -125,7 +125,7 @@ def train(docs: DataFrame, where: Column | None = None, text_col: str = "text",
                 names=["lang", "gram", "n"],
             )
 
-    found = rows.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    found = map_text(rows, count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = found.column("lang").to_pylist()
     languages = sorted(set(names))
     at = {name: k for k, name in enumerate(languages)}
@@ -145,22 +145,23 @@ def _score(text: str | None, table: np.ndarray, profiles: Profiles) -> tuple[str
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its cosine (clipped to 0..1) added."""
+    """``docs`` with the predicted language and its cosine (clipped to 0..1) added; columns of those names are replaced."""
     shared = share(docs.sparkSession, profiles)
-    schema = StructType([*docs.schema.fields, StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
+    at = docs.columns.index(text_col)
+    kept = [k for k, c in enumerate(docs.columns) if c not in (lang_out, score_out)]
+    schema = StructType([*(docs.schema.fields[k] for k in kept), StructField(lang_out, StringType()), StructField(score_out, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held = symbol_table(), shared_value(shared)
         for batch in batches:
-            for part in slices(batch, text_col):
-                at = part.schema.get_field_index(text_col)
+            for part in slices(batch, batch.schema.names[at]):
                 found = [_score(t.as_py(), table, held) for t in part.column(at)]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
-                    names=[*part.schema.names, lang_out, score_out],
+                    [*(part.column(k) for k in kept), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
+                    names=[f.name for f in schema.fields],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return map_text(docs, run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import SLICE_BYTES, partitions_for, slices
+from ordertape.llm.common import SLICE_BYTES, map_text, partitions_for, slices
 from ordertape.plans import stage
 
 CAPACITY = 2048
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("copy"))
-    return rows.mapInArrow(run, f"doc_id {kind}, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return map_text(rows, run, f"doc_id {kind}, copy bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 class Packing:

@@ -24,6 +24,7 @@ empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import keep_maybe, key_filter, partitions_for, slices, utf8
+from ordertape.llm.common import key_filter, map_text, maybe, partitions_for, settings, slices, utf8
 from ordertape.operators.components import connected_components
 from ordertape.plans import stage
 
@@ -69,9 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values)], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp bigint"
-    )
+    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, fp bigint")
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
@@ -228,7 +227,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rad
     """
     fps = stage.save(fingerprints(docs, id_col, text_col), "simhash")
     nodes = stage.save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-nodes")
-    joined = connected_components(linked_fingerprints(nodes.select("fp"), radius), "a", "b")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="10000"):  # numbers, not texts
+        links = stage.save(linked_fingerprints(nodes.select("fp"), radius), "simhash-links")
+    joined = connected_components(links, "a", "b")
+    stage.drop(links)
     labelled = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "rep", F.coalesce("component", "fp").alias("component")
     )
@@ -248,17 +250,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     """
     found = stage.save(classes(docs, id_col, text_col, radius), "simhash-classes")
     # documents move only when their id may be among those to drop; the others pass in place
-    dropped = stage.save(
-        found.where(F.col("doc_id") != F.col("component_id")).select(F.xxhash64("doc_id").alias("__key"), F.col("doc_id").alias("__drop")).distinct(), "dropped"
-    )
-    bits = key_filter(dropped, "__key")
-    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col)))
-    maybe = keyed.mapInArrow(keep_maybe(bits, "__key"), keyed.schema).drop("__key")
-    maybe = maybe.join(dropped.drop("__key"), maybe[id_col] == dropped["__drop"], "left_anti")
-    rows = keyed.mapInArrow(keep_maybe(bits, "__key", invert=True), keyed.schema).drop("__key").unionByName(maybe)
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+    dropped = stage.save(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
+    key = f"__key_{uuid.uuid4().hex}"
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col)))
+    hit = maybe(key_filter(dropped.select(F.xxhash64("__drop").alias("key")), "key"), key)
+    judged = keyed.where(hit).drop(key)
+    judged = judged.join(dropped, judged[id_col] == dropped["__drop"], "left_anti")
+    rows = keyed.where(~hit).drop(key).unionByName(judged)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    stage.drop(found)
+    if repeated:
         named = rows.where(F.col(id_col).isNotNull())
         order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last())
-        named = named.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+        named = named.withColumn(key, F.row_number().over(order)).where(F.col(key) == 1).drop(key)
         rows = named.unionByName(rows.where(F.col(id_col).isNull()))
     return rows

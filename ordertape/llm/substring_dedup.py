@@ -6,14 +6,16 @@ each window has an anchor, the ``ANCHOR``-word run inside it with the smallest
 hash, and equal windows have equal anchors, so a window can only repeat when its
 anchor does.
 
-* The index is log-structured. Anchor hashes of a batch are aggregated and
-  merge-joined with the sorted, immutable run of all earlier batches; counts are
-  added up and the result is written as the next sorted run, which replaces the
-  older one (compaction). A hash that occurred once keeps where.
+* The index is log-structured: immutable runs, bucketed and sorted by hash, in a
+  folder that a later session can open again. A new batch is aggregated and
+  merge-joined with the run of everything before it, bucket by bucket, so the
+  history is neither shuffled nor sorted again; counts are added up and the
+  result is written as the next run, which replaces the older one (compaction).
+  A hash that occurred once keeps where.
 * Anchors that occurred once are taken from each text's list; what is left are
-  the candidates. Their windows are verified by 128-bit digests of the windows'
-  words, aggregated over all texts; digests that occurred once name the
-  candidates to drop. All others are repeats.
+  the candidates. Their windows are verified by content: 128-bit BLAKE2b digests
+  of the windows' words, joined by one space, are aggregated over all texts;
+  digests that occurred once name the candidates to drop. All others are repeats.
 
 Equal texts are judged once, with their number as weight. Aggregations combine
 before the shuffle and keep no lists by hash, so a passage in a third of all
@@ -30,8 +32,8 @@ kept by :func:`clean`; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import Words, byte_set, keep_maybe, key_filter, mix64, slices, utf8
+from ordertape.llm.common import Words, byte_set, key_filter, map_text, maybe, mix64, partitions_for, settings, slices, utf8
 from ordertape.plans import stage
 
 WINDOW = 35
 ANCHOR = 12
 BATCHES = 2
 _SPACE = byte_set(0x20, *range(0x09, 0x0E))
-_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_BASE = 0xD6E8FEB86659FD93
 
 
 def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -101,7 +103,7 @@ def anchors(words: Words) -> tuple[np.ndarray, np.ndarray]:
     if not ok.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     span = WINDOW - ANCHOR + 1
-    a = rolling(words.hashes, ANCHOR, _BASES[0])
+    a = rolling(words.hashes, ANCHOR, _BASE)
     low = _sliding(a, span, np.minimum)
     low = np.where(ok[:len(low)], low, np.uint64(0))
     # a run is an anchor when it is the smallest of some window that holds it
@@ -128,34 +130,73 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-class FingerprintIndex:
-    """Runs of ``(hash, n, k1, k2, at)`` sorted by hash; the last three say where a hash with ``n = 1`` is."""
+_ROW = "hash bigint, n bigint, k1 bigint, k2 bigint, at int"
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.run = spark, None
 
-    def add(self, batch: DataFrame) -> None:
-        """Merge-join a batch of ``(hash, weight, k1, k2, at)`` rows with the run and compact."""
+class FingerprintIndex:
+    """A run of ``(hash, n, k1, k2, at)`` bucketed and sorted by hash; the last three say where a hash with ``n = 1`` is.
+
+    ``folder`` holds the runs (``run-<number>-<buckets>``); opened again it continues after its newest finished run.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+        self.spark, self.folder = spark, (folder or stage.new_path(spark, "fingerprints")).rstrip("/")
+        self.number, self.buckets, self.run = 0, partitions_for(spark.range(0)), None
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path(self.folder)):
+            names = sorted(s.getPath().getName() for s in fs.listStatus(path(self.folder)))
+            for name in reversed([n for n in names if n.startswith("run-") and fs.exists(path(f"{self.folder}/{n}/_SUCCESS"))]):
+                self.number, self.buckets = int(name.split("-")[1]), int(name.split("-")[2])
+                self.run = self._table(self._path())
+                break
+
+    def _path(self) -> str:
+        return f"{self.folder}/run-{self.number:08d}-{self.buckets:06d}"
+
+    def _table(self, path: str) -> DataFrame:
+        """The run with its buckets known to Spark: an entry in the session's catalog over the folder."""
+        name = f"run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({_ROW}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        self.name = name
+        return self.spark.table(name)
+
+    def merged(self, batch: DataFrame) -> DataFrame:
+        """The next run: a batch of ``(hash, weight, k1, k2, at)`` rows merge-joined with the run before."""
         fresh = batch.groupBy("hash").agg(F.sum("weight").alias("n"), F.any_value("k1").alias("k1"), F.any_value("k2").alias("k2"), F.any_value("at").alias("at"))
-        if self.run is not None:
-            old = self.run.select("hash", F.col("n").alias("m"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("at").alias("oat"))
-            fresh = old.hint("merge").join(fresh, "hash", "full").select(
-                "hash", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"),
-                F.coalesce("o1", "k1").alias("k1"), F.coalesce("o2", "k2").alias("k2"), F.coalesce("oat", "at").alias("at"),
-            )
-        following = stage.save(fresh.sortWithinPartitions("hash"), "run")
-        if self.run is not None:
-            stage.drop(self.run)
-        self.run = following
+        if self.run is None:
+            return fresh
+        old = self.run.select("hash", F.col("n").alias("m"), F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("at").alias("oat"))
+        return old.hint("merge").join(fresh, "hash", "full").select(
+            "hash", (F.coalesce("m", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n"),
+            F.coalesce("o1", "k1").alias("k1"), F.coalesce("o2", "k2").alias("k2"), F.coalesce("oat", "at").alias("at"),
+        )
+
+    def settings(self) -> dict[str, str]:
+        """As many shuffle partitions as buckets, and the order inside a bucket's one file trusted."""
+        return {"spark__sql__shuffle__partitions": str(self.buckets), "spark__sql__legacy__bucketedTableScan__outputOrdering": "true"}
+
+    def add(self, batch: DataFrame) -> None:
+        """Merge a batch in and compact: the new run replaces the old one once it is complete."""
+        before, name = self._path(), getattr(self, "name", None)
+        with settings(self.spark, **self.settings()):
+            rows = self.merged(batch)
+            self.number += 1
+            temporary = f"run_{uuid.uuid4().hex}"
+            writer = rows.write.format("parquet").bucketBy(self.buckets, "hash").sortBy("hash").option("compression", "zstd")
+            writer.option("path", self._path()).saveAsTable(temporary)
+            self.spark.sql(f"DROP TABLE {temporary}")  # the entry only: the files are in the index's folder
+        self.run = self._table(self._path())
+        if name is not None:
+            self.spark.sql(f"DROP TABLE {name}")
+            stage.delete(self.spark, before)
 
     def single(self) -> DataFrame:
         return self.run.where("n = 1").select("k1", "k2", "at")
 
-
-def _free(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {getattr(self, 'name', 'none')}")
+        stage.delete(self.spark, self.folder)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,22 +225,31 @@ def _candidates(n_words: int, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(change)[:-1] > 0)
 
 
+def window_digests(text: bytes, starts: np.ndarray) -> np.ndarray:
+    """128-bit digests of the windows at ``starts``, as two columns of 64 bits: of their words, joined by one space."""
+    words = text.split()
+    joined = memoryview(b" ".join(words))
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    digest = hashlib.blake2b
+    found = b"".join([digest(joined[a:b], digest_size=16).digest() for a, b in zip(begins[starts].tolist(), ends[starts + WINDOW - 1].tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(w1, w2, weight, k1, k2, at)`` of every candidate window."""
     for batch in batches:
-        for part in slices(batch, "text"):
-            words = Words(utf8(part.column(4)), _SPACE)
-            one, two = rolling(words.hashes, WINDOW, _BASES[0]), rolling(words.hashes, WINDOW, _BASES[1])
-            first = words.first.tolist()
-            local = [_candidates(b - a, np.asarray(at.values)) for a, b, at in zip(first[:-1], first[1:], part.column(3))]
-            n = np.array([len(x) for x in local])
-            row = pa.array(np.repeat(np.arange(len(local)), n))
-            at = np.concatenate(local) if local else np.zeros(0, np.int64)
-            place = at + np.repeat(words.first[:-1], n)
-            whole = [pa.array(one[place].view(np.int64)), pa.array(two[place].view(np.int64)), part.column(2).take(row), part.column(0).take(row),
-                     part.column(1).take(row), pa.array(at.astype(np.int32))]
-            for a in range(0, len(at), 50_000):
-                yield pa.RecordBatch.from_arrays([c.slice(a, 50_000) for c in whole], names=["w1", "w2", "weight", "k1", "k2", "at"])
+        for k in range(batch.num_rows):
+            text = batch.column(4)[k].as_buffer().to_pybytes()
+            starts = _candidates(len(text.split()), np.asarray(batch.column(3)[k].values))
+            key = [batch.column(c)[k] for c in (2, 0, 1)]
+            for a in range(0, len(starts), 50_000):
+                part = starts[a:a + 50_000]
+                found = window_digests(text, part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[:, 0]), pa.array(found[:, 1]), *(pa.repeat(x, len(part)) for x in key), pa.array(part.astype(np.int32))],
+                    names=["w1", "w2", "weight", "k1", "k2", "at"],
+                )
 
 
 def _spans(covered: np.ndarray) -> list[dict]:
@@ -242,7 +292,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = _keyed(docs, id_col, text_col)
     rows = stage.save(
-        keyed.mapInArrow(_marks, f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, sha string, hashes array<bigint>, at array<int>"), "marks"
+        map_text(keyed, _marks, f"doc_id {kind}, k1 bigint, k2 bigint, n_words bigint, sha string, hashes array<bigint>, at array<int>"), "marks"
     )
     rid = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     # one row for each distinct text: its weight, one of its rows, its anchors
@@ -260,25 +310,20 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
         "k1", "k2", "weight", "rid", F.when(F.col("single").isNull(), F.col("at")).otherwise(F.array_except("at", "single")).alias("at")
     )
     candidates = stage.save(left.where("size(at) > 0"), "candidates")
-    del single, left
     stage.drop(texts)
-    stage.drop(index.run)
-    _free(spark)
-    kept = keyed.mapInArrow(keep_maybe(key_filter(candidates, "k1"), "k1"), keyed.schema).withColumn("rid", rid)
+    index.drop()
+    kept = keyed.where(maybe(key_filter(candidates, "k1"), "k1")).withColumn("rid", rid)
     held = stage.save(
         candidates.join(kept.drop("doc_id"), ["k1", "k2", "rid"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "weight", "at", "text"), "held"
     )
     stage.drop(candidates)
-    _free(spark)
-    windows = held.mapInArrow(_digests, "w1 bigint, w2 bigint, weight bigint, k1 bigint, k2 bigint, at int")
+    windows = map_text(held, _digests, "w1 bigint, w2 bigint, weight bigint, k1 bigint, k2 bigint, at int")
     once = windows.groupBy("w1", "w2").agg(
         F.sum("weight").alias("n"), F.any_value("k1").alias("k1"), F.any_value("k2").alias("k2"), F.any_value("at").alias("at")
     ).where("n = 1")
     dropped = stage.save(once.groupBy("k1", "k2").agg(F.collect_list("at").alias("single")), "once")
-    _free(spark)
-    verdict = stage.save(held.join(dropped, ["k1", "k2"], "left").mapInArrow(_judge, _JUDGED), "verdicts")
-    stage.drop(held)
-    stage.drop(dropped)
+    verdict = stage.save(map_text(held.join(dropped, ["k1", "k2"], "left"), _judge, _JUDGED), "verdicts")
+    stage.drop(held, dropped)
     return rows, verdict.where("n_removed > 0")
 
 
@@ -290,12 +335,12 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     )
 
 
-def _cut(text_col: str, chars_col: str | None):
+def _cut(text_col: str, chars_col: str | None, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col):
                 names = part.schema.names
-                at, cut = names.index(text_col), names.index("__spans")
+                at, cut = names.index(text_col), names.index(spans_col)
                 texts = utf8(part.column(at))
                 for k, spans in enumerate(part.column(cut)):
                     if spans.is_valid:
@@ -308,7 +353,7 @@ def _cut(text_col: str, chars_col: str | None):
                     changed = part.column(cut).is_valid().to_pylist()
                     columns[n] = pa.array([x if c else o for x, c, o in zip(new, changed, part.column(n).to_pylist())], part.column(n).type)
                 del columns[cut]
-                yield pa.RecordBatch.from_arrays(columns, names=[c for c in names if c != "__spans"])
+                yield pa.RecordBatch.from_arrays(columns, names=[c for c in names if c != spans_col])
 
     return run
 
@@ -326,12 +371,14 @@ def remove(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = None, batches: int = BATCHES) -> DataFrame:
     """``docs`` with repeated words cut from the text, every row and column kept; untouched texts stay as they are."""
-    _, verdict = judge(docs, id_col, text_col, batches)
+    rows, verdict = judge(docs, id_col, text_col, batches)
+    stage.drop(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = verdict.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit(17), text)})
+    k1, k2, spans = (f"__{n}_{uuid.uuid4().hex}" for n in ("k1", "k2", "spans"))
+    cut = verdict.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans))
+    keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(17), text)})
     # only texts that may have a verdict are shuffled to it; the others pass in place
-    bits = key_filter(verdict, "k1")
-    touched = keyed.mapInArrow(keep_maybe(bits, "__k1"), keyed.schema).join(spans, ["__k1", "__k2"], "left").drop("__k1", "__k2")
-    rest = keyed.mapInArrow(keep_maybe(bits, "__k1", invert=True), keyed.schema).drop("__k1", "__k2")
-    return touched.mapInArrow(_cut(text_col, chars_col), docs.schema).unionByName(rest)
+    hit = maybe(key_filter(verdict, "k1"), k1)
+    touched = keyed.where(hit).join(cut, [k1, k2], "left").drop(k1, k2)
+    rest = keyed.where(~hit).drop(k1, k2)
+    return map_text(touched, _cut(text_col, chars_col, spans), docs.schema).unionByName(rest)

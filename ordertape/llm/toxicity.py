@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import crc_of_id, share, shared_value, slices
+from ordertape.llm.common import crc_of_id, map_text, share, shared_value, slices
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 12_000
@@ -192,7 +192,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 )
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    found = texts.select("doc_id", "y", "text").mapInArrow(
+    found = map_text(
+        texts.select("doc_id", "y", "text"),
         lift, f"doc_id {kind}, y int, buckets array<int>, swaps array<struct<gained: array<int>, lost: array<int>>>"
     ).toArrow()
     ids = [str(x) for x in found.column("doc_id").to_pylist()]
@@ -232,7 +233,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return map_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, score double")
 
 
 def judge(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, **names: str) -> DataFrame:
