@@ -11,6 +11,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ordertape.plans import stage
+
 #: Bytes of text that a worker turns into arrays at once (not a cap: longer texts form their own slice).
 SLICE_BYTES = 1 << 20
 
@@ -71,25 +73,23 @@ def shared_value(broadcast):
     return cloudpickle.loads(broadcast.value)
 
 
-#: Bits of a key filter (4 MB, whatever the table's size; with far more keys than bits it lets every row through).
-FILTER_BITS = 1 << 25
+#: Bits of a key filter, whatever the table's size; with far more keys than bits it lets every row through.
+FILTER_BITS = 1 << 24
 
 
-def key_filter(keys: DataFrame, column: str) -> bytearray:
-    """A bit set of fixed size over 64-bit keys: tells keys that are certainly absent."""
-    places = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b")).selectExpr("b >> 3 AS w", "shiftleft(1, b & 7) AS m")
-    found = places.groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()  # at most FILTER_BITS / 8 rows
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    bits[found.column("w").to_numpy()] = found.column("m").to_numpy()
-    return bytearray(bits.tobytes())
+def key_filter(keys: DataFrame, column: str) -> DataFrame:
+    """A bit set over 64-bit keys as a stage table of ``(w, m)``: at most ``FILTER_BITS / 64`` rows, which bounds its broadcast."""
+    at = keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("b"))
+    return stage.save(at.selectExpr("b >> 6 AS w", "shiftleft(1L, b & 63) AS m").groupBy("w").agg(F.bit_or("m").alias("m")), "bits")
 
 
-def maybe(bits: bytearray, column: str) -> Column:
-    """Whether a row's key may be in the filter, as an expression: rows are not moved to a Python worker for it."""
-    at = F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int")
-    byte = F.conv(F.hex(F.substr(F.lit(bits), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1))
-    return hit == 1
+def flag_maybe(rows: DataFrame, bits: DataFrame, key: Column, name: str) -> DataFrame:
+    """``rows`` with a boolean column: whether the key may be in the filter. A broadcast join, so texts stay where they are."""
+    w, m = f"{name}_w", f"{name}_m"
+    at = F.pmod(key, F.lit(FILTER_BITS)).cast("int")
+    found = rows.withColumns({w: F.shiftright(at, 6), name: at.bitwiseAND(F.lit(63))}).join(F.broadcast(bits.select(F.col("w").alias(w), F.col("m").alias(m))), w, "left")
+    hit = F.coalesce(F.call_function("shiftright", F.col(m), F.col(name)).bitwiseAND(F.lit(1)), F.lit(0)) == 1
+    return found.withColumn(name, hit).drop(w, m)
 
 
 #: Rows of text that travel to a Python worker at once, at most.

@@ -1,34 +1,40 @@
 """Embedding near-duplicates by inverted lists and product quantisation, with exact rerank.
 
 Unit vectors are assigned to the nearest of ``n_lists`` coarse centroids and
-their residuals are coded in ``M`` subspaces of 256 codes. A neighbour at angle
-arccos(t) is at most ``r = sqrt(2 - 2 t)`` away. Where two neighbours have
-different lists, each lies on its own side of the border between them, so their
-distances to that border add up to ``r`` at most and one of them is within
-``r / 2`` of it. A vector visits its own list and every list whose border lies
-within ``r / 2`` (no cap on their number): of any two neighbours one visits the
-other's list, whatever the distribution and the number of lists.
+their residuals are coded in ``SUBSPACES`` subspaces of 256 codes. Two
+neighbours with different lists lie on either side of the border between them;
+a vector therefore also visits every list whose border is within ``margin`` (no
+cap on their number), and a pair is found when either visits the other's list.
+The margin is measured, not assumed: pairs of exactly the least cosine are made
+from sample vectors and directions between sample vectors, so that they vary as
+the data do, real pairs of the sample are added, and the margin is what
+``SURE`` of them need. Closer pairs need less.
+
 The visitor is compared with the decoded members (asymmetric: the visitor is not
 quantised) by a matrix product. By the triangle inequality a neighbour's
-distance to the decoded member is at most ``r`` plus its stored coding error, so
-this filter loses nothing. What passes is compared by cosine in double precision.
-
-The members of a list are packed into tiles of about ``TILE``, one row each with
-the lists its members visit. Tiles are paired where one visits the other's list;
-no vector is copied to the lists it visits. A pair of tiles is compared once,
-which sees each pair of vectors once. Identical vectors are one node with a
-multiplicity. Tasks return link counts and a spanning forest of the links they
-saw, not all pairs. Where the vectors spread evenly over many dimensions most
-borders are near, and the work grows with the square of the table.
-
-Centroids and codes are fitted on a bounded sample (``SAMPLE`` vectors with the
-smallest hash); every vector is indexed and every vector is a query.
+distance to the decoded member is at most ``r = sqrt(2 - 2 t)`` plus its stored
+coding error, so this filter loses nothing. What passes is compared by cosine in
+double precision.
+
+Lists hold about ``LIST_SIZE`` members, so their number grows with the table, up
+to ``MAX_LISTS`` lists; beyond some 33 million vectors the lists grow. Where the
+vectors spread evenly over many dimensions the number of visited lists grows as
+well (on 64 even dimensions about with the power 0.7 of their number); a lower
+``sure`` trades that for recall. A list is dealt to tasks of at most about
+``TILE`` members and ``VISITORS`` visitors; a longer one is cut on both sides.
+Where two neighbours visit each other's lists, the pair counts in the lower one.
+Identical vectors are one node with a multiplicity. Tasks return link counts and
+a spanning forest of the links they saw, not all pairs.
+
+Centroids, codes and margin are fitted on a bounded sample (four vectors for
+each list and at least ``SAMPLE``, those with the smallest hash); every vector
+is indexed and every vector is a query.
 
 Defined cases: a vector that is null or empty, is zero, or holds a null or
 non-finite component links with nothing and is its own component; vectors of
 another length than most link only among vectors of their length; repeated rows
 link with each other; an empty table gives an empty result; null ids keep their
-row and name no component unless alone.
+row and name no component unless alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +45,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +56,14 @@ from ordertape.plans import stage
 
 COSINE = 0.9
 SAMPLE = 16_384
-LIST_SIZE = 2048
+LIST_SIZE = 512
+MAX_LISTS = 65_536
 TILE = 2048
+VISITORS = 8192
 SUBSPACES = 8
+#: Share of the measured pairs that the margin must find, and the least number of pairs to measure.
+SURE = 1.0
+MEASURED = 1 << 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,7 +88,8 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     norms = (centers**2).sum(axis=1)
-    return np.concatenate([np.argmin(norms - 2 * x[a:a + 2048] @ centers.T, axis=1) for a in range(0, len(x), 2048)]) if len(x) else np.zeros(0, np.int64)
+    step = max(1, 1 << 22 >> len(centers).bit_length())  # bounded working memory for any number of centers
+    return np.concatenate([np.argmin(norms - 2 * x[a:a + step] @ centers.T, axis=1) for a in range(0, len(x), step)]) if len(x) else np.zeros(0, np.int64)
 
 
 @dataclass
@@ -85,6 +98,7 @@ class Quantiser:
     cuts: list[tuple[int, int]]
     books: list[np.ndarray]
     reach: float
+    margin: float = math.inf
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Own list, codes and coding error of unit vectors."""
@@ -96,22 +110,71 @@ class Quantiser:
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
 
-    def visits(self, x: np.ndarray, home: int, lists: np.ndarray) -> np.ndarray:
-        """Which of ``lists`` each vector of the list ``home`` visits: those with a border within half the reach."""
-        own, other = self.centers[home], self.centers[lists]
-        over = (other**2).sum(axis=1) - (own**2).sum() - 2 * x @ (other - own).T
-        return (over <= self.reach * np.linalg.norm(other - own, axis=1) + 1e-9) | (lists == home)
-
-
-def fit(sample: np.ndarray, n_lists: int, cosine: float = COSINE, subspaces: int = SUBSPACES, seed: int = 7) -> Quantiser:
+    def borders(self, x: np.ndarray, home: np.ndarray) -> np.ndarray:
+        """Distance of each vector to the border between its own list and every other (infinite for its own)."""
+        norms = (self.centers**2).sum(axis=1)
+        own = self.centers[home]
+        over = norms - norms[home][:, None] - 2 * (x @ self.centers.T - np.einsum("ij,ij->i", x, own)[:, None])
+        apart = np.sqrt(np.maximum(norms + norms[home][:, None] - 2 * own @ self.centers.T, 0))
+        out = np.where(apart > 1e-12, over / np.maximum(2 * apart, 1e-12), 0.0)
+        out[np.arange(len(x)), home] = math.inf
+        return out
+
+    def visits(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of vector and other list that it visits."""
+        step = max(1, 1 << 22 >> len(self.centers).bit_length())
+        rows, lists = [], []
+        for a in range(0, len(x), step):
+            i, j = np.nonzero(self.borders(x[a:a + step], home[a:a + step]) <= self.margin)
+            rows.append(i + a)
+            lists.append(j)
+        return (np.concatenate(rows), np.concatenate(lists)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def needed_margins(held: Quantiser, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The margin with which each pair would be found: the lesser of both vectors' distances to the border between their lists."""
+    a, b = _nearest(x, held.centers), _nearest(y, held.centers)
+    apart = held.centers[b] - held.centers[a]
+    norms = (held.centers**2).sum(axis=1)
+    length = np.maximum(2 * np.linalg.norm(apart, axis=1), 1e-12)
+    over = norms[b] - norms[a]
+    there, back = (over - 2 * np.einsum("ij,ij->i", x, apart)) / length, -(over - 2 * np.einsum("ij,ij->i", y, apart)) / length
+    return np.where(a == b, 0.0, np.minimum(there, back))
+
+
+def measured_margin(held: Quantiser, sample: np.ndarray, cosine: float, rng: np.random.Generator, sure: float = SURE) -> float:
+    """The margin that a share ``sure`` of the measured pairs needs, with a slack of 5 %; half the reach is always enough."""
+    if len(held.centers) < 2:
+        return 0.0
+    turn = math.sqrt(max(0.0, 1 - cosine**2))
+    made = []
+    for _ in range(max(2, MEASURED // len(sample))):
+        other = sample[rng.permutation(len(sample))]
+        way = other - np.einsum("ij,ij->i", other, sample)[:, None] * sample
+        length = np.linalg.norm(way, axis=1)
+        ok = length > 1e-9
+        made.append(needed_margins(held, sample[ok], cosine * sample[ok] + turn * way[ok] / length[ok][:, None]))
+    real = []
+    for a in range(0, min(len(sample), 2048), 256):
+        i, j = np.nonzero(sample[a:a + 256] @ sample.T >= cosine)
+        apart = i + a != j
+        real.append(needed_margins(held, sample[i[apart] + a], sample[j[apart]]))
+    needs = [np.concatenate(made), np.concatenate(real)]
+    return min(1.05 * max((float(np.quantile(n, sure)) for n in needs if len(n)), default=0.0), held.reach / 2) + 1e-9
+
+
+def fit(sample: np.ndarray, n_lists: int, cosine: float = COSINE, subspaces: int = SUBSPACES, seed: int = 7, sure: float = SURE) -> Quantiser:
     rng = np.random.default_rng(seed)
-    centers = _kmeans(sample, n_lists, rng)
+    centers = _kmeans(sample, n_lists, rng, 8 if n_lists <= 1024 else 2)
     dims = sample.shape[1]
-    rest = sample - centers[_nearest(sample, centers)]
+    some = sample[:SAMPLE]
+    rest = some - centers[_nearest(some, centers)]
     edges = np.linspace(0, dims, min(subspaces, dims) + 1).astype(int)
     cuts = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
     books = [_kmeans(rest[:, a:b], 256, rng, 5) for a, b in cuts]
-    return Quantiser(centers, cuts, books, math.sqrt(max(0.0, 2 - 2 * cosine)))
+    held = Quantiser(centers, cuts, books, math.sqrt(max(0.0, 2 - 2 * cosine)))
+    held.margin = measured_margin(held, some, cosine, rng, sure)
+    return held
 
 
 def _vectors(column: pa.Array | pa.ChunkedArray, n: int, dims: int) -> np.ndarray:
@@ -120,156 +183,142 @@ def _vectors(column: pa.Array | pa.ChunkedArray, n: int, dims: int) -> np.ndarra
 
 
 def _index(shared, dims: int):
-    """Rows of vectors with their list, code and coding error."""
+    """Rows of vectors with their list, code, coding error and the other lists that they visit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared_value(shared)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            home, codes, error = held.assign(unit(_vectors(batch.column(2), batch.num_rows, dims)))
+            x = unit(_vectors(batch.column(2), batch.num_rows, dims))
+            home, codes, error = held.assign(x)
+            rows, lists = held.visits(x, home)
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(x)))))
+            near = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(lists.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(home, pa.int32()), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                names=["list", "node", "count", "vector", "code", "error"],
+                [pa.array(home, pa.int32()), *batch.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), near],
+                names=["list", "node", "count", "vector", "code", "error", "near"],
             )
 
     return run
 
 
-_ROW = "list int, node bigint, count bigint, vector array<float>, code binary, error double"
-_TILE_ROW = "list int, tile int, near array<int>, node binary, count binary, vector binary, code binary, error binary"
-
-
-def _pack(shared, dims: int):
-    """One row for the members of a tile, with the lists that any of them visits."""
-
-    def group(table: pa.Table) -> pa.Table:
-        held = shared_value(shared)
-        list_id, vectors = table.column("list")[0].as_py(), _vectors(table.column("vector"), table.num_rows, dims).astype(np.float32)
-        near = np.zeros(len(held.centers), bool)
-        for a in range(0, len(vectors), 1024):
-            near |= held.visits(unit(vectors[a:a + 1024]), list_id, np.arange(len(held.centers))).any(axis=0)
-        return pa.table({
-            "list": pa.array([list_id], pa.int32()), "tile": pa.array([table.column("tile")[0].as_py()], pa.int32()),
-            "near": pa.array([np.flatnonzero(near).astype(np.int32)], pa.list_(pa.int32())),
-            **{c: pa.array([table.column(c).to_numpy().astype(np.int64).tobytes()], pa.binary()) for c in ("node", "count")},
-            "vector": pa.array([vectors.tobytes()], pa.binary()),
-            "code": pa.array([b"".join(table.column("code").to_pylist())], pa.binary()),
-            "error": pa.array([table.column("error").to_numpy().astype(np.float64).tobytes()], pa.binary()),
-        })
-
-    return group
-
-
 class _Tile:
-    def __init__(self, held: Quantiser, dims: int, row: dict) -> None:
-        self.list = row["list"]
-        self.node, self.count = np.frombuffer(row["node"], np.int64), np.frombuffer(row["count"], np.int64)
-        self.x = unit(np.frombuffer(row["vector"], np.float32).reshape(-1, dims))
-        self.error = np.frombuffer(row["error"])
-        back = held.decode(np.frombuffer(row["code"], np.uint8).reshape(len(self.node), -1))
+    """Members of a list: vectors, decoded codes and the least product that a neighbour's residual can have with each."""
+
+    def __init__(self, held: Quantiser, dims: int, list_id: int, rows: pa.Table) -> None:
+        n = rows.num_rows
+        self.list, self.node, self.count = list_id, rows.column("node").to_numpy(), rows.column("count").to_numpy()
+        self.x = unit(_vectors(rows.column("vector"), n, dims))
+        near = rows.column("near").combine_chunks()
+        self.goes = np.repeat(np.arange(n), np.diff(near.offsets.to_numpy())) * len(held.centers) + near.flatten().to_numpy()
+        back = held.decode(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(n, -1))
         # visitor . member with the lengths in a further component: half of what the squared distance falls short of its limit
-        limit = (held.reach + self.error + 1e-9) ** 2 + 1e-5 + 1e-6 * dims  # with the rounding of single precision
-        self.back = np.concatenate((back, np.ones((len(back), 1))), axis=1).astype(np.float32)
+        limit = (held.reach + rows.column("error").to_numpy() + 1e-9) ** 2 + 1e-5 + 1e-6 * dims  # with the rounding of single precision
+        self.back = np.concatenate((back, np.ones((n, 1))), axis=1).astype(np.float32)
         self.least = (((back**2).sum(axis=1) - limit) / 2).astype(np.float32)
 
 
-def _meet(held: Quantiser, cosine: float, of: _Tile, visitors: np.ndarray, to: _Tile, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between visitors and members, as pairs of places in their tiles."""
-    if not len(members):
-        return
-    whole = len(members) == len(to.node)
-    back, least = (to.back, to.least) if whole else (to.back[members], to.least[members])
+def _meet(held: Quantiser, cosine: float, visitors: np.ndarray, to: _Tile) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between visitors and members, as pairs of their places."""
     for a in range(0, len(visitors), 256):
-        v = visitors[a:a + 256]
-        rest = of.x[v] - held.centers[to.list]
-        looked = np.concatenate((rest, -(rest**2).sum(axis=1, keepdims=True) / 2), axis=1).astype(np.float32) @ back.T
-        hits = np.flatnonzero(looked >= least)
+        rest = visitors[a:a + 256] - held.centers[to.list]
+        looked = np.concatenate((rest, -(rest**2).sum(axis=1, keepdims=True) / 2), axis=1).astype(np.float32) @ to.back.T
+        hits = np.flatnonzero(looked >= to.least)
         for b in range(0, len(hits), 1 << 16):
-            i, j = np.divmod(hits[b:b + (1 << 16)], len(members))
-            i, j = v[i], members[j]
-            if of is to:
-                ahead = i < j
-                i, j = i[ahead], j[ahead]
-            exact = np.einsum("ij,ij->i", of.x[i], to.x[j]) >= cosine
-            yield i[exact], j[exact]
+            i, j = np.divmod(hits[b:b + (1 << 16)], len(to.node))
+            exact = np.einsum("ij,ij->i", visitors[i + a], to.x[j]) >= cosine
+            yield i[exact] + a, j[exact]
+
+
+_FOUND = "node bigint, links bigint, other bigint"
 
 
 def _compare(shared, dims: int, cosine: float):
-    """Link counts and forest edges of pairs of tiles."""
-
-    def links_of(held: Quantiser, a: _Tile, b: _Tile) -> tuple[list, list, list]:
-        every_a, every_b = np.arange(len(a.node)), np.arange(len(b.node))
-        if a is b:
-            met = [(i, j) for i, j in _meet(held, cosine, a, every_a, a, every_a)]
-        elif a.list == b.list:
-            met = [(i, j) for i, j in _meet(held, cosine, a, every_a, b, every_b)]
-        else:
-            goes = held.visits(a.x, a.list, np.array([b.list]))[:, 0]
-            comes = held.visits(b.x, b.list, np.array([a.list]))[:, 0]
-            met = [(i, j) for i, j in _meet(held, cosine, a, np.flatnonzero(goes), b, every_b)]
-            met += [(i, j) for j, i in _meet(held, cosine, b, np.flatnonzero(comes), a, np.flatnonzero(~goes))]
-        shift = 0 if a is b else len(a.node)
-        node, count = (a.node, a.count) if a is b else (np.concatenate((a.node, b.node)), np.concatenate((a.count, b.count)))
+    """Link counts and forest edges of one part of a list: its members among themselves (first chunk) and with visitors."""
+
+    def group(key: tuple, table: pa.Table) -> pa.Table:
+        held, chunk = shared_value(shared), key[2].as_py()
+        guests = table.filter(pc.field("home").is_valid())
+        to = _Tile(held, dims, key[0].as_py(), table.filter(pc.field("home").is_null()))
+        n = len(to.node)
+        node = np.concatenate((to.node, guests.column("node").to_numpy()))
+        count = np.concatenate((to.count, guests.column("count").to_numpy()))
         links, forest, edges = np.zeros(len(node), np.int64), _Forest(len(node)), []
-        for i, j in met:
-            j = j + shift
+
+        def add(i: np.ndarray, j: np.ndarray) -> None:
             np.add.at(links, i, count[j])
             np.add.at(links, j, count[i])
-            edges += [(p, q) for p, q in zip(i.tolist(), j.tolist()) if forest.join(p, q)]
+            edges.extend((p, q) for p, q in zip(i.tolist(), j.tolist()) if forest.join(p, q))
+
+        if n and chunk == 0:
+            for i, j in _meet(held, cosine, to.x, to):
+                add(i[i < j], j[i < j])
+        if n and guests.num_rows:
+            home = guests.column("home").to_numpy()
+            for i, j in _meet(held, cosine, unit(_vectors(guests.column("vector"), guests.num_rows, dims)), to):
+                # a member that visits the guest's list meets it there as well: the pair counts in the lower list
+                twice = (home[i] < to.list) & np.isin(j * len(held.centers) + home[i], to.goes)
+                add(i[~twice] + n, j[~twice])
         hit = np.flatnonzero(links)
         # one row per linked node (its links here), and one per edge of the forest
-        return (
-            node[hit].tolist() + [int(node[p]) for p, _ in edges], links[hit].tolist() + [0] * len(edges),
-            [None] * len(hit) + [int(node[q]) for _, q in edges],
-        )
+        return pa.table({
+            "node": pa.array(node[hit].tolist() + [int(node[p]) for p, _ in edges], pa.int64()),
+            "links": pa.array(links[hit].tolist() + [0] * len(edges), pa.int64()),
+            "other": pa.array([None] * len(hit) + [int(node[q]) for _, q in edges], pa.int64()),
+        })
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = shared_value(shared), {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                pair = []
-                for side in ("a", "b"):
-                    column = batch.column(batch.schema.get_field_index(side))
-                    name = tuple(column.field(n)[k].as_py() for n in ("list", "tile"))
-                    if pair and last["a"][0] == name:
-                        pair.append(pair[0])
-                        continue
-                    if side not in last or last[side][0] != name:
-                        last[side] = (name, _Tile(held, dims, column[k].as_py()))
-                    pair.append(last[side][1])
-                node, links, other = links_of(held, *pair)
-                if node:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(node, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], names=["node", "links", "other"]
-                    )
+    return group
 
-    return run
 
+def _parts(listed: DataFrame, tile: int, visitors: int) -> DataFrame:
+    """Members and visitors of every part ``(list, tile, chunk)``; ``home`` is null for members.
 
-def _search(nodes: DataFrame, dims: int, cosine: float, total: int) -> DataFrame:
+    A visitor meets all tiles of a list; a member of a list with several tiles visits the higher ones. The visitors of a tile are dealt to
+    chunks. Only lists longer than a tile, or with more visitors than a chunk, have more than one part.
+    """
+    members = listed.groupBy("list").agg(F.count(F.lit(1)).alias("m"))
+    guests = listed.select(F.explode("near").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("v"))
+    sizes = members.join(guests, "list", "left").select(
+        "list", F.ceil(F.col("m") / tile).cast("int").alias("tiles"),
+        F.greatest(F.lit(1), F.ceil((F.coalesce("v", F.lit(0)) + F.when(F.col("m") > tile, F.col("m")).otherwise(0)) / visitors)).cast("int").alias("chunks"),
+    )
+    sizes = F.broadcast(stage.save(sizes, "list-sizes"))  # at most MAX_LISTS rows
+    tiled = lambda df: df.join(sizes, "list").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn(
+        "chunk", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int"))
+    span = lambda a, b: F.explode(F.when(b >= a, F.sequence(a, b)).otherwise(F.array().cast("array<int>")))
+    zero = F.lit(0)
+    held = tiled(listed)
+    stay = held.select("list", F.col("own").alias("tile"), span(zero, F.col("chunks") - 1).alias("chunk"), F.lit(None).cast("int").alias("home"),
+                       "node", "count", "vector", "code", "error", "near")
+    higher = held.where("tiles > 1").select("list", span(F.col("own") + 1, F.col("tiles") - 1).alias("tile"), "chunk", F.col("list").alias("home"), "node", "count", "vector")
+    come = listed.select(F.explode("near").alias("to"), "list", "node", "count", "vector").select(F.col("to").alias("list"), F.col("list").alias("home"), "node", "count", "vector")
+    come = tiled(come).select("list", span(zero, F.col("tiles") - 1).alias("tile"), "chunk", "home", "node", "count", "vector")
+    return stay.unionByName(higher, allowMissingColumns=True).unionByName(come, allowMissingColumns=True)
+
+
+def _search(nodes: DataFrame, dims: int, cosine: float, total: int, list_size: int, tile: int, visitors: int, sure: float) -> DataFrame:
     """``(node, links, other)``: partial link counts, and forest edges where ``other`` is set."""
     spark = nodes.sparkSession
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vector").toArrow().column("vector")
+    n_lists = max(1, min(MAX_LISTS, total // list_size))
+    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(max(SAMPLE, 4 * n_lists)).select("vector").toArrow().column("vector")
     x = unit(_vectors(sample, len(sample), dims))
-    shared = share(spark, fit(x, max(1, min(4096, len(x) // 4, total // LIST_SIZE)), cosine))
-    listed = stage.save(nodes.select("node", "count", "vector").repartition(partitions_for(nodes)).mapInArrow(_index(shared, dims), _ROW), "pq")
-    sizes = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    dealt = listed.join(F.broadcast(sizes), "list").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).drop("tiles")
-    tiles = stage.save(dealt.groupBy("list", "tile").applyInArrow(_pack(shared, dims), _TILE_ROW), "tiles")
-    stage.drop(listed)
-    a, b = (tiles.select(F.struct(*tiles.columns).alias(side)) for side in ("a", "b"))
-    met = (F.col("a.list") == F.col("b.list")) | F.array_contains("a.near", F.col("b.list")) | F.array_contains("b.near", F.col("a.list"))
-    once = (F.col("a.list") < F.col("b.list")) | ((F.col("a.list") == F.col("b.list")) & (F.col("a.tile") <= F.col("b.tile")))
-    # the sides are read again for each other, not shuffled
-    return a.crossJoin(b).where(once & met).mapInArrow(_compare(shared, dims, cosine), "node bigint, links bigint, other bigint")
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for every row."""
+    shared = share(spark, fit(x, min(n_lists, max(1, len(x) // 4)), cosine, sure=sure))
+    kind = nodes.schema["vector"].dataType.simpleString()
+    row = f"list int, node bigint, count bigint, vector {kind}, code binary, error double, near array<int>"
+    listed = stage.save(nodes.select("node", "count", "vector").repartition(partitions_for(nodes)).mapInArrow(_index(shared, dims), row), "pq")
+    return _parts(listed, tile, visitors).groupBy("list", "tile", "chunk").applyInArrow(_compare(shared, dims, cosine), _FOUND)
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE,
+                    list_size: int | None = None, tile: int | None = None, visitors: int = VISITORS, sure: float = SURE) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` for every row; ``list_size`` and ``tile`` are ``LIST_SIZE`` and ``TILE`` unless given."""
+    list_size, tile = list_size or LIST_SIZE, tile or TILE
     v = F.col("vector")
     bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) | F.forall(v, lambda c: c == 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).select(
+    # single precision stays as it is; anything else is held in double precision
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).cast(kind).alias("vector")).select(
         "vec_id", "vector", F.coalesce(~bad, F.lit(False)).alias("ok"),
     )
     # identical vectors share a 128-bit key; a row without a usable vector has none
@@ -280,7 +329,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = stage.save(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = None
     for size, total in sorted(tuple(r) for r in nodes.groupBy(F.size("vector")).agg(F.count(F.lit(1))).collect()):
-        part = _search(nodes.where(F.size("vector") == size), size, cosine, total)
+        part = _search(nodes.where(F.size("vector") == size), size, cosine, total, list_size, tile, visitors, sure)
         found = part if found is None else found.unionByName(part)
     key = keyed.select("vec_id", "k1", "k2", "ok")
     if found is None:

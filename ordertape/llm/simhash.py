@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import key_filter, map_text, maybe, partitions_for, settings, slices, utf8
+from ordertape.llm.common import flag_maybe, key_filter, map_text, partitions_for, settings, slices, utf8
 from ordertape.operators.components import connected_components
 from ordertape.plans import stage
 
@@ -252,11 +252,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
     # documents move only when their id may be among those to drop; the others pass in place
     dropped = stage.save(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__drop")).distinct(), "dropped")
     key = f"__key_{uuid.uuid4().hex}"
-    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col)))
-    hit = maybe(key_filter(dropped.select(F.xxhash64("__drop").alias("key")), "key"), key)
-    judged = keyed.where(hit).drop(key)
+    keyed = flag_maybe(docs, key_filter(dropped.select(F.xxhash64("__drop").alias("key")), "key"), F.xxhash64(F.col(id_col)), key)
+    judged = keyed.where(key).drop(key)
     judged = judged.join(dropped, judged[id_col] == dropped["__drop"], "left_anti")
-    rows = keyed.where(~hit).drop(key).unionByName(judged)
+    rows = keyed.where(~F.col(key)).drop(key).unionByName(judged)
     repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     stage.drop(found)
     if repeated:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import Words, byte_set, key_filter, map_text, maybe, mix64, partitions_for, settings, slices, utf8
+from ordertape.llm.common import Words, byte_set, flag_maybe, key_filter, map_text, mix64, partitions_for, settings, slices, utf8
 from ordertape.plans import stage
 
 WINDOW = 35
@@ -312,7 +312,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     candidates = stage.save(left.where("size(at) > 0"), "candidates")
     stage.drop(texts)
     index.drop()
-    kept = keyed.where(maybe(key_filter(candidates, "k1"), "k1")).withColumn("rid", rid)
+    kept = flag_maybe(keyed, key_filter(candidates, "k1"), F.col("k1"), "maybe").where("maybe").drop("maybe").withColumn("rid", rid)
     held = stage.save(
         candidates.join(kept.drop("doc_id"), ["k1", "k2", "rid"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "weight", "at", "text"), "held"
     )
@@ -374,11 +374,10 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars
     rows, verdict = judge(docs, id_col, text_col, batches)
     stage.drop(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    k1, k2, spans = (f"__{n}_{uuid.uuid4().hex}" for n in ("k1", "k2", "spans"))
+    k1, k2, spans, hit = (f"__{n}_{uuid.uuid4().hex}" for n in ("k1", "k2", "spans", "hit"))
     cut = verdict.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans))
-    keyed = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(17), text)})
     # only texts that may have a verdict are shuffled to it; the others pass in place
-    hit = maybe(key_filter(verdict, "k1"), k1)
-    touched = keyed.where(hit).join(cut, [k1, k2], "left").drop(k1, k2)
-    rest = keyed.where(~hit).drop(k1, k2)
-    return map_text(touched, _cut(text_col, chars_col, spans), docs.schema).unionByName(rest)
+    keyed = flag_maybe(docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit(17), text)}), key_filter(verdict, "k1"), F.col(k1), hit)
+    touched = keyed.where(hit).join(cut, [k1, k2], "left").drop(k1, k2, hit)
+    rest = keyed.where(~F.col(hit)).drop(k1, k2, hit)
+    return map_text(touched.select(*docs.columns, spans), _cut(text_col, chars_col, spans), docs.schema).unionByName(rest)
