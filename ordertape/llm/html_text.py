@@ -9,7 +9,8 @@ where the article, main or kept element around them (else the page) has text in
 further articles, they are kept when they hold some of it and more of it lies in
 such elements than outside; where it has none, with more text than there is outside of such elements (so a long comment
 section can outweigh a short text that no article or main marks). Words after
-has-, no-, with-, without- or not- do not count. For every other node the characters per
+has-, no-, with-, without- or not- do not count, nor do ids of text elements and words that also name a topic (legal, search, tags ...)
+inside an article. A form counts like such a word, as some pages lie in one form altogether. For every other node the characters per
 tag, adjusted for link characters and link tags, give its density; a node's
 density sum adds the densities of its children. The subtree with the largest
 density sum is selected; the smallest density on its path up to the body is the
@@ -18,7 +19,9 @@ smallest node that spans them.
 
 Character references are decoded, white space inside a block becomes one blank,
 blocks are joined in page order by one line feed. Table cells and list items are
-blocks, a line break inside a block is white space.
+blocks, a line break inside a block is white space. Elements nested deeper than
+``MAX_DEPTH`` become siblings, as in browsers, so that no page takes more time
+than a multiple of its length.
 
 Defined cases: null or empty html gives the empty text; html without tags is one
 block of the body; repeated rows are extracted alike; other columns are ignored;
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -47,7 +51,7 @@ _BLOCK = frozenset(
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 #: Kinds of element that never hold article text.
 _DROP = frozenset(
-    "head title script style noscript template nav footer aside form button select option input textarea label iframe object embed"
+    "head title script style noscript template nav footer aside button select option input textarea label iframe object embed"
     " svg math canvas audio video map menu dialog datalist xmp noembed noframes".split()
 )
 #: Words of class, id or role that mark boilerplate.
@@ -58,6 +62,11 @@ _DROP_WORD = re.compile(
     r"|toolbar|search|complementary|contentinfo|skip-link|tags|legal|disclaimer)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, words that name a topic inside an article, and elements whose id is then an anchor in the text.
+_TOPIC = frozenset("legal disclaimer search tags alert overlay login recommendation recommendations".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre span em strong b i u a code q cite sup sub figcaption".split())
+#: Nesting beyond which elements become siblings.
+MAX_DEPTH = 512
 #: Class words that only say what else the page has or lacks.
 _MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*", re.I)
 #: An attribute as the HTML tokeniser reads it: a quote opens a string only as the first character of a value.
@@ -80,15 +89,14 @@ def _boilerplate(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool
     """Whether an element is never article text, and whether a word of its class, id or role marks boilerplate."""
     if tag in _DROP or (tag == "header" and not inside_article):
         return True, False
-    if "=" not in attrs:
-        return "hidden" in attrs.split(), False
-    worded = False
+    worded = tag == "form"
     for m in _ATTR.finditer(attrs):
         name = m[1].lower()
         value = next((v for v in m.groups()[1:] if v is not None), "")
-        if name in ("class", "id", "role") and tag not in ("body", "html") and _DROP_WORD.search(_MODIFIER.sub(" ", value)):
-            worded = True
-        if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name in ("class", "id", "role") and tag not in ("body", "html") and not (name == "id" and inside_article and tag in _TEXT):
+            found = (x[0].strip(" \t\r\n\f_-").lower() for x in _DROP_WORD.finditer(_MODIFIER.sub(" ", value)))
+            worded = worded or any(not (inside_article and w in _TOPIC) for w in found)
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True, False
     return False, worded
 
@@ -134,7 +142,7 @@ def parse(html: str) -> Node:
     """The node tree of a page; the root stands for the body's ancestors."""
     root = Node("#root", None, False)
     stack, at, end = [root], 0, len(html)
-    articles = 0
+    articles, still = 0, Counter()  # open articles, open elements of each tag
 
     def text(upto: int) -> None:
         if upto > at:
@@ -143,10 +151,13 @@ def parse(html: str) -> Node:
     def pop_to(depth: int) -> None:
         nonlocal articles
         while len(stack) > depth:
-            if stack.pop().tag in ("article", "main"):
-                articles -= 1
+            tag = stack.pop().tag
+            still[tag] -= 1
+            articles -= tag in ("article", "main")
 
     def close_within(tags: tuple[str, ...], stop: frozenset[str]) -> None:
+        if not any(still[t] for t in tags):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             if stack[depth].tag in tags:
                 pop_to(depth)
@@ -167,7 +178,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].kids.append(" ")
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1 if still[tag] else 0, 0, -1):
                 if stack[depth].tag == tag:
                     pop_to(depth)
                     break
@@ -190,6 +201,8 @@ def parse(html: str) -> Node:
             close_within(("head",), frozenset())
         elif tag == "a":
             close_within(("a",), _BLOCK)
+        if len(stack) > MAX_DEPTH:
+            pop_to(MAX_DEPTH)
         never, worded = _boilerplate(tag, m[3], articles > 0)
         node = Node(tag, stack[-1], stack[-1].dropped or never, worded)
         if tag in _VOID:
@@ -209,8 +222,8 @@ def parse(html: str) -> Node:
             at = close.end() if close else end
             continue
         stack.append(node)
-        if tag in ("article", "main"):
-            articles += 1
+        still[tag] += 1
+        articles += tag in ("article", "main")
     text(end)
     _drop_worded(root)
     return root
@@ -276,14 +289,19 @@ def select(root: Node) -> Node:
             continue
         marked.append(node.best_at)
         todo += [k for k in node.kids if isinstance(k, Node) and not k.dropped]
-    common = _path(marked[0])[::-1]
-    for node in marked[1:]:
-        other = _path(node)[::-1]
-        n = 0
-        while n < min(len(common), len(other)) and common[n] is other[n]:
-            n += 1
-        common = common[:n]
-    return common[-1]
+    # what spans the first and the last of them in page order spans all
+    place, todo = {}, [root]
+    while todo:
+        node = todo.pop()
+        place[id(node)] = len(place)
+        todo += reversed([k for k in node.kids if isinstance(k, Node) and not k.dropped])
+    marked.sort(key=lambda n: place[id(n)])
+    common = root
+    for one, other in zip(_path(marked[0])[::-1], _path(marked[-1])[::-1]):
+        if one is not other:
+            break
+        common = one
+    return common
 
 
 def blocks(node: Node) -> list[str]:
