@@ -2,13 +2,15 @@
 
 A turn is rendered as ``<|turn|>`` role newline text ``<|end|>`` newline. A
 deterministic parser reads the rendering back by splitting at the control
-strings. Every turn is first rendered as it is and parsed again; where that does
-not give back exactly one turn with the same role and text, its conflicting
-content is escaped (a backslash goes into each look-alike ``<|\\...turn|>`` or
-``<|\\...end|>``, so one level can always be taken off again; in roles also
-backslash and newline are written as two letters) and the escaped rendering is parsed and compared in turn.
-The conversation is then parsed as a whole and compared with its source: a
-difference raises an error instead of writing a wrong record.
+strings. Every turn is rendered as it is and parsed again; until that gives back
+exactly one turn with the same role and text, the next level of escaping is
+rendered, parsed and compared. Two levels are all there can be: escaping puts a
+backslash into every look-alike ``<|\\...turn|>`` or ``<|\\...end|>``, so the result
+holds no control string, and taking one backslash off every look-alike that has
+one gives the source back, whatever it was (in roles backslash and newline are
+also written as two letters). A turn for which no level parses back, or a
+conversation that does not parse back as a whole, raises an error instead of
+writing a wrong record.
 
 The loss mask covers the text of assistant turns.
 
@@ -76,10 +78,13 @@ def parse(formatted: Column) -> Column:
 def render_checked(role: Column, text: Column) -> Column:
     """One turn's rendering, escaped only where the plain one does not parse back to its source."""
     source = F.array(F.struct(role.alias("role"), text.alias("text")))
-    plain, safe = render(role, text), render(escape_role(role), escape_text(text))
+    levels = [render(role, text), render(escape_role(role), escape_text(text))]
     # text without "<|" and role without a backslash or newline cannot conflict; the parser decides for the others
     suspicious = F.contains(text, F.lit("<|")) | role.rlike(r"[<\\\n]")
-    return F.when(~suspicious | parse(plain).eqNullSafe(source), plain).otherwise(safe)
+    found = F.when(~suspicious, levels[0])
+    for level in levels:
+        found = found.when(parse(level).eqNullSafe(source), level)
+    return found.otherwise(F.raise_error(F.lit("no escaping of a turn parses back to its source")))
 
 
 def format_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
