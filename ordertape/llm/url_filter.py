@@ -8,9 +8,11 @@ fitting rule decides. Rules are evaluated as built-in expressions.
 Urls without a rule are judged by gradient-boosted regression trees (logistic
 loss, histogram splits) over length, depth, digit ratio, entropy, parameter
 counts and statistics of the host suffix and of the first path segment. The trees are
-trained from labelled urls: by default the urls that a rule has judged. The fit
-uses a bounded sample (``MAX_LABELLED`` urls with the smallest hash); suffix
-statistics are part of the fitted model. Every url is scored.
+trained from labelled urls: by default the urls that a rule has judged, the only
+labels there are without others. The fit uses a bounded sample (``MAX_LABELLED``
+urls with the smallest hash). A training url sees suffix and segment statistics
+of the other ``FOLDS - 1`` folds only, so its own label is never among its
+features; the fitted model keeps those of all folds. Every url is scored.
 
 Defined cases: null urls, or urls without ``://``, have an empty host and path
 and are judged by the trees; without labelled urls of both verdicts the trees
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -30,9 +33,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordertape.llm.common import share, shared_value
+from ordertape.llm.common import map_text, share, shared_value, slices
 
 MAX_LABELLED = 20_000
+FOLDS = 5
 FEATURES = (
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "entropy",
     "parameters", "query_length", "fragment", "extension", "secure", "port", "suffix_rate", "suffix_log_count",
@@ -160,6 +164,12 @@ def _rates(keys: Sequence[str], y: np.ndarray, prior: float, weight: float = 10.
     return {k: (int(n), (b + weight * prior) / (n + weight)) for k, (n, b) in sums.items()}
 
 
+def _counted(urls: Sequence[str | None], y: np.ndarray, rows: np.ndarray, prior: float) -> Trees:
+    """A model without trees, with the statistics of ``rows``."""
+    parts = [_parts(urls[i] or "") for i in rows]
+    return Trees(prior, suffixes=_rates([_suffix(p[1]) for p in parts], y[rows], prior), segments=_rates([_segment(p[2]) for p in parts], y[rows], prior))
+
+
 def fit(urls: Sequence[str], blocked: Sequence[int], rounds: int = 40, depth: int = 4, bins: int = 32,
         rate: float = 0.2, ridge: float = 1.0, least: int = 5) -> Trees:
     """Boost ``rounds`` trees on labelled urls (1: block)."""
@@ -167,12 +177,15 @@ def fit(urls: Sequence[str], blocked: Sequence[int], rounds: int = 40, depth: in
     if not len(y):
         return Trees(0.0)
     prior = float(y.mean())
-    model = Trees(prior)
-    model.suffixes = _rates([_suffix(_parts(u or "")[1]) for u in urls], y, prior)
-    model.segments = _rates([_segment(_parts(u or "")[2]) for u in urls], y, prior)
+    model = _counted(urls, y, np.arange(len(y)), prior)
     if prior in (0.0, 1.0):
         return model
-    x = model.features(urls)
+    fold = np.array([zlib.crc32((u or "").encode()) % FOLDS for u in urls])
+    x = np.zeros((len(y), len(FEATURES)))
+    for k in range(FOLDS):
+        mine = np.flatnonzero(fold == k)
+        if len(mine):
+            x[mine] = _counted(urls, y, np.flatnonzero(fold != k), prior).features([urls[i] for i in mine])
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     binned = np.stack([np.searchsorted(e, x[:, f], side="left") for f, e in enumerate(edges)], axis=1)
     z = np.full(len(y), _logit(prior))
@@ -237,10 +250,10 @@ def judge(pages: DataFrame, rules: Sequence[str | Rule], id_col: str = "page_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared_value(shared)
         for batch in batches:
-            score = held.block_score(batch.column(1).to_pylist()) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, "score"])
+            for part in slices(batch, "url"):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.block_score(part.column(1).to_pylist()))], names=[*part.schema.names, "score"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"page_id {kind}, url string, host string, path string, rule string, score double")
+    scored = map_text(rows, run, f"page_id {kind}, url string, host string, path string, rule string, score double")
     block = F.coalesce(ruled == 1, F.col("score") >= 0.5)
     return scored.select("page_id", "host", "path", "rule", F.when(block, "block").otherwise("allow").alias("verdict"), "score")
