@@ -9,13 +9,16 @@ Each passage is a query. Impacts are BM25 impacts divided by the item's score
 for its own text, so a score is the share of the item's weight that the passage
 covers and one threshold fits items of any length.
 
-The most frequent terms of each item are set apart as long as they make up at
-most ``COMMON_MASS`` of it. They can add no more than that share, so the item's
-other terms alone must reach the threshold less the share. Their sums over all
-passages of many documents are formed at once;
-passages in which no item can reach the threshold are dismissed. The others go
-through block-max WAND over all their terms, which retrieves every item at or
-above the threshold. A retrieved item is verified against the passage: its question (all but the last sentence) and its
+Block-max WAND answers all passages of many documents at once. The most frequent
+terms of each item are its non-essential ones as long as they make up at most
+``COMMON_MASS`` of it: they add no more than that share. For every passage the
+block maxima of its other terms are added up for each block of ``BLOCK`` items;
+a block that cannot reach the threshold with the share of its common terms is
+skipped, whatever its items. In the blocks that are left the items' partial
+scores decide in the same way, and a passage with an item that can still reach
+the threshold goes through the pivot loop of block-max WAND over all its terms,
+which retrieves every item at or above the threshold. A retrieved item is
+verified against the passage: its question (all but the last sentence) and its
 answer (the last sentence) are compared by five-word shingles, and it counts
 when ``overlap`` of the item's shingles and half of those of either part occur.
 
@@ -104,6 +107,11 @@ class Index:
     flat_items: np.ndarray
     flat_impacts: np.ndarray
     common_share: np.ndarray
+    #: the same postings by block: where a term's blocks are, the blocks and their largest impacts, and the largest common share of each block
+    block_offsets: np.ndarray
+    flat_blocks: np.ndarray
+    flat_block_max: np.ndarray
+    block_common: np.ndarray
 
 
 def build(ids: list, texts: list[bytes | None], k1: float = 1.2, b: float = 0.75) -> Index:
@@ -146,11 +154,20 @@ def build(ids: list, texts: list[bytes | None], k1: float = 1.2, b: float = 0.75
                 kept_items[t].append(k)
                 kept_impacts[t].append(x)
     rare = np.array([bool(x) for x in kept_items] + [False])
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in kept_items]))).astype(np.int64)
+    flat_items, flat_impacts = np.array([k for x in kept_items for k in x], np.int64), np.array([v for x in kept_impacts for v in x])
+    term = np.repeat(np.arange(len(items)), np.diff(offsets))
+    # postings of a term are in item order, so those of a block stand together
+    heads = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (flat_items[1:] // BLOCK != flat_items[:-1] // BLOCK)))) if len(term) else term
+    blocks = -(-len(docs) // BLOCK)
+    block_common = np.zeros(blocks)
+    np.maximum.at(block_common, np.arange(len(docs)) // BLOCK, common_share)
     return Index(
         [i for i, _ in kept], vocab, items, impacts, block_max, [max(x) for x in impacts] + [0.0],
         [shingles(d) for d in docs], [shingles(q) for q, _ in parts], [shingles(a) for _, a in parts],
-        max(map(len, docs), default=0), rare, np.concatenate(([0], np.cumsum([len(x) for x in kept_items]))).astype(np.int64),
-        np.array([k for x in kept_items for k in x], np.int64), np.array([v for x in kept_impacts for v in x]), common_share,
+        max(map(len, docs), default=0), rare, offsets, flat_items, flat_impacts, common_share,
+        np.concatenate(([0], np.cumsum(np.bincount(term[heads], minlength=len(items))))).astype(np.int64), flat_items[heads] // BLOCK,
+        np.maximum.reduceat(flat_impacts, heads) if len(heads) else flat_impacts, block_common,
     )
 
 
@@ -217,26 +234,47 @@ class Hit:
     start: int
 
 
+def _postings(offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each term code: which entry it is, repeated, and where its postings lie."""
+    start, size = offsets[codes], offsets[codes + 1] - offsets[codes]
+    before = np.cumsum(size) - size
+    return np.repeat(np.arange(len(codes)), size), np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+def _sums(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(value[order], first)
+
+
 def _candidate_windows(index: Index, codes: np.ndarray, window: np.ndarray, lowest: np.ndarray, threshold: float) -> np.ndarray:
     """Windows in which some item could reach the threshold; ``window``: the last window of each word, ``lowest``: the first of its text."""
     keep = index.rare[codes]
     codes, window, lowest = codes[keep], window[keep], lowest[keep]
-    terms = len(index.rare)
+    terms, blocks, items = len(index.rare), len(index.block_common), len(index.ids)
     pairs = np.unique(np.concatenate([np.maximum(window - back, lowest) * terms + codes for back in range(SPAN)]))
     window, codes = pairs // terms, pairs % terms
-    start, size = index.offsets[codes], index.offsets[codes + 1] - index.offsets[codes]
-    total = int(size.sum())
-    if not total:
+    least = threshold - 1e-9
+    # bounds of whole blocks
+    entry, at = _postings(index.block_offsets, codes)
+    if not len(at):
         return np.zeros(0, np.int64)
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(total)
-    key = np.repeat(window, size) * len(index.ids) + index.flat_items[at]
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    sums = np.add.reduceat(index.flat_impacts[at][order], first)
-    key = key[first]
-    able = sums + index.common_share[key % len(index.ids)] >= threshold - 1e-9
-    return np.unique(key[able] // len(index.ids))
+    key, bound = _sums(window[entry] * blocks + index.flat_blocks[at], index.flat_block_max[at])
+    able = key[bound + index.block_common[key % blocks] >= least]
+    if not len(able):
+        return np.zeros(0, np.int64)
+    # partial scores of the items of the blocks that are left
+    open_ = np.isin(window, able // blocks)
+    window, codes = window[open_], codes[open_]
+    entry, at = _postings(index.offsets, codes)
+    place = np.minimum(np.searchsorted(able, inside := window[entry] * blocks + index.flat_items[at] // BLOCK), len(able) - 1)
+    left = able[place] == inside
+    if not left.any():
+        return np.zeros(0, np.int64)
+    key, partial = _sums(window[entry[left]] * items + index.flat_items[at[left]], index.flat_impacts[at[left]])
+    return np.unique(key[partial + index.common_share[key % items] >= least] // items)
 
 
 def _verify(index: Index, words: list[bytes], terms: list[int], start: int, threshold: float, overlap: float, best: dict[int, Hit]) -> None:
@@ -307,15 +345,13 @@ def search(index: Index, text: bytes | None, threshold: float = THRESHOLD, overl
     return search_all(index, [text], threshold, overlap)[0]
 
 
-def shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = SHARD_ITEMS) -> list[Index]:
-    """Indexes of at most about ``size`` items each; items are dealt by hash and fetched shard by shard."""
+def shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", size: int = SHARD_ITEMS) -> Iterator[Index]:
+    """Indexes of at most about ``size`` items each; items are dealt by hash, and one shard at a time is on the driver."""
     rows = benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text"))
     n = max(1, math.ceil(rows.count() / size))
-    out = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toArrow()
-        out.append(build(part.column("item_id").to_pylist(), [t.encode() if t else None for t in part.column("text").to_pylist()]))
-    return out
+        yield build(part.column("item_id").to_pylist(), [t.encode() if t else None for t in part.column("text").to_pylist()])
 
 
 _HIT = "score double, overlap double, question_overlap double, answer_overlap double, start_word bigint"
