@@ -17,7 +17,7 @@ coding error, so this filter loses nothing. What passes is compared by cosine in
 double precision.
 
 Lists hold about ``LIST_SIZE`` members, so their number grows with the table, up
-to ``MAX_LISTS`` lists; beyond some 33 million vectors the lists grow. Where the
+to ``MAX_LISTS`` lists; beyond some 67 million vectors the lists grow. Where the
 vectors spread evenly over many dimensions the number of visited lists grows as
 well (on 64 even dimensions about with the power 0.7 of their number); a lower
 ``sure`` trades that for recall. A list is dealt to tasks of at most about
@@ -56,7 +56,7 @@ from ordertape.plans import stage
 
 COSINE = 0.9
 SAMPLE = 16_384
-LIST_SIZE = 512
+LIST_SIZE = 1024
 MAX_LISTS = 65_536
 TILE = 2048
 VISITORS = 8192
