@@ -6,7 +6,10 @@ dealt by hash into shards of about ``SHARD`` pieces, which bounds every task
 whatever the table's size; each shard is evolved on several islands at once. A
 chromosome is a list of bins. Crossover injects whole well-filled bins of one
 parent into the other, removes the bins that hold the same pieces and packs the
-displaced pieces by best fit; mutation empties the worst bins. Between epochs
+displaced pieces: first in exchange for pieces that fill a bin worse, then by
+best fit; mutation empties the worst bins. A shard whose number of bins is the
+least that its total size allows is done, which ends the search at once where
+many short pieces fill every gap. Between epochs
 each island receives the best packing of its neighbour (a shuffle of packings,
 not of texts). The best packing of each shard is the result.
 
@@ -21,8 +24,10 @@ empty result.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ CAPACITY = 2048
 END_ID = 0
 SHARD = 4096
 ISLANDS = 3
+GENERATIONS = 24
+POPULATION = 6
 #: Latin letters that no normal form changes, then at most one mark.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?]?)")
 
@@ -191,6 +198,44 @@ class Packing:
         return out
 
 
+def exchange(packing: Packing, loose: list[int], rng: np.random.Generator, most: int = 200) -> list[int]:
+    """Fill bins better with displaced pieces: one or two of them for a piece, or one for two, where the bin gets fuller.
+
+    Returns the pieces that are displaced then: they are smaller, so best fit finds more room for them.
+    """
+    sizes = packing.sizes
+    pool = sorted((sizes[i], i) for i in loose)
+    open_bins = [b for b, f in enumerate(packing.free) if f]
+    for b in rng.permutation(open_bins)[:most].tolist():
+        room, items = packing.free[b], packing.bins[b]
+        if not room or not pool:
+            continue
+        best, change = 0, None
+        outs = [(sizes[i], (i,)) for i in items] + [(sizes[i] + sizes[j], (i, j)) for k, i in enumerate(items[:6]) for j in items[k + 1:6]]
+        for size, out in outs:
+            k = bisect_right(pool, (size + room, math.inf)) - 1
+            if k >= 0 and pool[k][0] - size > best:
+                best, change = pool[k][0] - size, (out, (k,))
+            low, high = 0, k
+            while len(out) == 1 and low < high and best < room:  # the best pair of displaced pieces that fits
+                both = pool[low][0] + pool[high][0]
+                if both > size + room:
+                    high -= 1
+                else:
+                    if both - size > best:
+                        best, change = both - size, (out, (low, high))
+                    low += 1
+        if change is not None:
+            out, into = change
+            packing.bins[b] = [i for i in items if i not in out] + [pool[k][1] for k in into]
+            packing.free[b] = room - best
+            for k in sorted(into, reverse=True):
+                del pool[k]
+            for i in out:
+                insort(pool, (sizes[i], i))
+    return [i for _, i in pool]
+
+
 def crossover(mother: Packing, father: Packing, rng: np.random.Generator) -> Packing:
     """Inject a run of the father's best-filled bins into the mother."""
     order = sorted(range(len(father.bins)), key=lambda b: father.free[b])
@@ -208,7 +253,7 @@ def crossover(mother: Packing, father: Packing, rng: np.random.Generator) -> Pac
     child = mother.keep(keep)
     child.bins += [list(father.bins[b]) for b in given]
     child.free += [father.free[b] for b in given]
-    return child.fill(loose)
+    return child.fill(exchange(child, loose, rng))
 
 
 def mutate(packing: Packing, rng: np.random.Generator) -> Packing:
@@ -218,11 +263,15 @@ def mutate(packing: Packing, rng: np.random.Generator) -> Packing:
     order = sorted(range(len(packing.bins)), key=lambda b: -packing.free[b])
     out = set(order[:max(2, len(order) // 50)]) | {int(b) for b in rng.integers(0, len(order), max(1, len(order) // 30))}
     loose = [i for b in sorted(out) for i in packing.bins[b]]
-    return packing.keep([b for b in range(len(packing.bins)) if b not in out]).fill(loose)
+    kept = packing.keep([b for b in range(len(packing.bins)) if b not in out])
+    return kept.fill(exchange(kept, loose, rng))
+
 
+def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int = POPULATION) -> list[int]:
+    """The best packing found, as a bin number for each piece; ``elites`` are packings to start from.
 
-def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int = 4) -> list[int]:
-    """The best packing found, as a bin number for each piece; ``elites`` are packings to start from."""
+    It ends early where the total size allows no packing with fewer bins.
+    """
     rng = np.random.default_rng(seed)
     n, least = len(sizes), -(-sum(sizes) // capacity)
     pool: list[Packing] = []
@@ -243,8 +292,10 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
         if pool[0].key()[0] <= least:
             break  # no packing can have fewer bins
         del pool[population:]
-        a, b = (int(x) for x in rng.integers(0, len(pool), 2))
-        pool.append(mutate(crossover(pool[min(a, b)], pool[max(a, b)], rng), rng))
+        # the better parent of two draws each; the child is kept with what mutation makes of it
+        a, b = (int(min(rng.integers(0, len(pool), 2))) for _ in range(2))
+        child = crossover(pool[a], pool[b], rng)
+        pool += [child, mutate(child, rng)]
     best = min(pool, key=Packing.key)
     assign = [0] * n
     for b, items in enumerate(best.bins):
@@ -271,7 +322,7 @@ def _epoch(capacity: int, generations: int, epoch: int):
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = 2,
-         generations: int = 3) -> DataFrame:
+         generations: int = GENERATIONS) -> DataFrame:
     """``cut`` (from :func:`pieces`) with ``sequence_id`` and ``offset``."""
     keyed = stage.save(cut.withColumn("n", F.monotonically_increasing_id()), "pieces")
     short = keyed.where(F.col("length") < capacity)
