@@ -13,8 +13,9 @@ blocks, so every pair meets under one of 16 keys of 28 compared bits. Distinct
 fingerprints of a key are ordered by population count and compared in tiles
 with numpy exclusive-or and bit counts; a pair of tiles whose population counts
 lie further apart than the radius is skipped. A key with more fingerprints than
-a tile is dealt out as tile pairs, so no task holds an unbounded group, and
-each task returns a spanning forest of its links instead of all pairs.
+a tile is cut into tiles of one population count each; pairs of tiles within the
+radius are dealt out and the others never formed, so no task holds an unbounded
+group, and each task returns a spanning forest of its links instead of all pairs.
 
 Defined cases: null or blank text has fingerprint zero and links like any
 other; repeated rows and equal texts share a fingerprint; null ids keep their
@@ -199,18 +200,26 @@ def linked_fingerprints(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE
     if radius > 3:
         raise ValueError("16 keys are exact up to a radius of 3")
     keyed = _keys(nodes)
-    big = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile)
-    big = big.select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    rows = keyed.join(big, "key", "left")
-    # small key: one tile (side 2: all pairs). Large key: hash tiles, one task group for each pair of tiles
-    mine = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    other = F.sequence(F.lit(0), F.col("tiles") - 1)
+    bits = F.bit_count("fp")
+    big = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > tile).select("key")
+    counted = keyed.join(big, "key").groupBy("key", bits.alias("p")).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("t"))
+    # tiles of each population count of a large key: at most 65 entries
+    tiles = counted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("p", "t"))).alias("tiles"))
+    rows = keyed.join(tiles, "key", "left").withColumn("p", bits)
+    # small key: one tile (side 2: all pairs). Large key: a tile holds one population count, and only tiles whose counts differ by no
+    # more than the radius meet, one task group for each pair
+    code = lambda p, t: p * F.lit(1 << 16) + t
+    mine = code(F.col("p"), F.pmod(F.xxhash64("fp"), F.try_element_at("tiles", F.col("p"))).cast("int"))
+    reach = F.sequence(F.greatest(F.col("p") - radius, F.lit(0)), F.least(F.col("p") + radius, F.lit(64)))
+    none = F.array().cast("array<int>")
+    others = F.flatten(F.transform(reach, lambda q: F.coalesce(
+        F.transform(F.sequence(F.lit(1), F.try_element_at("tiles", q)), lambda t: code(q, t - 1)), none)))
     spread = F.when(F.col("tiles").isNull(), F.array(F.struct(F.lit(0).cast("bigint").alias("tile"), F.lit(2).alias("side")))).otherwise(
         F.transform(
-            other,
-            lambda t: F.struct(
-                (F.least(mine, t) * F.col("tiles") + F.greatest(mine, t)).cast("bigint").alias("tile"),
-                F.when(mine == t, F.lit(2)).when(mine < t, F.lit(0)).otherwise(F.lit(1)).alias("side"),
+            others,
+            lambda o: F.struct(
+                (F.least(mine, o).cast("bigint") * F.lit(1 << 32) + F.greatest(mine, o)).alias("tile"),
+                F.when(mine == o, F.lit(2)).when(mine < o, F.lit(0)).otherwise(F.lit(1)).alias("side"),
             ),
         )
     )
