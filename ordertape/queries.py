@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordertape.functions import codec
-from ordertape.functions.codes import CXL_REJ_RESPONSE_TO, EXEC_TYPE, ORD_STATUS, ORD_TYPE, SIDE, TERMINAL, decode, encode
-from ordertape.operators import chain, fold, messages, rollup, state, typed
+from ordertape.functions.codes import CXL_REJ_RESPONSE_TO, EXEC_TYPE, ORD_STATUS, ORD_TYPE, SIDE, TERMINAL, decode, dictionary, encode
+from ordertape.operators import chain, dialect, fold, messages, rollup, state, typed
 from ordertape.plans import stage
 from ordertape.plans.tape import RAW, TAPE, raw_tape, tape
 from ordertape.plans.tape import views as _views
+from ordertape.sources.archive import CODECS, Archive
+from ordertape.streaming import journal, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,11 +107,24 @@ def c7_body_length(spark, sf_dir):
     return _parsed(spark, sf_dir).select("seq", codec.body_length(F.col("fields")).alias("body_length"))
 
 
-@query(f"{_WITH} SELECT seq, CAST(NULL AS VARCHAR) AS error FROM tape")
+_FAULTS = ("wrong checksum", "wrong body length", "header is not 8, 9, 35", "checksum is not last", "field without =")
+
+
+@query(f"""{_WITH} SELECT seq, CASE seq % 6 {' '.join(f"WHEN {k + 1} THEN '{f}'" for k, f in enumerate(_FAULTS))} END AS error FROM tape""")
 def c4_strict_validation(spark, sf_dir):
-    """Canonical messages pass the strict grammar."""
+    """Canonical messages pass the strict grammar; five kinds of damage are told apart."""
+    m, soh = F.col("m"), F.lit(codec.SOH)
     rows = _parsed(spark, sf_dir).select("seq", codec.canonical(F.col("fields")).alias("m"))
-    return messages.strictly_parsed(rows, "m").select("seq", F.col("strict_error").alias("error"))
+    sent = F.regexp_extract(m, r"10=(\d+)\x01$", 1).cast("int")
+    size = F.regexp_extract(m, r"\x019=(\d+)", 1).cast("int")
+    damaged = (
+        F.when(F.col("seq") % 6 == 1, F.concat(F.regexp_replace(m, r"\d+\x01$", ""), F.lpad(((sent + 1) % 256).cast("string"), 3, "0"), soh))
+        .when(F.col("seq") % 6 == 2, F.regexp_replace(m, F.lit(r"\x019=\d+"), F.concat(soh, F.lit("9="), (size + 1).cast("string"))))
+        .when(F.col("seq") % 6 == 3, F.concat(F.lit("58=first"), soh, m))
+        .when(F.col("seq") % 6 == 4, F.regexp_replace(m, r"10=\d+\x01$", ""))
+        .when(F.col("seq") % 6 == 5, F.concat(m, F.lit("x"), soh)).otherwise(m)
+    )
+    return messages.strictly_parsed(rows.withColumn("m", damaged), "m").select("seq", F.col("strict_error").alias("error"))
 
 
 @query("""SELECT l_orderkey AS order_key, CAST(COUNT(*) AS INTEGER) AS n_entries, SUM(l_quantity) AS shares,
@@ -177,16 +192,93 @@ def c13_typed_to_fields(spark, sf_dir):
                        codec.first_value(f, 37).alias("order_id"), codec.number(codec.first_value(f, 38)).alias("order_qty"))
 
 
-@query("""SELECT event_id, CASE WHEN value = ROUND(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE 'x' END AS whole,
+@query("""SELECT event_id, CASE WHEN value = ROUND(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS number,
 CAST(CAST(event_id AS BIGINT) AS VARCHAR) AS id_text FROM events""")
 def c14_number_format(spark, sf_dir):
     _views(spark, sf_dir, ("events",))
-    v = F.col("value")
     return spark.table("events").select(
-        "event_id", F.when(v == F.rint(v), codec.format_number(v)).otherwise("x").alias("whole"), codec.format_number(F.col("event_id").cast("double")).alias("id_text")
+        "event_id", codec.format_number(F.col("value")).alias("number"), codec.format_number(F.col("event_id").cast("double")).alias("id_text")
     )
 
 
+_TYPES = ("D", "8", "9", "F", "G", "H", "Q")
+_BACK = {"cl_ord_id": 11, "orig_cl_ord_id": 41, "order_id": 37, "exec_id": 17, "exec_ref_id": 19, "symbol": 55, "side": 54, "ord_status": 39, "exec_type": 150,
+         "cxl_rej_response_to": 434, "text": 58}
+_AMOUNTS = {"order_qty": 38, "price": 44, "last_qty": 32, "last_px": 31, "cum_qty": 14, "leaves_qty": 151, "avg_px": 6}
+
+
+@query(f"""{_WITH} SELECT msg_type, seq, COALESCE(symbol, '') AS symbol, CASE WHEN side = '1' THEN 'BUY' WHEN side = '2' THEN 'SELL' ELSE 'UNSPECIFIED' END AS side,
+CASE WHEN msg_type = 'Q' THEN '' ELSE cl_ord_id END AS client_id, CASE WHEN msg_type = 'D' THEN '' ELSE order_id END AS order_id FROM tape WHERE msg_type <> '9'
+UNION ALL SELECT msg_type, seq, '', 'UNSPECIFIED', cl_ord_id, order_id FROM tape WHERE msg_type = '9'""")
+def c12_typed_messages(spark, sf_dir):
+    """Every message as the struct of its type."""
+    rows, out = _parsed(spark, sf_dir), None
+    for kind in _TYPES:
+        part = typed.typed_rows(rows, kind)
+        names = part.schema["message"].dataType.names
+        of = lambda n, other: F.col(f"message.{n}") if n in names else F.lit(other)  # noqa: B023, E731
+        part = part.select(F.lit(kind).alias("msg_type"), "seq", of("Symbol", "").alias("symbol"), of("Side", "UNSPECIFIED").alias("side"),
+                           of("ClOrdID", "").alias("client_id"), of("OrderID", "").alias("order_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""{_WITH} SELECT seq, msg_type, {', '.join(_BACK)}, CAST(exec_trans_type AS VARCHAR) AS exec_trans_type,
+{', '.join(f'NULLIF(CAST({c} AS DOUBLE), 0) AS {c}' for c in _AMOUNTS)} FROM tape""")
+def c13_typed_round_trip(spark, sf_dir):
+    """Every message through its typed struct and back to fields (zeros are not written)."""
+    rows, out = _parsed(spark, sf_dir), None
+    for kind in _TYPES:
+        part = typed.typed_rows(rows, kind).select("seq", F.lit(kind).alias("msg_type"), typed.from_typed(F.col("message"), kind).alias("f"))
+        out = part if out is None else out.unionByName(part)
+    f = F.col("f")
+    trans = F.when(F.col("msg_type") == "8", codec.first_value(f, 20))
+    return out.select("seq", "msg_type", *(codec.first_value(f, t).alias(c) for c, t in _BACK.items()), trans.alias("exec_trans_type"),
+                      *(codec.number(codec.first_value(f, t)).alias(c) for c, t in _AMOUNTS.items()))
+
+
+@query(f"""{_WITH} SELECT msg_type, cl_ord_id, seq FROM tape WHERE msg_type = 'F'""")
+def src4_one_type(spark, sf_dir):
+    """Messages of one declared type; any other type in the input would be an error."""
+    rows = messages.lifted(_parsed(spark, sf_dir).where(codec.first_value(F.col("fields"), 35) == "F"))
+    return messages.only(rows, "F").select("msg_type", "cl_ord_id", "seq")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a|b=' || event_type WHEN 1 THEN 'plain' END AS data,
+CASE event_id % 3 WHEN 0 THEN 4 WHEN 1 THEN 4 ELSE NULL END AS n FROM events""")
+def c2_data_fields(spark, sf_dir):
+    """Length-prefixed data that holds delimiters; a length that runs past the end makes the message malformed."""
+    _views(spark, sf_dir, ("events",))
+    body = F.concat(F.lit("a|b="), F.col("event_type"))
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("35=B|354="), F.length(body).cast("string"), F.lit("|355="), body, F.lit("|58=x|"))).when(
+        F.col("event_id") % 3 == 1, F.lit("35=B|354=x|355=plain|58=x|")).otherwise(F.lit("35=B|354=99|355=short|"))
+    rows = messages.parsed(spark.table("events").select("event_id", raw.alias("raw")), with_data=True)
+    return rows.select("event_id", codec.first_value(F.col("fields"), 355).alias("data"), F.when(F.col("fields").isNotNull(), F.size("fields")).alias("n"))
+
+
+@query(f"""{_WITH_RAW}, f AS (SELECT CAST(SPLIT_PART(t, '=', 1) AS INTEGER) AS tag FROM (SELECT UNNEST(STRING_SPLIT(TRIM(raw, '|'), '|')) AS t FROM wire)),
+d(tag, name, section) AS (VALUES (8,'BeginString','header'),(35,'MsgType','header'),(34,'MsgSeqNum','header'),(49,'SenderCompID','header'),(56,'TargetCompID','header'),
+(11,'ClOrdID','body'),(41,'OrigClOrdID','body'),(37,'OrderID','body'),(17,'ExecID','body'),(19,'ExecRefID','body'),(526,'SecondaryClOrdID','body'),(1,'Account','body'),
+(55,'Symbol','body'),(54,'Side','body'),(40,'OrdType','body'),(38,'OrderQty','body'),(44,'Price','body'),(32,'LastShares','body'),(31,'LastPx','body'),(14,'CumQty','body'),
+(151,'LeavesQty','body'),(6,'AvgPx','body'),(39,'OrdStatus','body'),(150,'ExecType','body'),(20,'ExecTransType','body'),(434,'CxlRejResponseTo','body'),(58,'Text','body'))
+SELECT f.tag, d.name, d.section, COUNT(*) AS n FROM f LEFT JOIN d ON f.tag = d.tag GROUP BY ALL""")
+def c15_dictionary(spark, sf_dir):
+    """Names and sections of all fields on the tape."""
+    rows = _parsed(spark, sf_dir).select(F.explode_outer("fields").alias("f")).where("f is not null").groupBy("f.tag").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(F.broadcast(dictionary(spark).select("tag", "name", "section")), "tag", "left").select("tag", "name", "section", "n")
+
+
+@query("""SELECT event_id, ts AS arrival, CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 1 SECOND ELSE ts END AS sending,
+CASE WHEN event_id % 3 = 0 THEN ts - INTERVAL 2 SECOND WHEN event_id % 2 = 0 THEN ts - INTERVAL 1 SECOND ELSE ts END AS transact FROM events""")
+def c19_event_time(spark, sf_dir):
+    _views(spark, sf_dir, ("events",))
+    ts = F.col("ts")
+    sent = F.when(F.col("event_id") % 2 == 0, ts - F.expr("INTERVAL 1 SECOND"))
+    done = F.when(F.col("event_id") % 3 == 0, ts - F.expr("INTERVAL 2 SECOND"))
+    return spark.table("events").select("event_id", *(codec.event_time(k, ts, sent, done).alias(n) for k, n in (
+        ("ARRIVAL", "arrival"), ("SENDING_TIME", "sending"), ("TRANSACT_TIME", "transact"))))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE DATE_TRUNC('second', ts) + INTERVAL 250 MILLISECOND END AS parsed FROM events""")
 def c16_utc_timestamp(spark, sf_dir):
     _views(spark, sf_dir, ("events",))
@@ -241,9 +333,9 @@ def p4_raw_rows(spark, sf_dir):
     return rows.select(F.col("event_date").cast("string").alias("event_date"), "ingest_seq", "msg_type", "account", "order_qty", "cum_qty")
 
 
-@query(f"{_WITH} SELECT msg_type, COUNT(*) AS n, COUNT(DISTINCT seq) AS n_seq FROM tape WHERE msg_type IN ('D', '8', 'F') GROUP BY msg_type")
+@query(f"{_WITH} SELECT msg_type, COUNT(*) AS n, COUNT(DISTINCT seq) AS n_seq FROM tape GROUP BY msg_type")
 def a4_messages_by_type(spark, sf_dir):
-    rows = tape(spark, sf_dir).where(F.col("msg_type").isin("D", "8", "F"))
+    rows = tape(spark, sf_dir)
     return rows.groupBy("msg_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq").alias("n_seq"))
 
 
@@ -346,7 +438,7 @@ def t11_duplicate_executions(spark, sf_dir):
     return rows.withColumn("r", rank).where("r > 1").groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{_FLAGGED}, numbered AS (SELECT chain_id, seq, msg_type, cl_ord_id, dup, {_case('ord_status', ORD_STATUS, 'NULL')} AS st,
+_WALK = f"""{_FLAGGED}, numbered AS (SELECT chain_id, seq, msg_type, cl_ord_id, dup, {_case('ord_status', ORD_STATUS, 'NULL')} AS st,
  ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY seq) AS n FROM flagged),
 walk AS (SELECT chain_id, seq, n, CASE WHEN msg_type = 'D' THEN 'PENDING_NEW' WHEN msg_type = '8' AND st IS NOT NULL THEN st ELSE 'UNSPECIFIED' END AS s,
   CAST(NULL AS VARCHAR) AS held FROM numbered WHERE n = 1
@@ -354,8 +446,10 @@ walk AS (SELECT chain_id, seq, n, CASE WHEN msg_type = 'D' THEN 'PENDING_NEW' WH
  SELECT b.chain_id, b.seq, b.n, CASE WHEN b.msg_type = 'D' AND a.s = 'UNSPECIFIED' THEN 'PENDING_NEW' WHEN b.msg_type = '8' AND NOT b.dup AND b.st IS NOT NULL THEN b.st
    WHEN b.msg_type = 'F' THEN 'PENDING_CANCEL' WHEN b.msg_type = 'G' THEN 'PENDING_REPLACE' WHEN b.msg_type = '9' THEN COALESCE(a.held, b.st, a.s) ELSE a.s END,
    CASE WHEN b.msg_type = 'F' THEN a.s WHEN b.msg_type = '9' THEN NULL ELSE a.held END
- FROM walk a JOIN numbered b ON a.chain_id = b.chain_id AND b.n = a.n + 1)
-SELECT chain_id, seq, s AS ord_status, (s IN ({', '.join(f"'{t}'" for t in TERMINAL)})) AS is_terminal FROM walk""".replace("WITH \nline_", "WITH RECURSIVE line_", 1))
+ FROM walk a JOIN numbered b ON a.chain_id = b.chain_id AND b.n = a.n + 1)""".replace("WITH \nline_", "WITH RECURSIVE line_", 1)
+
+
+@query(f"{_WALK} SELECT chain_id, seq, s AS ord_status, (s IN ({', '.join(f'{chr(39)}{t}{chr(39)}' for t in TERMINAL)})) AS is_terminal FROM walk")
 def fold_status(spark, sf_dir):
     v = fold.versions(_single_chain(spark, sf_dir))
     return v.select("chain_id", "seq", "ord_status", "is_terminal")
@@ -390,20 +484,26 @@ def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return versions, fold.latest_states(versions)
 
 
-@query(f"{_CHAINS} SELECT cl_ord_id AS id_value, chain_id FROM msgs WHERE cl_ord_id LIKE '%R' GROUP BY ALL")
-def j2_lookup_by_client_id(spark, sf_dir):
-    """Orders found by the client id of a replace request."""
+def _lookup(spark: SparkSession, sf_dir: str, column: str, kind: str) -> DataFrame:
+    """Every distinct id of a kind probed against the index."""
     rows = _single_chain(spark, sf_dir)
-    probes = rows.where("cl_ord_id like '%R'").select(F.col("cl_ord_id").alias("id_value")).distinct()
-    chains = rows.select("chain_id").distinct()
-    return state.lookup(chain.id_index(rows), chains, probes, "C").select("id_value", "chain_id")
+    probes = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("id_value")).distinct()
+    return state.lookup(chain.id_index(rows), rows.select("chain_id").distinct(), probes, kind).select("id_value", "chain_id")
+
+
+@query(f"{_CHAINS} SELECT cl_ord_id AS id_value, ARG_MAX(chain_id, seq) AS chain_id FROM msgs WHERE cl_ord_id IS NOT NULL GROUP BY cl_ord_id")
+def j2_lookup_by_client_id(spark, sf_dir):
+    return _lookup(spark, sf_dir, "cl_ord_id", "C")
+
+
+@query(f"{_CHAINS} SELECT order_id AS id_value, ARG_MAX(chain_id, seq) AS chain_id FROM msgs WHERE order_id IS NOT NULL GROUP BY order_id")
+def j2_lookup_by_order_id(spark, sf_dir):
+    return _lookup(spark, sf_dir, "order_id", "O")
 
 
-@query(f"{_CHAINS} SELECT exec_id AS id_value, ARG_MAX(chain_id, seq) AS chain_id FROM msgs WHERE exec_id LIKE 'B%' GROUP BY exec_id")
+@query(f"{_CHAINS} SELECT exec_id AS id_value, ARG_MAX(chain_id, seq) AS chain_id FROM msgs WHERE exec_id IS NOT NULL GROUP BY exec_id")
 def j2_lookup_by_execution(spark, sf_dir):
-    rows = _single_chain(spark, sf_dir)
-    probes = rows.where("exec_id like 'B%'").select(F.col("exec_id").alias("id_value")).distinct()
-    return state.lookup(chain.id_index(rows), rows.select("chain_id").distinct(), probes, "E").select("id_value", "chain_id")
+    return _lookup(spark, sf_dir, "exec_id", "E")
 
 
 @query(f"{_CHAINS} SELECT DISTINCT symbol AS value, chain_id FROM msgs WHERE symbol IS NOT NULL UNION ALL SELECT DISTINCT account, chain_id FROM msgs WHERE account IS NOT NULL")
@@ -450,58 +550,102 @@ def a3_rollup_on_read(spark, sf_dir):
     return rollup.on_read(latest)
 
 
-_ASOF_SQL = f"""{_FLAGGED}, ver AS (SELECT chain_id, seq, LEAD(seq) OVER (PARTITION BY chain_id ORDER BY seq) AS nxt, parent_id,
+_ASOF_SQL = f"""{_FLAGGED}, ver AS (SELECT chain_id, seq, msg_type, LEAD(seq) OVER (PARTITION BY chain_id ORDER BY seq) AS nxt, parent_id,
+COALESCE({_LAST.format(x='order_id')}, {_LAST.format(x="CASE WHEN msg_type <> '9' THEN cl_ord_id END")}) AS shown,
 COALESCE({_LAST.format(x="CASE WHEN msg_type = '8' AND NOT dup THEN cum_qty END")}, 0.0) AS cum,
+COALESCE({_LAST.format(x="CASE WHEN msg_type = '8' AND NOT dup THEN avg_px END")}, 0.0) AS av,
 COALESCE({_LAST.format(x="CASE WHEN msg_type = '8' AND NOT dup THEN leaves_qty END")}, 0.0) AS lv FROM flagged),
 par AS (SELECT chain_id AS parent, MIN(seq) AS bound FROM msgs WHERE chain_id LIKE 'PAR%' GROUP BY chain_id),
 lnk AS (SELECT parent_id AS parent, chain_id AS child, GREATEST(MIN(seq), MIN(bound)) AS since FROM ver JOIN par ON parent_id = par.parent GROUP BY parent_id, chain_id),
-trg AS (SELECT parent_id AS parent, seq FROM ver JOIN par ON parent_id = par.parent WHERE bound <= seq)"""
+trg AS (SELECT parent, seq, BOOL_OR(own) AS own FROM (SELECT parent_id AS parent, seq, FALSE AS own FROM ver JOIN par ON parent_id = par.parent WHERE bound <= seq
+  UNION ALL SELECT chain_id, seq, TRUE FROM ver JOIN (SELECT parent, MIN(since) AS since FROM lnk GROUP BY parent) f ON chain_id = f.parent WHERE seq >= f.since) GROUP BY parent, seq),
+agg AS (SELECT t.parent, t.seq, t.own, SUM(v.cum) AS cum, SUM(v.lv) AS lv, SUM(CAST(v.cum * v.av AS DECIMAL(38, 10))) AS nt, STRING_AGG(v.shown, ',' ORDER BY l.child) AS ids,
+  COUNT(*) AS kids FROM trg t JOIN lnk l ON t.parent = l.parent AND l.since <= t.seq JOIN ver v ON v.chain_id = l.child AND v.seq <= t.seq AND (v.nxt IS NULL OR t.seq < v.nxt)
+  GROUP BY t.parent, t.seq, t.own)"""
+_AVG = "CASE WHEN cum > 0 THEN CAST(nt AS DOUBLE) / cum ELSE 0.0 END"
 
 
-@query(f"""{_ASOF_SQL} SELECT t.parent AS chain_id, t.seq, SUM(v.cum) AS cum_qty, SUM(v.lv) AS leaves_qty, COUNT(*) AS n_children
-FROM trg t JOIN lnk l ON t.parent = l.parent AND l.since <= t.seq JOIN ver v ON v.chain_id = l.child AND v.seq <= t.seq AND (v.nxt IS NULL OR t.seq < v.nxt)
-GROUP BY t.parent, t.seq""")
+@query(f"{_ASOF_SQL} SELECT parent AS chain_id, seq, own, cum AS cum_qty, lv AS leaves_qty, {_AVG} AS avg_px, kids AS n_children FROM agg")
 def a2_parent_rollup(spark, sf_dir):
-    """The aggregate of a parent's children as of every message that refreshes it."""
-    return rollup.parent_versions(_versions(spark, sf_dir)).where("not own").select(
-        "chain_id", "seq", "cum_qty", "leaves_qty", F.col("child_order_count").cast("bigint").alias("n_children")
+    """The aggregate of a parent's children as of every message that refreshes it, its own included."""
+    return rollup.parent_versions(_versions(spark, sf_dir)).select(
+        "chain_id", "seq", "own", "cum_qty", "leaves_qty", "avg_px", F.col("child_order_count").cast("bigint").alias("n_children")
     )
 
 
-@query(f"{_CHAINS} SELECT kind AS change_kind, COUNT(*) AS n FROM (SELECT CASE WHEN ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY seq) = 1 THEN 'CREATE'"
-       " ELSE 'UPDATE' END AS kind FROM msgs) GROUP BY kind")
+@query(f"""{_ASOF_SQL}, moved AS (SELECT *, LAG(cum) OVER w AS c0, LAG(lv) OVER w AS l0, LAG(nt) OVER w AS n0, LAG(ids) OVER w AS i0 FROM agg WINDOW w AS (PARTITION BY parent ORDER BY seq))
+SELECT parent AS chain_id, seq, 'PARENT_ROLLUP' AS change_kind, cum AS cum_qty, lv AS leaves_qty, {_AVG} AS avg_px, CAST(kids AS INTEGER) AS child_order_count FROM moved
+WHERE NOT own AND (cum IS DISTINCT FROM c0 OR lv IS DISTINCT FROM l0 OR nt IS DISTINCT FROM n0 OR ids IS DISTINCT FROM i0)
+UNION ALL SELECT v.chain_id, v.seq, CASE WHEN ROW_NUMBER() OVER (PARTITION BY v.chain_id ORDER BY v.seq) = 1 THEN 'CREATE' ELSE 'UPDATE' END, COALESCE(a.cum, v.cum), COALESCE(a.lv, v.lv),
+COALESCE(CASE WHEN a.cum > 0 THEN CAST(a.nt AS DOUBLE) / a.cum WHEN a.cum = 0 THEN 0.0 END, v.av), CAST(COALESCE(a.kids, 0) AS INTEGER)
+FROM ver v LEFT JOIN agg a ON v.chain_id = a.parent AND v.seq = a.seq AND a.own""")
 def change_stream(spark, sf_dir):
-    """Own changes by kind (roll-up rows are checked on the golden tape)."""
+    """Every change: own changes of each message's chain and the roll-ups of parents that it moved."""
     versions = _versions(spark, sf_dir)
-    rows = rollup.changes(versions, rollup.parent_versions(versions)).where("not is_rollup")
-    return rows.groupBy("change_kind").agg(F.count(F.lit(1)).alias("n"))
+    return rollup.changes(versions, rollup.parent_versions(versions)).select("chain_id", "seq", "change_kind", "cum_qty", "leaves_qty", "avg_px", "child_order_count")
+
 
+@query(f"""{_ASOF_SQL}, moved AS (SELECT *, LAG(cum) OVER w AS c0, LAG(lv) OVER w AS l0, LAG(nt) OVER w AS n0, LAG(ids) OVER w AS i0 FROM agg WINDOW w AS (PARTITION BY parent ORDER BY seq)),
+every AS (SELECT 'PARENT_ROLLUP' AS change_kind, seq, 1 AS is_parent FROM moved
+WHERE NOT own AND (cum IS DISTINCT FROM c0 OR lv IS DISTINCT FROM l0 OR nt IS DISTINCT FROM n0 OR ids IS DISTINCT FROM i0)
+UNION ALL SELECT CASE WHEN ROW_NUMBER() OVER (PARTITION BY v.chain_id ORDER BY v.seq) = 1 THEN 'CREATE' ELSE 'UPDATE' END, v.seq, CASE WHEN a.parent IS NULL THEN 0 ELSE 1 END
+FROM ver v LEFT JOIN agg a ON v.chain_id = a.parent AND v.seq = a.seq AND a.own)
+SELECT change_kind, COUNT(*) AS n, MIN(seq) AS first_seq, CAST(SUM(is_parent) AS BIGINT) AS n_parents FROM every GROUP BY change_kind""")
+def snk2_state_archive(spark, sf_dir):
+    """The whole change stream written as archive rows, compacted, and read back by SQL."""
+    versions = _versions(spark, sf_dir)
+    rows = rollup.state_rows(rollup.changes(versions, rollup.parent_versions(versions)), _lifted(spark, sf_dir), "w1")
+    archive = Archive(spark, stage.new_path(spark, "archive"), template="{yyyy}")
+    archive.write("order_state", rows)
+    archive.compact("order_state")
+    return archive.query("""SELECT change_kind, COUNT(*) AS n, MIN(ingest_seq DIV 2) AS first_seq, SUM(CAST(is_parent AS INT)) AS n_parents
+        FROM order_state GROUP BY change_kind""")
 
-# ---- archive and stream: no SQL form, rows only -----------------------------------------------------------------
+
+# ---- archive and stream ------------------------------------------------------------------------------------------
 
 
 @query(f"{_WITH} SELECT msg_type, COUNT(*) AS n, SUM(order_qty) AS order_qty FROM tape GROUP BY msg_type")
 def snk1_archive_round_trip(spark, sf_dir):
     """Write the raw rows to partitioned Parquet, compact every partition, and query them back by SQL."""
-    from ordertape.sources.archive import Archive
-
     archive = Archive(spark, stage.new_path(spark, "archive"), template="{yyyy}")
     archive.write("fix_messages", messages.raw_rows(_parsed(spark, sf_dir), "w1"))
     archive.compact("fix_messages")
     return archive.query("SELECT msg_type, COUNT(*) AS n, SUM(order_qty) AS order_qty FROM fix_messages GROUP BY msg_type")
 
 
+@query(f"{_WITH} " + " UNION ALL ".join(f"SELECT '{c}' AS codec, COUNT(*) AS n, SUM(order_qty) AS order_qty FROM tape WHERE msg_type = 'F'" for c in CODECS))
+def snk4_codecs(spark, sf_dir):
+    """Cancel requests written with every codec and read back."""
+    rows, out = messages.raw_rows(_parsed(spark, sf_dir).where(codec.first_value(F.col("fields"), 35) == "F"), "w1"), None
+    for name in CODECS:
+        archive = Archive(spark, stage.new_path(spark, "archive"), template="{yyyy}", compression=name)
+        archive.write("fix_messages", rows)
+        part = archive.read("fix_messages").agg(F.lit(name).alias("codec"), F.count(F.lit(1)).alias("n"), F.sum("order_qty").alias("order_qty"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""{_WALK} SELECT w.seq, w.s AS ord_status, w.n AS update_count, COALESCE({_LAST.format(x="CASE WHEN w.msg_type = '8' AND NOT dup THEN cum_qty END")}, 0.0) AS cum_qty,
+COALESCE({_LAST.format(x="CASE WHEN w.msg_type = '8' AND NOT dup THEN leaves_qty END")}, 0.0) AS leaves_qty FROM walk w JOIN flagged f USING (chain_id, seq)""".replace("w.msg_type", "f.msg_type"))
+def t1_streaming_states(spark, sf_dir):
+    """Every state of the keyed streaming fold over the resolved tape."""
+    return _streamed(spark, sf_dir).select("seq", "ord_status", "update_count", "cum_qty", "leaves_qty")
+
+
 @query(f"{_FLAGGED} SELECT COUNT(*) AS n, COUNT(DISTINCT chain_id) AS n_chains FROM msgs")
 def t1_streaming_fold(spark, sf_dir):
     """The keyed streaming fold over the resolved tape, drained once."""
-    from ordertape.streaming import live
+    return _streamed(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chain_id").alias("n_chains"))
+
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = live._FOLD_INPUT
     source = stage.save(_single_chain(spark, sf_dir).select(F.xxhash64("chain_id").alias("chain_id"), *names), "stream-in")
     sink, checkpoint = stage.new_path(spark, "stream-out"), stage.new_path(spark, "stream-checkpoint")
     stream = spark.readStream.schema(source.schema).parquet(source._stage_path)
     live.fold_stream(stream).writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(sink).awaitTermination()
-    return spark.read.schema(live.CHANGES).parquet(sink).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("chain_id").alias("n_chains"))
+    return spark.read.schema(live.CHANGES).parquet(sink)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,11 +654,82 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.latest_states(fold.versions(chain.resolve(rows))).select("chain_key", "order_id", "symbol", "ord_status", "order_qty", "cum_qty", "leaves_qty", "update_count")
 
 
-@query()
+_LATEST = f"""{_WALK}, ids AS (SELECT chain_id, ARG_MAX(order_id, seq) FILTER (order_id IS NOT NULL) AS order_id, ARG_MAX(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol,
+COUNT(*) AS update_count FROM msgs GROUP BY chain_id),
+st AS (SELECT chain_id, ARG_MAX(order_qty, seq) FILTER (msg_type IN ('D', '8') AND order_qty IS NOT NULL) AS order_qty,
+COALESCE(ARG_MAX(cum_qty, seq) FILTER (msg_type = '8' AND NOT dup AND cum_qty IS NOT NULL), 0.0) AS cum_qty,
+COALESCE(ARG_MAX(leaves_qty, seq) FILTER (msg_type = '8' AND NOT dup AND leaves_qty IS NOT NULL), 0.0) AS leaves_qty FROM flagged GROUP BY chain_id),
+fin AS (SELECT chain_id, ARG_MAX(s, n) AS ord_status FROM walk GROUP BY chain_id)"""
+
+
+@query(f"""{_LATEST} SELECT ids.chain_id AS chain_key, order_id, symbol, ord_status, order_qty, cum_qty, leaves_qty, update_count
+FROM ids JOIN st ON ids.chain_id = st.chain_id JOIN fin ON ids.chain_id = fin.chain_id""")
 def latest_states(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
+@query(f"""{_CHAINS}, mid AS (SELECT MIN(seq) + (MAX(seq) - MIN(seq)) // 2 AS middle FROM msgs), past AS (SELECT * FROM msgs WHERE seq <= (SELECT middle FROM mid))
+SELECT chain_id, MAX(seq) AS seq, COUNT(*) AS update_count, ARG_MAX(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol FROM past GROUP BY chain_id""")
+def w2_as_of_order_state(spark, sf_dir):
+    """The state of every order as of the middle of the tape."""
+    rows = _single_chain(spark, sf_dir)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    versions = fold.versions(rows)
+    return state.as_of(versions, "chain_id", "seq", F.lit(low + (high - low) // 2), "seq").select("chain_id", "seq", "update_count", "symbol")
+
+
+@query(f"{_WALK} SELECT chain_id, seq, LAG(s) OVER (PARTITION BY chain_id ORDER BY n) AS prev_ord_status FROM walk")
+def w5_previous_order_status(spark, sf_dir):
+    return state.previous(fold.versions(_single_chain(spark, sf_dir)), "chain_id", "ord_status", "seq").select("chain_id", "seq", "prev_ord_status")
+
+
+@query(f"""{_CHAINS}, kept AS (SELECT chain_id, seq, msg_type, ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY seq DESC) AS rn FROM msgs)
+SELECT chain_id, STRING_AGG(msg_type, ',' ORDER BY seq) AS history FROM kept WHERE rn <= 4 GROUP BY chain_id""")
+def j9_message_history(spark, sf_dir):
+    """The newest four messages of every order, by type."""
+    return state.history(_single_chain(spark, sf_dir), "chain_id", "msg_type", 4).select("chain_id", F.array_join("history", ",").alias("history"))
+
+
+@query(f"{_WITH_RAW}, mid AS (SELECT MIN(seq) + (MAX(seq) - MIN(seq)) // 2 AS middle FROM wire) SELECT seq, raw FROM wire WHERE seq > (SELECT middle FROM mid)")
+def src11_journal_replay(spark, sf_dir):
+    """The second half of the tape replayed from a journal of numbered messages with checksums."""
+    tape_ = raw_tape(spark, sf_dir)
+    low, high = tape_.agg(F.min("seq"), F.max("seq")).first()
+    return messages.replay(tape_, low + (high - low) // 2).select("seq", "raw")
+
+
+_B_WALK = f"""{_FLAGGED}, numbered AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY chain_id ORDER BY seq) AS n FROM flagged),
+walk AS (SELECT chain_id, seq, n, CASE WHEN msg_type = 'D' THEN 'A' WHEN msg_type = '8' THEN ord_status END AS s, CAST(1 AS BIGINT) AS version FROM numbered WHERE n = 1
+ UNION ALL SELECT b.chain_id, b.seq, b.n, CASE WHEN b.msg_type = 'D' THEN COALESCE(a.s, 'A') WHEN b.msg_type = '8' AND NOT b.dup THEN COALESCE(b.ord_status, a.s)
+   WHEN b.msg_type IN ('F', 'G') AND COALESCE(a.s, '') NOT IN ('2', '4', '8', 'C') THEN CASE b.msg_type WHEN 'F' THEN '6' ELSE 'E' END
+   WHEN b.msg_type = '9' THEN COALESCE(b.ord_status, a.s) ELSE a.s END, a.version + CASE WHEN b.dup THEN 0 ELSE 1 END
+ FROM walk a JOIN numbered b ON a.chain_id = b.chain_id AND b.n = a.n + 1)""".replace("WITH \nline_", "WITH RECURSIVE line_", 1)
+
+
+@query(f"{_B_WALK} SELECT walk.seq, s AS ord_status, version, NOT dup AS applied FROM walk JOIN flagged ON walk.chain_id = flagged.chain_id AND walk.seq = flagged.seq")
+def b_fold(spark, sf_dir):
+    """The second dialect's fold of the tape: status, version and whether a message was applied."""
+    rows = _single_chain(spark, sf_dir).withColumn("chain_id", F.xxhash64("chain_id"))
+    return dialect.versions(rows).select("seq", "ord_status", "version", "applied")
+
+
+@query(f"""{_CHAINS}, named AS (SELECT chain_id, MIN(seq) AS first_seq FROM msgs GROUP BY chain_id)
+SELECT m.seq, n.first_seq AS chain_id FROM msgs m JOIN named n ON m.chain_id = n.chain_id""")
+def b_chain_resolution(spark, sf_dir):
+    """Chains under the second dialect's probe order and bindings."""
+    return chain.resolve(_lifted(spark, sf_dir), "B").select("seq", "chain_id")
+
+
+@query(f"""{_LATEST} SELECT ids.chain_id, 'RECOVERY' AS change_kind, ord_status, cum_qty FROM ids JOIN st ON ids.chain_id = st.chain_id JOIN fin ON ids.chain_id = fin.chain_id""")
+def t3_recovery(spark, sf_dir):
+    """A snapshot in the middle of the tape, the tail applied to it, and every restored order announced."""
+    rows = _single_chain(spark, sf_dir)
+    low, high = rows.agg(F.min("seq"), F.max("seq")).first()
+    anchor = low + (high - low) // 2
+    snapshot = stage.save(fold.latest_states(fold.versions(rows.where(F.col("seq") <= anchor))), "snapshot")
+    return journal.announce(journal.recover(snapshot, anchor, rows)).select("chain_id", "change_kind", "ord_status", "cum_qty")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -11,7 +11,8 @@ numbers and arrival times are part of the input, never stamped again.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -189,3 +190,50 @@ class Snapshots:
                 raise ValueError("the snapshot was taken under another configuration")
             return seq, states
         return None
+
+
+@dataclass
+class ChangeSink:
+    """``foreachBatch`` sink that hands change rows to a handler.
+
+    A handler's failure goes to ``on_error`` and the stream goes on; with
+    ``fail`` it ends the batch instead, which is then delivered again after a
+    restart. A batch that was handled completely is not handed over twice by the
+    same sink.
+    """
+
+    handler: Callable[[DataFrame, int], None]
+    on_error: Callable[[int, Exception], None] | None = None
+    fail: bool = False
+    handled: int = -1
+    errors: int = 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        if batch_id <= self.handled:
+            return
+        try:
+            self.handler(batch, batch_id)
+        except Exception as e:
+            self.errors += 1
+            if self.on_error is not None:
+                self.on_error(batch_id, e)
+            if self.fail:
+                raise
+        self.handled = batch_id
+
+
+@dataclass(frozen=True)
+class BatchPolicy:
+    """When buffered rows become a file: after so many rows, or so many seconds, or on demand."""
+
+    rows: int = 50_000
+    seconds: int = 60
+
+    def source(self, reader, files_at_once: int = 1):
+        return reader.option("maxFilesPerTrigger", files_at_once)
+
+    def sink(self, rows: DataFrame, folder: str, checkpoint: str, drain: bool = False):
+        """A file writer under this policy; ``drain`` takes what is there, closes the files and ends (flush and close)."""
+        writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("maxRecordsPerFile", self.rows)
+        writer = writer.trigger(availableNow=True) if drain else writer.trigger(processingTime=f"{self.seconds} seconds")
+        return writer.start(folder)
