@@ -137,11 +137,12 @@ class FingerprintIndex:
     """A run of ``(hash, n, k1, k2, at)`` bucketed and sorted by hash; the last three say where a hash with ``n = 1`` is.
 
     ``folder`` holds the runs (``run-<number>-<buckets>``); opened again it continues after its newest finished run.
+    A run has a quarter as many buckets, and so files, as the session has shuffle partitions: its rows are narrow.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
         self.spark, self.folder = spark, (folder or stage.new_path(spark, "fingerprints")).rstrip("/")
-        self.number, self.buckets, self.run = 0, partitions_for(spark.range(0)), None
+        self.number, self.buckets, self.run = 0, -(-partitions_for(spark.range(0)) // 4), None
         path = spark._jvm.org.apache.hadoop.fs.Path
         fs = path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         if fs.exists(path(self.folder)):
