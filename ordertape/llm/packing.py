@@ -45,6 +45,8 @@ SHARD = 4096
 ISLANDS = 3
 GENERATIONS = 24
 POPULATION = 6
+#: Generations without fewer bins after which a search ends.
+PATIENCE = 5
 #: Latin letters that no normal form changes, then at most one mark.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?]?)")
 
@@ -270,7 +272,7 @@ def mutate(packing: Packing, rng: np.random.Generator) -> Packing:
 def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]], generations: int, population: int = POPULATION) -> list[int]:
     """The best packing found, as a bin number for each piece; ``elites`` are packings to start from.
 
-    It ends early where the total size allows no packing with fewer bins.
+    It ends early where the total size allows no packing with fewer bins, and after ``PATIENCE`` generations that found none.
     """
     rng = np.random.default_rng(seed)
     n, least = len(sizes), -(-sum(sizes) // capacity)
@@ -287,10 +289,13 @@ def evolve(sizes: list[int], capacity: int, seed: int, elites: list[list[int]],
         # seeds: pack a random half by best fit, then the rest
         chosen = rng.permutation(n)
         pool.append(Packing(sizes, capacity).fill(chosen[:n // 2].tolist()).fill(chosen[n // 2:].tolist()))
+    fewest, idle = n + 1, 0
     for _ in range(generations):
         pool.sort(key=Packing.key)
-        if pool[0].key()[0] <= least:
-            break  # no packing can have fewer bins
+        bins = pool[0].key()[0]
+        fewest, idle = (bins, 0) if bins < fewest else (fewest, idle + 1)
+        if bins <= least or idle >= PATIENCE:
+            break  # no packing can have fewer bins, or none is found
         del pool[population:]
         # the better parent of two draws each; the child is kept with what mutation makes of it
         a, b = (int(min(rng.integers(0, len(pool), 2))) for _ in range(2))
