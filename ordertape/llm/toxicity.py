@@ -35,7 +35,7 @@ from ordertape.llm.common import crc_of_id, map_text, share, shared_value, slice
 
 BUCKETS = 1 << 18
 MAX_LABELLED = 12_000
-#: Groups of identity terms that may stand for each other.
+#: Groups of identity terms that may stand for each other, in the languages of the corpus; a parameter of :func:`train`.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys", "transgender"),
     ("woman", "man", "girl", "boy"),
@@ -45,6 +45,15 @@ IDENTITY_GROUPS = (
     ("gay", "straight", "lesbian", "bisexual", "queer"),
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "blind", "deaf", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"), ("frau", "mann"), ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimisch", "christlich", "jüdisch"), ("schwarze", "weiße", "asiaten", "europäer"), ("schwule", "lesben", "heteros"),
+    ("einwanderer", "flüchtlinge", "ausländer", "einheimische"), ("behinderte", "blinde", "gehörlose"),
+    ("mujeres", "hombres", "niñas", "niños"), ("mujer", "hombre"), ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmán", "cristiano", "judío"), ("negros", "blancos", "asiáticos", "latinos", "europeos"), ("gays", "lesbianas", "heterosexuales"),
+    ("inmigrantes", "refugiados", "extranjeros"), ("discapacitados", "ciegos", "sordos"),
+    ("femmes", "hommes", "filles", "garçons"), ("femme", "homme"), ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulman", "chrétien", "juif"), ("noirs", "blancs", "asiatiques", "européens"), ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("immigrés", "réfugiés", "étrangers"), ("handicapés", "aveugles", "sourds"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,10 +85,10 @@ def buckets_of(words: set[str], memo: dict[str, list[int]]) -> np.ndarray:
     return np.unique(np.array(out, np.int32)) if out else np.zeros(0, np.int32)
 
 
-def counterfactuals(words: set[str]) -> list[set[str]]:
+def counterfactuals(words: set[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[set[str]]:
     """Versions of a text's words with one identity term swapped for each other of its group, and removed."""
     out = []
-    for group in IDENTITY_GROUPS:
+    for group in groups:
         for term in group:
             if term in words:
                 rest = words - {term}
@@ -98,9 +107,9 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
-def swaps_of(words: set[str], memo: dict[str, list[int]]) -> list[tuple[list[int], list[int]]]:
+def swaps_of(words: set[str], memo: dict[str, list[int]], groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> list[tuple[list[int], list[int]]]:
     """Buckets gained and lost by each counterfactual version of a text."""
-    versions = counterfactuals(words)
+    versions = counterfactuals(words, groups)
     if not versions:
         return []
     base = buckets_of(words, memo)
@@ -168,7 +177,8 @@ def fit(feats: list[np.ndarray], labels: list[int], swaps: list[tuple[list[int],
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          folds: int = 5, held: int = 0, max_labelled: int = MAX_LABELLED) -> Model:
+          folds: int = 5, held: int = 0, max_labelled: int = MAX_LABELLED,
+          groups: tuple[tuple[str, ...], ...] = IDENTITY_GROUPS) -> Model:
     """Fit on labelled rows outside the held-out fold, at most ``max_labelled`` of them (smallest id hash)."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (F.pmod(crc_of_id("doc_id"), F.lit(folds)) != held)
@@ -186,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     [
                         part.column(0), part.column(1),
                         pa.array([buckets_of(w, memo) for w in words], pa.list_(pa.int32())),
-                        pa.array([[{"gained": g, "lost": o} for g, o in swaps_of(w, memo)] for w in words], pa.list_(pair)),
+                        pa.array([[{"gained": g, "lost": o} for g, o in swaps_of(w, memo, groups)] for w in words], pa.list_(pair)),
                     ],
                     names=["doc_id", "y", "buckets", "swaps"],
                 )
