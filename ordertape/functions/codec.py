@@ -184,6 +184,15 @@ def canonical(fields: Column, begin: str = "FIX.4.2") -> Column:
     return F.concat(text, F.lit("10="), checksum(text), F.lit(SOH))
 
 
+def header_first(fields: Column, header: tuple[int, ...] = (35, 49, 56, 34, 52)) -> Column:
+    """The second dialect's order of emission: these header fields first, the rest as it is (without 8, 9 and 10)."""
+
+    def tagged(tag: int) -> Column:
+        return F.filter(fields, lambda f: f["tag"] == tag)
+
+    return F.concat(*(tagged(t) for t in header), F.filter(fields, lambda f: ~f["tag"].isin(8, 9, 10, *header)))
+
+
 def first_value(fields: Column, tag: int) -> Column:
     return F.try_element_at(F.filter(fields, lambda f: f["tag"] == tag), F.lit(1))["value"]
 
@@ -229,6 +238,11 @@ def format_number(value: Column) -> Column:
     return F.when((value == F.rint(value)) & (F.abs(value) < 1e15), value.cast("bigint").cast("string")).otherwise(value.cast("string"))
 
 
+def format_plain(value: Column) -> Column:
+    """The second dialect's number format: no exponent, no trailing zeros (twelve digits after the point)."""
+    return F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+
+
 def group(fields: Column, count_tag: int, delimiter_tag: int, members: tuple[int, ...], honour_count: bool = False) -> Column:
     """Entries of a repeating group as ``array<array<struct<tag, value>>>``.
 

@@ -32,7 +32,7 @@ def _so_far() -> Window:
 def filled(c: str | Column) -> Column:
     """The value unless it is blank."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(F.length(F.regexp_replace(c, r"\s+", "")) > 0, c)
+    return F.when(c.rlike(r"\S"), c)  # found at the first character that is no blank
 
 
 def latest(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordertape.plans import stage
+
 
 def latest_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of every key; ``max_by`` combines before its shuffle, unlike a window."""
@@ -57,6 +59,17 @@ def history(messages: DataFrame, key: str, value: str, cap: int = 0) -> DataFram
 
 
 def gaps(log: DataFrame, seq_col: str = "seq", segment_col: str | None = None) -> DataFrame:
-    """Rows whose sequence number does not follow the one before (within a segment when given)."""
-    w = Window.partitionBy(segment_col).orderBy(seq_col) if segment_col else Window.orderBy(seq_col)
-    return log.withColumn("prev_seq", F.lag(seq_col).over(w)).where(F.col(seq_col) - F.col("prev_seq") != 1)
+    """Rows whose sequence number does not follow the one before (within a segment when given).
+
+    Without segments the log is cut into ranges; each range looks back into itself and, for its first row, at the last number of the
+    range before it, so no task sorts the whole log.
+    """
+    if segment_col:
+        found = log.withColumn("prev_seq", F.lag(seq_col).over(Window.partitionBy(segment_col).orderBy(seq_col)))
+    else:
+        ranged = stage.save(log.repartitionByRange(seq_col).sortWithinPartitions(seq_col).withColumn("__p", F.spark_partition_id()), "ranges")
+        ends = ranged.groupBy("__p").agg(F.max(seq_col).alias("__end"))  # one row for each range
+        before = ends.select("__p", F.lag("__end").over(Window.orderBy("__p")).alias("__before"))
+        inside = F.lag(seq_col).over(Window.partitionBy("__p").orderBy(seq_col))
+        found = ranged.join(F.broadcast(before), "__p", "left").withColumn("prev_seq", F.coalesce(inside, "__before")).drop("__p", "__before")
+    return found.where(F.col(seq_col) - F.col("prev_seq") != 1)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordertape.plans import stage
+from ordertape.plans import session, stage
 
 TABLES = ("customer", "orders", "lineitem", "events", "nation", "region", "supplier", "part")
 
@@ -133,6 +133,8 @@ def tape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``seq, ts, raw``: the tape as wire text, derived once in an application and then read as the stored source it stands for."""
 
+    session.tune(spark)
+
     def build() -> DataFrame:
         views(spark, sf_dir, ("orders", "lineitem"))
         return spark.sql(f"WITH {TAPE} SELECT seq, ts, {RAW} AS raw FROM tape")

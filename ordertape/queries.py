@@ -201,6 +201,19 @@ def c14_number_format(spark, sf_dir):
     )
 
 
+@query("""SELECT event_id, REGEXP_REPLACE(CAST(CAST(value AS DECIMAL(38, 12)) AS VARCHAR), '\\.?0+$', '') AS number FROM events""")
+def c14_plain_format(spark, sf_dir):
+    """The second dialect's numbers."""
+    _views(spark, sf_dir, ("events",))
+    return spark.table("events").select("event_id", codec.format_plain(F.col("value")).alias("number"))
+
+
+@query(f"""{_WITH_RAW} SELECT seq, '35=' || SPLIT_PART(SPLIT_PART(raw, '|', 2), '=', 2) || '|49=BUY|56=SELL|34=' || CAST(seq AS VARCHAR) || SUBSTRING(raw, STRPOS(raw, '|56=SELL') + 8) AS raw FROM wire""")
+def c6_header_order(spark, sf_dir):
+    """The second dialect's order of fields."""
+    return _parsed(spark, sf_dir).select("seq", codec.serialize(codec.header_first(F.col("fields")), "|").alias("raw"))
+
+
 _TYPES = ("D", "8", "9", "F", "G", "H", "Q")
 _BACK = {"cl_ord_id": 11, "orig_cl_ord_id": 41, "order_id": 37, "exec_id": 17, "exec_ref_id": 19, "symbol": 55, "side": 54, "ord_status": 39, "exec_type": 150,
          "cxl_rej_response_to": 434, "text": 58}
@@ -357,8 +370,8 @@ FROM events WHERE ts <= (SELECT MIN(ts) + (MAX(ts) - MIN(ts)) / 2 FROM events))
 def w2_as_of_state(spark, sf_dir):
     _views(spark, sf_dir, ("events",))
     rows = spark.table("events")
-    middle = rows.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("at"))
-    return state.as_of(rows.crossJoin(F.broadcast(middle)), "user_id", "ts", F.col("at"), "ts", "event_id").select("user_id", "event_id", "event_type")
+    middle = rows.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("at")).first().at
+    return state.as_of(rows, "user_id", "ts", F.lit(middle).cast("timestamp_ntz"), "ts", "event_id").select("user_id", "event_id", "event_type")
 
 
 @query("SELECT event_id, event_type, LAG(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_event_type FROM events")
@@ -382,6 +395,12 @@ def w4_contiguity(spark, sf_dir):
     return state.gaps(spark.table("events"), "event_id", "event_type").select("event_id", "prev_seq")
 
 
+@query(f"{_WITH} SELECT seq, prev_seq FROM (SELECT seq, LAG(seq) OVER (ORDER BY seq) AS prev_seq FROM tape) WHERE seq - prev_seq <> 1")
+def w4_tape_contiguity(spark, sf_dir):
+    """Sequence numbers of the tape that do not follow the one before (its numbers are composed, so most do not)."""
+    return state.gaps(raw_tape(spark, sf_dir).select("seq")).select("seq", "prev_seq")
+
+
 @query("""SELECT o_custkey, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn, o_orderkey FROM orders""")
 def w3_compaction_order(spark, sf_dir):
     _views(spark, sf_dir, ("orders",))
@@ -512,6 +531,13 @@ def j3_membership(spark, sf_dir):
     return state.membership(rows, "symbol").unionByName(state.membership(rows, "account"))
 
 
+@query(f"""{_CHAINS}, st AS (SELECT chain_id, ARG_MAX(symbol, seq) FILTER (symbol IS NOT NULL) AS symbol FROM msgs GROUP BY chain_id) SELECT chain_id FROM st WHERE symbol = 'SYM7'""")
+def j3_by_symbol_now(spark, sf_dir):
+    """Orders whose latest state carries a symbol (policy B: entries move)."""
+    _, latest = _states(spark, sf_dir)
+    return state.by_member(latest, latest, "symbol", "SYM7", "B").select("chain_id")
+
+
 @query(f"{_CHAINS} SELECT chain_id FROM msgs WHERE symbol = 'SYM7' GROUP BY chain_id")
 def j3_by_symbol(spark, sf_dir):
     rows = _single_chain(spark, sf_dir)
@@ -562,7 +588,7 @@ trg AS (SELECT parent, seq, BOOL_OR(own) AS own FROM (SELECT parent_id AS parent
 agg AS (SELECT t.parent, t.seq, t.own, SUM(v.cum) AS cum, SUM(v.lv) AS lv, SUM(CAST(v.cum * v.av AS DECIMAL(38, 10))) AS nt, STRING_AGG(v.shown, ',' ORDER BY l.child) AS ids,
   COUNT(*) AS kids FROM trg t JOIN lnk l ON t.parent = l.parent AND l.since <= t.seq JOIN ver v ON v.chain_id = l.child AND v.seq <= t.seq AND (v.nxt IS NULL OR t.seq < v.nxt)
   GROUP BY t.parent, t.seq, t.own)"""
-_AVG = "CASE WHEN cum > 0 THEN CAST(nt AS DOUBLE) / cum ELSE 0.0 END"
+_AVG = "CASE WHEN cum > 0 THEN CAST(CAST(nt AS VARCHAR) AS DOUBLE) / cum ELSE 0.0 END"
 
 
 @query(f"{_ASOF_SQL} SELECT parent AS chain_id, seq, own, cum AS cum_qty, lv AS leaves_qty, {_AVG} AS avg_px, kids AS n_children FROM agg")
@@ -577,7 +603,7 @@ def a2_parent_rollup(spark, sf_dir):
 SELECT parent AS chain_id, seq, 'PARENT_ROLLUP' AS change_kind, cum AS cum_qty, lv AS leaves_qty, {_AVG} AS avg_px, CAST(kids AS INTEGER) AS child_order_count FROM moved
 WHERE NOT own AND (cum IS DISTINCT FROM c0 OR lv IS DISTINCT FROM l0 OR nt IS DISTINCT FROM n0 OR ids IS DISTINCT FROM i0)
 UNION ALL SELECT v.chain_id, v.seq, CASE WHEN ROW_NUMBER() OVER (PARTITION BY v.chain_id ORDER BY v.seq) = 1 THEN 'CREATE' ELSE 'UPDATE' END, COALESCE(a.cum, v.cum), COALESCE(a.lv, v.lv),
-COALESCE(CASE WHEN a.cum > 0 THEN CAST(a.nt AS DOUBLE) / a.cum WHEN a.cum = 0 THEN 0.0 END, v.av), CAST(COALESCE(a.kids, 0) AS INTEGER)
+COALESCE(CASE WHEN a.cum > 0 THEN CAST(CAST(a.nt AS VARCHAR) AS DOUBLE) / a.cum WHEN a.cum = 0 THEN 0.0 END, v.av), CAST(COALESCE(a.kids, 0) AS INTEGER)
 FROM ver v LEFT JOIN agg a ON v.chain_id = a.parent AND v.seq = a.seq AND a.own""")
 def change_stream(spark, sf_dir):
     """Every change: own changes of each message's chain and the roll-ups of parents that it moved."""
@@ -662,6 +688,18 @@ COALESCE(ARG_MAX(leaves_qty, seq) FILTER (msg_type = '8' AND NOT dup AND leaves_
 fin AS (SELECT chain_id, ARG_MAX(s, n) AS ord_status FROM walk GROUP BY chain_id)"""
 
 
+@query(f"""{_LATEST}, said AS (SELECT chain_id, COALESCE(ARG_MAX(leaves_qty, seq) FILTER (msg_type = '8' AND NOT dup AND leaves_qty <> 0), 0.0) AS leaves_qty,
+COALESCE(ARG_MAX(cum_qty, seq) FILTER (msg_type = '8' AND NOT dup AND cum_qty <> 0), 0.0) AS cum_qty FROM flagged GROUP BY chain_id)
+SELECT ids.chain_id AS chain_key, order_id, symbol, ord_status, order_qty, said.cum_qty, said.leaves_qty, update_count
+FROM ids JOIN st ON ids.chain_id = st.chain_id JOIN fin ON ids.chain_id = fin.chain_id JOIN said ON ids.chain_id = said.chain_id""")
+def src3_typed_ingest(spark, sf_dir):
+    """The tape as typed messages of every type, ingested, resolved and folded (a zero is not written, so quantities stay as last said)."""
+    rows = _parsed(spark, sf_dir)
+    every = typed.ingest({kind: typed.typed_rows(rows, kind) for kind in _TYPES})
+    lifted = stage.save(messages.lifted(every).drop("fields", "parse_error"), "lifted")
+    return fold.latest_states(fold.versions(chain.resolve(lifted))).select("chain_key", "order_id", "symbol", "ord_status", "order_qty", "cum_qty", "leaves_qty", "update_count")
+
+
 @query(f"""{_LATEST} SELECT ids.chain_id AS chain_key, order_id, symbol, ord_status, order_qty, cum_qty, leaves_qty, update_count
 FROM ids JOIN st ON ids.chain_id = st.chain_id JOIN fin ON ids.chain_id = fin.chain_id""")
 def latest_states(spark, sf_dir):

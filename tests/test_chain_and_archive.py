@@ -137,6 +137,10 @@ def test_snapshots(spark, tmp_path):
 def test_gaps_and_stage(spark):
     log = spark.createDataFrame([(1, "a"), (2, "a"), (4, "a")], "seq bigint, seg string")
     assert [r.seq for r in state.gaps(log, "seq", "seg").collect()] == [4]
+    rng = random.Random(3)
+    numbers = sorted(rng.sample(range(5000), 4000))
+    whole = spark.createDataFrame([(k,) for k in rng.sample(numbers, 4000)], "seq bigint").repartition(7)
+    assert sorted((r.prev_seq, r.seq) for r in state.gaps(whole).collect()) == [(a, b) for a, b in zip(numbers, numbers[1:]) if b - a != 1]
     kept = stage.save(log, "t")
     assert kept.count() == 3
     stage.drop(kept)
