@@ -585,7 +585,7 @@ par AS (SELECT chain_id AS parent, MIN(seq) AS bound FROM msgs WHERE chain_id LI
 lnk AS (SELECT parent_id AS parent, chain_id AS child, GREATEST(MIN(seq), MIN(bound)) AS since FROM ver JOIN par ON parent_id = par.parent GROUP BY parent_id, chain_id),
 trg AS (SELECT parent, seq, BOOL_OR(own) AS own FROM (SELECT parent_id AS parent, seq, FALSE AS own FROM ver JOIN par ON parent_id = par.parent WHERE bound <= seq
   UNION ALL SELECT chain_id, seq, TRUE FROM ver JOIN (SELECT parent, MIN(since) AS since FROM lnk GROUP BY parent) f ON chain_id = f.parent WHERE seq >= f.since) GROUP BY parent, seq),
-agg AS (SELECT t.parent, t.seq, t.own, SUM(v.cum) AS cum, SUM(v.lv) AS lv, SUM(CAST(v.cum * v.av AS DECIMAL(38, 10))) AS nt, STRING_AGG(v.shown, ',' ORDER BY l.child) AS ids,
+agg AS (SELECT t.parent, t.seq, t.own, SUM(v.cum) AS cum, SUM(v.lv) AS lv, SUM(CAST(v.cum AS DECIMAL(18, 2)) * CAST(v.av AS DECIMAL(18, 2))) AS nt, STRING_AGG(v.shown, ',' ORDER BY l.child) AS ids,
   COUNT(*) AS kids FROM trg t JOIN lnk l ON t.parent = l.parent AND l.since <= t.seq JOIN ver v ON v.chain_id = l.child AND v.seq <= t.seq AND (v.nxt IS NULL OR t.seq < v.nxt)
   GROUP BY t.parent, t.seq, t.own)"""
 _AVG = "CASE WHEN cum > 0 THEN CAST(CAST(nt AS VARCHAR) AS DOUBLE) / cum ELSE 0.0 END"
