@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordertape.functions import codec
+from ordertape.plans import session
 from ordertape.schema import FIX_MESSAGES, LIFTED
 
 CAPTURED = ("D", "G", "F", "8", "9", "Q")
@@ -41,6 +42,20 @@ def lifted(messages: DataFrame, fields_col: str = "fields") -> DataFrame:
     return found.withColumns({n: F.get("__found", F.lit(k)) for k, n in enumerate(LIFTED)}).drop("__found")
 
 
+def lifted_raw(tape: DataFrame, raw_col: str = "raw") -> DataFrame:
+    """``lifted(parsed(tape))`` without the fields and the text: tags are read from the split pieces at once.
+
+    Its projection is larger than the JIT compiler takes as one method, so the session is tuned to have it split.
+    """
+    session.tune(tape.sparkSession)
+    found = tape.withColumn("__tokens", codec.tokens(F.col(raw_col))).withColumn("__tags", codec.token_tags(F.col("__tokens")))
+    checked = found.withColumn("__error", codec.token_error(F.col("__tokens"), F.col("__tags")))
+    values = checked.withColumn("__values", F.when(F.col("__error").isNull(), codec.token_values(F.col("__tokens"))))
+    at = lambda tag: F.get("__values", (F.array_position("__tags", F.lit(tag)) - 1).cast("int"))
+    rows = values.withColumns({n: F.nullif(at(tag), F.lit("")) for n, (tag, _) in LIFTED.items()})
+    return rows.drop("__tokens", "__tags", "__error", "__values", raw_col)
+
+
 def typed(name: str) -> Column:
     """A lifted text column as its archive type (malformed numbers and times are null)."""
     kind, c = LIFTED[name][1], F.col(name)

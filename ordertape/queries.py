@@ -45,7 +45,7 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and lifted messages as a stage table: parsed once, whatever the plan above reads it for."""
-    return stage.once(spark, "lifted", sf_dir, lambda: messages.lifted(_parsed(spark, sf_dir)).drop("raw", "fields", "parse_error"))
+    return stage.once(spark, "lifted", sf_dir, lambda: messages.lifted_raw(raw_tape(spark, sf_dir)))
 
 
 def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,7 +334,7 @@ def c22_partition_path(spark, sf_dir):
 @query(f"""{_WITH} SELECT seq, msg_type, account, symbol, cl_ord_id, orig_cl_ord_id, order_id, exec_id, exec_ref_id, parent_id AS secondary_cl_ord_id, side,
 order_qty, CAST(price AS DOUBLE) AS price, last_qty, last_px, cum_qty, leaves_qty, avg_px, ord_status, exec_type, text FROM tape""")
 def p2_lift_tags(spark, sf_dir):
-    rows = messages.lifted(_parsed(spark, sf_dir))
+    rows = messages.lifted_raw(raw_tape(spark, sf_dir))
     names = ("msg_type", "account", "symbol", "cl_ord_id", "orig_cl_ord_id", "order_id", "exec_id", "exec_ref_id", "secondary_cl_ord_id", "side", "order_qty",
              "price", "last_qty", "last_px", "cum_qty", "leaves_qty", "avg_px", "ord_status", "exec_type", "text")
     return rows.select("seq", *(messages.typed(n).alias(n) for n in names))
@@ -676,7 +676,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wire text to latest states: parse, resolve chains from identifiers, fold, keep the last version."""
-    rows = stage.save(messages.lifted(_parsed(spark, sf_dir)).drop("raw", "fields", "parse_error"), "lifted")
+    rows = stage.save(messages.lifted_raw(raw_tape(spark, sf_dir)), "lifted")
     return fold.latest_states(fold.versions(chain.resolve(rows))).select("chain_key", "order_id", "symbol", "ord_status", "order_qty", "cum_qty", "leaves_qty", "update_count")
 
 

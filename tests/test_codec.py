@@ -21,6 +21,16 @@ def test_parse_faults(spark):
     assert [(f.tag, f.value) for f in rows[7].fields] == [(1, "")]
 
 
+def test_lifting_from_the_text_equals_lifting_from_fields(spark):
+    raw = ["35=D|11=a|11=b|55=|38=5|58=x=y|\r\n", "35=8\x0111=p|q\x01", "35=D|x", None, "", "a=1|35=D", "  35 =F|41=z||37=o", "44=1"]
+    tape = spark.createDataFrame([(k, r) for k, r in enumerate(raw)], "seq int, raw string")
+    one = messages.lifted(messages.parsed(tape)).drop("raw", "fields", "parse_error")
+    other = messages.lifted_raw(tape)
+    assert one.columns == other.columns
+    rows = sorted(map(tuple, other.collect()))
+    assert sorted(map(tuple, one.collect())) == rows and rows[0][1:5] == ("D", None, None, "a") and rows[6][1] == "F" and set(rows[2][1:]) == {None}
+
+
 def test_data_fields_hold_delimiters(spark):
     raw = "35=D|354=5|355=a|b=c|58=x|"
     rows = messages.parsed(spark.createDataFrame([(raw,)], "raw string"), with_data=True).first()
