@@ -47,7 +47,7 @@ SPLIT = 1 << 20
 
 
 def _uses(messages: DataFrame, policy: str) -> Column:
-    """``array<struct<probe, id, puts, binds>>`` of a message's identifiers, most trusted first."""
+    """``array<struct<probe, id, puts, binds>>`` of a message's identifiers, most trusted first; ``id`` is null for those it lacks."""
     typed = "msg_type" in messages.columns
     found = []
     for k, (column, space, puts, types) in enumerate(PROBES[policy]):
@@ -56,17 +56,17 @@ def _uses(messages: DataFrame, policy: str) -> Column:
             value = F.when(F.col("msg_type").isin(*types), value)
         binds = F.col("msg_type") != "H" if policy == "B" and typed else F.lit(True)
         found.append(F.struct(F.lit(k).alias("probe"), value.alias("id"), F.lit(puts).alias("puts"), F.coalesce(binds, F.lit(True)).alias("binds")))
-    return F.filter(F.array(*found), lambda u: u["id"].isNotNull())
+    return F.array(*found)
 
 
 def identifiers(messages: DataFrame, policy: str = "A") -> Column:
     """A message's identifiers with their space, such as ``C:<client id>``."""
-    return F.transform(_uses(messages, policy), lambda u: u["id"])
+    return F.array_compact(F.transform(_uses(messages, policy), lambda u: u["id"]))
 
 
 def _pointers(messages: DataFrame, policy: str, split: int) -> DataFrame:
     """``(seq, up)``: the earlier message that decides where a message belongs; ``up`` is null for one that opens a chain."""
-    uses = messages.select("seq", F.explode(_uses(messages, policy)).alias("u")).select("seq", "u.*")
+    uses = messages.select("seq", F.explode(_uses(messages, policy)).alias("u")).select("seq", "u.*").where("id is not null")
     known = uses.groupBy("id").agg(
         F.min(F.when(F.col("binds"), F.col("seq"))).alias("first"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")
     )
@@ -150,7 +150,7 @@ def id_index(resolved: DataFrame, policy: str = "A") -> DataFrame:
 
     The last message that re-points an identifier decides, else the first that names it.
     """
-    uses = resolved.select("seq", "chain_id", F.explode(_uses(resolved, policy)).alias("u")).where("u.binds")
+    uses = resolved.select("seq", "chain_id", F.explode(_uses(resolved, policy)).alias("u")).where("u.binds and u.id is not null")
     put = F.col("u.puts")
     bound = uses.groupBy("u.id").agg(
         F.max_by(F.struct("chain_id", "seq"), F.when(put, F.col("seq"))).alias("last"), F.min_by(F.struct("chain_id", "seq"), "seq").alias("first")
