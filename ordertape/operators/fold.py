@@ -1,10 +1,9 @@
 """The order fold: every message of a chain becomes a version of the order's state.
 
-Only the status with its open requests is sequential, and only where a request
-is rejected; those chains take one pass over sorted narrow rows. Everything else
-is a running window (last non-blank value with handler-specific input). The
-narrow events are staged once; the wide rows meet them by sequence number and
-then share one partitioning by chain.
+Only the status with its open requests is sequential: it takes one pass over the
+sorted rows of a partition. Everything else is a running window (last non-blank
+value with handler-specific input). All of it shares one partitioning by chain;
+nothing is staged and no message is joined with itself.
 
 Input columns are the lifted text columns plus ``chain_id``, ``seq`` and ``ts``.
 """
@@ -13,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ordertape.functions import codec
-from ordertape.functions.codes import decode, is_terminal
-from ordertape.plans import stage
+from ordertape.functions.codes import ORD_STATUS, decode, is_terminal
 
 def _chain() -> Window:
     return Window.partitionBy("chain_id").orderBy("seq")
@@ -39,126 +38,156 @@ def latest(value: Column) -> Column:
     return F.last(value, ignorenulls=True).over(_so_far())
 
 
-def _status_of_sorted(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The status rules over rows sorted by chain and sequence; a chain keeps no more than its open requests."""
-    chain, status, prior = None, "UNSPECIFIED", {}
-    for part in parts:
-        out = []
-        for c, kind, given, request, dup, confirms in zip(part.chain_id, part.kind, part.status, part.request, part.dup, part.confirms):
-            if c != chain:
-                chain, status, prior = c, "UNSPECIFIED", {}
-            if kind == "D":
-                status = "PENDING_NEW" if status == "UNSPECIFIED" else status
-            elif kind == "8" and not dup:
-                status = given if given is not None else status
-                if confirms and request is not None:
-                    prior.pop(request, None)
-            elif kind in ("F", "G"):
-                if request is not None:
-                    prior[request] = status
-                status = "PENDING_CANCEL" if kind == "F" else "PENDING_REPLACE"
-            elif kind == "9":
-                back = prior.pop(request, None) if request is not None else None
-                status = back if back is not None else given if given is not None else status
-            out.append(status)
-        yield pd.DataFrame({"seq": part.seq, "ord_status": out})
-
-
-def statuses(events: DataFrame) -> DataFrame:
-    """``(seq, ord_status)`` for event rows ``(chain_id, seq, kind, status, request, dup, confirms)``.
-
-    A chain without a reject never takes a status back: there the status is the last one stated, and a new order counts only while none
-    is. Chains with a reject take one pass over sorted rows, which holds the requests that are still open.
-    """
-    w = _so_far()
-    stated = (
-        F.when((F.col("kind") == "8") & ~F.col("dup"), F.col("status"))
-        .when(F.col("kind") == "F", F.lit("PENDING_CANCEL")).when(F.col("kind") == "G", F.lit("PENDING_REPLACE"))
-    )
-    rejects = F.max((F.col("kind") == "9").cast("int")).over(Window.partitionBy("chain_id")) > 0
-    rows = events.withColumn("__hard", rejects)
-    last = F.last(F.when(stated.isNotNull(), F.struct("seq", stated.alias("s"))), ignorenulls=True).over(w)
-    opened = F.max(F.when(F.col("kind") == "D", F.col("seq"))).over(w)
-    walked = rows.where(~F.col("__hard")).select("seq", last.alias("x"), opened.alias("d"))
-    known = F.nullif(F.col("x.s"), F.lit("UNSPECIFIED"))
-    easy = walked.select("seq", F.coalesce(known, F.when(F.col("d") > F.coalesce("x.seq", F.col("d") - 1), F.lit("PENDING_NEW")), F.lit("UNSPECIFIED")).alias("ord_status"))
-    hard = rows.where("__hard").drop("__hard").repartition("chain_id").sortWithinPartitions("chain_id", "seq").mapInPandas(_status_of_sorted, "seq bigint, ord_status string")
-    return easy.unionByName(hard)
-
-
-def _events(messages: DataFrame) -> DataFrame:
-    """The narrow columns of every message that decide about duplicates, the execution type and the status."""
-    report = F.col("msg_type") == "8"
-    rows = messages.select(
-        "chain_id", "seq", F.col("msg_type").alias("kind"), F.when(filled("ord_status").isNotNull(), decode("ord_status", F.col("ord_status"))).alias("status"),
-        filled("cl_ord_id").alias("request"), F.when(report, filled("exec_id")).alias("exec"),
-        F.when(filled("exec_type").isNotNull(), decode("exec_type", F.col("exec_type"))).alias("type"),
-    )
-    # rows that are not reports of an execution never count as a duplicate, nor before one
-    again = lambda c: F.row_number().over(Window.partitionBy("chain_id", c).orderBy("seq")) > 1
-    rows = rows.repartition("chain_id").withColumn("dup", F.col("exec").isNotNull() & again("exec")).withColumn("new_request", F.col("request").isNotNull() & ~again("request"))
-    rows = rows.withColumn("exec_type", latest(F.when((F.col("kind") == "8") & ~F.col("dup"), F.col("type"))))
-    return rows.withColumn("confirms", F.coalesce(F.col("exec_type").isin("CANCELED", "REPLACED"), F.lit(False))).drop("type")
+#: What a row of the status pass does: (kind of message, counted report) as a small number.
+_DOES = {"D": 1, "8": 2, "F": 3, "G": 4, "9": 5}
+_NAMES = ["UNSPECIFIED", *dict.fromkeys([*ORD_STATUS.values(), "PENDING_NEW", "PENDING_CANCEL", "PENDING_REPLACE"])]
+_HELPERS = ("__first", "__does", "__given", "__asked")
 
 
-def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id") -> DataFrame:
-    """One row per message: the state of its order after it, with the message's own columns as ``cause_*``.
+def _status_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The status rules over rows sorted by chain and sequence; of a chain no more than its open requests is held.
+
+    The other columns pass through; the helper columns are last, and the status after and before each message takes their place.
+    """
+    new, cancel, replace = (_NAMES.index(f"PENDING_{x}") for x in ("NEW", "CANCEL", "REPLACE"))
+    names, status, prior = pa.array(_NAMES), 0, {}
+    for batch in batches:
+        after, before = [], []
+        first, does, given, asked = (batch.column(k).to_pylist() for k in range(batch.num_columns - len(_HELPERS), batch.num_columns))
+        for f, d, g, r in zip(first, does, given, asked):
+            if f:
+                status = 0
+                if prior:
+                    prior = {}
+            before.append(None if f else status)
+            if d == 2:
+                status = status if g is None else g
+                if r is not None:  # a report that confirms a request
+                    prior.pop(r, None)
+            elif d == 1:
+                status = status or new
+            elif d == 3 or d == 4:
+                if r is not None:
+                    prior[r] = status
+                status = cancel if d == 3 else replace
+            elif d == 5:
+                back = prior.pop(r, None) if r is not None else None
+                status = back if back is not None else status if g is None else g
+            after.append(status)
+        kept = batch.num_columns - len(_HELPERS)
+        told = [names.take(pa.array(x, pa.int32())) for x in (after, before)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *told], names=[*batch.schema.names[:kept], "__after", "__before"])
+
+
+def _with_status(rows: DataFrame) -> DataFrame:
+    """``rows`` (one partition for a chain) with the status ``__after`` and ``__before`` each message in place of the helper columns."""
+    kept = [c for c in rows.columns if c not in _HELPERS]
+    out = T.StructType([*(rows.schema[c] for c in kept), T.StructField("__after", T.StringType()), T.StructField("__before", T.StringType())])
+    return rows.sortWithinPartitions("chain_id", "seq").select(*kept, *_HELPERS).mapInArrow(_status_of_sorted, out)
+
+
+_REPORTED = ("exec_id",)
+_STATED = ("ord_status", "exec_type", "exec_id", "cl_ord_id")
+#: Lifted columns that a version column is made of, where they are not the one of its own name.
+_MADE_OF = {
+    "cl_ord_id_history": ("cl_ord_id",), "exec_id_count": _REPORTED, "new_exec_id": _REPORTED, "ord_status": _STATED, "is_terminal": _STATED, "prev_ord_status": _STATED,
+    "last_exec_type": ("exec_type", *_REPORTED), **{c: (c, *_REPORTED) for c in ("cum_qty", "leaves_qty", "avg_px", "last_qty", "last_px", "last_mkt")},
+    "text": ("text", *_STATED), "ord_rej_reason": ("ord_rej_reason", *_STATED), "busted_count": ("exec_ref_id", "exec_trans_type", *_REPORTED),
+    "new_busted_id": ("exec_ref_id", "exec_trans_type", *_REPORTED), "tagged_parent_id": ("secondary_cl_ord_id",), "cause_parent_id": ("secondary_cl_ord_id",),
+    "cause_cl_ord_id": ("cl_ord_id",), "cause_exec_id": ("exec_id",), "chain_key": ("cl_ord_id", "order_id"),
+    **dict.fromkeys(("chain_id", "seq", "ts", "update_count", "first_seen_ts", "last_update_ts", "last_msg_type", "cause_msg_type"), ()),
+}
+#: Version columns that need the status of the same message first, and those that are made by the pass over statuses.
+_LATE, _TOLD = ("text", "ord_rej_reason"), ("ord_status", "prev_ord_status", "is_terminal")
+
+
+def inputs(columns: tuple[str, ...]) -> tuple[str, ...]:
+    """Lifted columns that :func:`versions` reads for these columns."""
+    return tuple(dict.fromkeys(["msg_type", *(x for c in columns for x in _MADE_OF.get(c, (c,)))]))
+
+
+def versions(messages: DataFrame, parent_tag: str = "secondary_cl_ord_id", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per message: the state of its order after it, with the message's own columns as ``cause_*``; or only ``columns`` of it.
 
     The ids that an order has had grow with it, so a version only says which
     ones its message added (``new_exec_id``, ``new_busted_id``) and how many there are; :func:`latest_states` lists them.
+    Messages are dealt by their chain once; only ``text`` and ``ord_rej_reason``, which need the status first, take that step again.
+    With ``columns``, ``prev_ord_status`` can be asked for too, and only :func:`inputs` of them are read.
     """
-    events = stage.save(_events(messages), "fold-events")
-    told = events.join(statuses(events.drop("exec", "exec_type", "new_request")), "seq").select(
-        "seq", F.col("dup").alias("__dup"), F.col("exec_type").alias("__exec_type"), F.col("new_request").alias("__new"), F.col("ord_status").alias("ord_status_after"),
-    )
-    rows = messages.join(told, "seq")
+    wanted = None if columns is None else tuple(columns)
+    has = lambda *names: wanted is None or any(n in wanted for n in names)
+    told, late = has(*_TOLD, *_LATE), has(*_LATE)
     kind = F.col("msg_type")
-    d, report = kind == "D", kind == "8"
-    terms = d | report
-    fresh = report & ~F.col("__dup")
-    rejected = fresh & ((F.col("__exec_type") == "REJECTED") | (F.col("ord_status_after") == "REJECTED"))
-    trans = decode("exec_trans_type", F.col("exec_trans_type"))
-    busts = F.when(fresh & trans.isin("CANCEL", "CORRECT"), filled("exec_ref_id"))
-    rows = rows.repartition("chain_id").withColumn("__bust", busts)
-    first_bust = F.row_number().over(Window.partitionBy("chain_id", "__bust").orderBy("seq")) == 1
-    rows = rows.withColumn("__bust", F.when(first_bust, F.col("__bust"))).withColumn("__exec", F.when(fresh, filled("exec_id")))
+    report, filled_exec = kind == "8", F.when(kind == "8", filled("exec_id"))
+    again = lambda c: F.row_number().over(Window.partitionBy("chain_id", c).orderBy("seq")) > 1
+    rows = messages.repartition("chain_id")
+    # rows that are not reports of an execution never count as a duplicate, nor before one
+    if wanted is None or any("exec_id" in _MADE_OF.get(c, ()) and c != "cause_exec_id" for c in wanted):
+        rows = rows.withColumn("__exec", filled_exec).withColumn("__dup", F.col("__exec").isNotNull() & again("__exec"))
+        fresh = report & ~F.col("__dup")
+        rows = rows.withColumn("__exec", F.when(fresh, F.col("__exec")))
+    else:
+        fresh = F.lit(None).cast("boolean")
+    if has("cl_ord_id_history", "chain_key"):
+        rows = rows.withColumn("__asked", filled("cl_ord_id"))
+        rows = rows.withColumn("__new", F.col("__asked").isNotNull() & ~again("__asked")).drop("__asked")
+    if has("new_busted_id", "busted_count"):
+        rows = rows.withColumn("__bust", F.when(fresh & decode("exec_trans_type", F.col("exec_trans_type")).isin("CANCEL", "CORRECT"), filled("exec_ref_id")))
+        rows = rows.withColumn("__bust", F.when(~again("__bust"), F.col("__bust")))
+    if told or has("last_exec_type"):
+        rows = rows.withColumn("__exec_type", latest(F.when(fresh & filled("exec_type").isNotNull(), decode("exec_type", F.col("exec_type")))))
+    if told:
+        given = F.when(filled("ord_status").isNotNull(), (F.array_position(F.lit(_NAMES), decode("ord_status", F.col("ord_status"))) - 1).cast("int"))
+        confirms = kind.isin("F", "G", "9") | (fresh & F.col("__exec_type").isin("CANCELED", "REPLACED"))
+        does = F.coalesce(*(F.when((kind == k) & (fresh if k == "8" else F.lit(True)), F.lit(n)) for k, n in _DOES.items()), F.lit(0))
+        rows = rows.withColumns({
+            "__first": F.row_number().over(_chain()) == 1, "__does": does, "__given": given, "__asked": F.when(confirms, filled("cl_ord_id")),
+        })
+    if late:
+        rows = _with_status(rows).repartition("chain_id")
+    terms = (kind == "D") | report
+    rejected = fresh & ((F.col("__exec_type") == "REJECTED") | (F.col("__after") == "REJECTED"))
     amount = lambda c: F.when(fresh & filled(c).isNotNull(), codec.number(F.col(c), 0))
     term = lambda c: F.when(terms, codec.number(filled(c)))
     own = lambda c: F.coalesce(c, F.lit(0.0))
     parent = F.when(filled(parent_tag).isNotNull(), F.col(parent_tag)) if parent_tag in messages.columns else F.lit(None).cast("string")
-    out = rows.select(
-        "chain_id", "seq", "ts",
-        latest(filled("order_id")).alias("order_id"),
-        latest(F.when(kind != "9", filled("cl_ord_id"))).alias("cl_ord_id"),
-        latest(filled("orig_cl_ord_id")).alias("orig_cl_ord_id"),
-        F.collect_list(F.when(F.col("__new"), F.col("cl_ord_id"))).over(_so_far()).alias("cl_ord_id_history"),
-        F.count("__exec").over(_so_far()).cast("int").alias("exec_id_count"), F.col("__exec").alias("new_exec_id"),
-        latest(filled("account")).alias("account"), latest(filled("symbol")).alias("symbol"),
-        latest(F.when(filled("side").isNotNull(), decode("side", F.col("side")))).alias("side"),
-        latest(F.when(terms & filled("ord_type").isNotNull(), decode("ord_type", F.col("ord_type")))).alias("ord_type"),
-        own(latest(term("order_qty"))).alias("order_qty"), own(latest(term("price"))).alias("price"), own(latest(term("stop_px"))).alias("stop_px"),
-        latest(F.when(terms & filled("time_in_force").isNotNull(), decode("time_in_force", F.col("time_in_force")))).alias("time_in_force"),
-        latest(F.when(terms, filled("currency"))).alias("currency"),
-        F.col("ord_status_after").alias("ord_status"), F.col("__exec_type").alias("last_exec_type"),
-        *(own(latest(amount(c))).alias(c) for c in ("cum_qty", "leaves_qty", "avg_px", "last_qty", "last_px")),
-        latest(F.when(fresh, filled("last_mkt"))).alias("last_mkt"),
-        latest(F.when(rejected | kind.isin("9", "Q"), filled("text"))).alias("text"),
-        latest(F.when(rejected, codec.whole(F.col("ord_rej_reason")))).alias("ord_rej_reason"),
-        latest(F.when(kind == "9", codec.whole(F.col("cxl_rej_reason")))).alias("cxl_rej_reason"),
-        F.count("__bust").over(_so_far()).cast("int").alias("busted_count"), F.col("__bust").alias("new_busted_id"),
-        latest(parent).alias("tagged_parent_id"), parent.alias("cause_parent_id"),
-        F.row_number().over(_chain()).cast("bigint").alias("update_count"),
-        F.first("ts").over(_so_far()).alias("first_seen_ts"), F.col("ts").alias("last_update_ts"), kind.alias("last_msg_type"),
-        kind.alias("cause_msg_type"), F.col("cl_ord_id").alias("cause_cl_ord_id"), F.col("exec_id").alias("cause_exec_id"),
-    )
-    return out.withColumn("is_terminal", is_terminal(F.col("ord_status"))).withColumn(
-        "chain_key", F.coalesce(F.get("cl_ord_id_history", F.lit(0)), "cl_ord_id", "order_id")
-    )
+    history = lambda: F.collect_list(F.when(F.col("__new"), F.col("cl_ord_id"))).over(_so_far())
+    last_id, last_order = latest(F.when(kind != "9", filled("cl_ord_id"))), latest(filled("order_id"))
+    made = {
+        "chain_id": F.col("chain_id"), "seq": F.col("seq"), "ts": F.col("ts"),
+        "order_id": last_order, "cl_ord_id": last_id, "orig_cl_ord_id": latest(filled("orig_cl_ord_id")), "cl_ord_id_history": history(),
+        "exec_id_count": F.count("__exec").over(_so_far()).cast("int"), "new_exec_id": F.col("__exec"),
+        "account": latest(filled("account")), "symbol": latest(filled("symbol")),
+        "side": latest(F.when(filled("side").isNotNull(), decode("side", F.col("side")))),
+        "ord_type": latest(F.when(terms & filled("ord_type").isNotNull(), decode("ord_type", F.col("ord_type")))),
+        **{c: own(latest(term(c))) for c in ("order_qty", "price", "stop_px")},
+        "time_in_force": latest(F.when(terms & filled("time_in_force").isNotNull(), decode("time_in_force", F.col("time_in_force")))),
+        "currency": latest(F.when(terms, filled("currency"))),
+        "ord_status": F.col("__after"), "last_exec_type": F.col("__exec_type"),
+        **{c: own(latest(amount(c))) for c in ("cum_qty", "leaves_qty", "avg_px", "last_qty", "last_px")},
+        "last_mkt": latest(F.when(fresh, filled("last_mkt"))),
+        "text": latest(F.when(rejected | kind.isin("9", "Q"), filled("text"))),
+        "ord_rej_reason": latest(F.when(rejected, codec.whole(F.col("ord_rej_reason")))),
+        "cxl_rej_reason": latest(F.when(kind == "9", codec.whole(F.col("cxl_rej_reason")))),
+        "busted_count": F.count("__bust").over(_so_far()).cast("int"), "new_busted_id": F.col("__bust"),
+        "tagged_parent_id": latest(parent), "cause_parent_id": parent, "update_count": F.row_number().over(_chain()).cast("bigint"),
+        "first_seen_ts": F.first("ts").over(_so_far()), "last_update_ts": F.col("ts"), "last_msg_type": kind,
+        "cause_msg_type": kind, "cause_cl_ord_id": F.col("cl_ord_id"), "cause_exec_id": F.col("exec_id"),
+        "is_terminal": is_terminal(F.col("__after")), "prev_ord_status": F.col("__before"), "chain_key": F.coalesce(F.get(history(), F.lit(0)), last_id, last_order),
+    }
+    if wanted is None:
+        return rows.select(*(c.alias(n) for n, c in made.items() if n != "prev_ord_status"))
+    if not told or late:
+        return rows.select(*(made[n].alias(n) for n in wanted))
+    first = [n for n in dict.fromkeys(("chain_id", "seq", *wanted)) if n not in _TOLD]
+    found = _with_status(rows.select(*(made[n].alias(n) for n in first), *_HELPERS))
+    return found.select(*(made[n].alias(n) if n in _TOLD else n for n in wanted))
 
 
 def latest_states(changed: DataFrame) -> DataFrame:
-    """The last version of every order, with the lists of its execution ids and busted ids in order (one aggregation)."""
+    """The last version of every order, with the lists of its execution ids and busted ids in order (one aggregation; those that ``changed`` tells)."""
     ids = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("seq", c)))), lambda x: x[c])
     kept = [c for c in changed.columns if c not in ("new_exec_id", "new_busted_id")]
-    grouped = changed.groupBy("chain_id").agg(F.max_by(F.struct(*kept), "seq").alias("v"), ids("new_exec_id").alias("exec_ids"), ids("new_busted_id").alias("busted_exec_ids"))
-    return grouped.select("v.*", "exec_ids", "busted_exec_ids")
+    listed = {n: c for n, c in (("exec_ids", "new_exec_id"), ("busted_exec_ids", "new_busted_id")) if c in changed.columns}
+    grouped = changed.groupBy("chain_id").agg(F.max_by(F.struct(*kept), "seq").alias("v"), *(ids(c).alias(n) for n, c in listed.items()))
+    return grouped.select("v.*", *listed)
