@@ -139,17 +139,17 @@ class Journal:
         return gone
 
 
-def recover(snapshot: DataFrame | None, anchor: int, resolved: DataFrame) -> DataFrame:
+def recover(snapshot: DataFrame | None, anchor: int, resolved: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """Latest states after a snapshot at ``anchor`` and the messages past it.
 
     ``resolved`` holds the lifted messages with their chains. Chains that the
     tail touches are folded again from their own messages; the others are taken
-    from the snapshot as they are.
+    from the snapshot as they are. ``columns`` are those of the snapshot, if it does not hold all.
     """
     if snapshot is None:
-        return fold.latest_states(fold.versions(resolved))
+        return fold.latest_states(fold.versions(resolved, columns=columns))
     touched = resolved.where(F.col("seq") > anchor).select("chain_id").distinct()
-    again = fold.latest_states(fold.versions(resolved.join(touched, "chain_id", "left_semi")))
+    again = fold.latest_states(fold.versions(resolved.join(touched, "chain_id", "left_semi"), columns=columns))
     return snapshot.join(touched, "chain_id", "left_anti").unionByName(again)
 
 
