@@ -6,17 +6,21 @@ just before a message is decided by one earlier message alone: the last one
 that re-pointed it, or else the first that named it. So every message has at
 most one earlier message to follow, and its chain is the root of that forest:
 
-1. the first binding of each identifier (an aggregation) tells which of a
-   message's identifiers are known, and so which one it selects;
-2. a window over the uses of an identifier finds the last binding message that
-   did *not* select that same identifier; messages between the two follow it
-   too, so runs of any length are skipped in one step;
+1. the first binding of each order id (an aggregation) decides for most
+   messages: they follow it, and keep no row of their own until the end;
+2. for the others, the first binding of each identifier of the next space tells
+   which of their identifiers are known, and so which one they select, and a
+   window over the uses of that space finds the last binding message that did
+   *not* select that same identifier; messages between the two follow it too,
+   so runs of any length are skipped in one step. A space that no message
+   still looks into is not read;
 3. pointer jumping over the messages that others follow (a small part of all)
    ends after as many rounds as the logarithm of the identifier changes.
 
 Nothing is replayed and no component is gathered: an identifier that a third of
 all messages carry is cut into ranges of ``SPLIT`` uses, whose last bindings
-are carried over by a second, small window.
+are carried over by a second, small window. Stage tables and shuffles go as soon
+as no later step reads them, and messages meet their chains by the order id.
 
 ``chain_id`` is the sequence number of the chain's first message: stable, and
 no global counter is needed. :func:`chain_names` gives the counter names.
@@ -64,40 +68,104 @@ def identifiers(messages: DataFrame, policy: str = "A") -> Column:
     return F.array_compact(F.transform(_uses(messages, policy), lambda u: u["id"]))
 
 
-def _pointers(messages: DataFrame, policy: str, split: int) -> DataFrame:
-    """``(seq, up)``: the earlier message that decides where a message belongs; ``up`` is null for one that opens a chain."""
-    uses = messages.select("seq", F.explode(_uses(messages, policy)).alias("u")).select("seq", "u.*").where("id is not null")
-    known = uses.groupBy("id").agg(
-        F.min(F.when(F.col("binds"), F.col("seq"))).alias("first"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    parts = F.ceil(F.col("n") / F.lit(split)).cast("int")
-    part = ((F.col("seq") - F.col("low")) / (F.col("high") - F.col("low") + 1) * parts).cast("int")
-    seen = uses.join(known, "id").select("seq", "probe", "id", "puts", "binds", "first", F.when(parts > 1, part).otherwise(0).alias("part"), (parts > 1).alias("cut"))
-    choice = F.min(F.when(F.col("first") < F.col("seq"), F.struct("probe", "id"))).over(Window.partitionBy("seq"))
-    chosen = seen.withColumn("choice", choice)
-    follows = F.coalesce(F.col("choice.id") == F.col("id"), F.lit(False))
-    marked = chosen.select(
-        "seq", "id", "part", "cut", "first", (F.col("choice.probe").eqNullSafe(F.col("probe"))).alias("asks"), F.col("choice").isNull().alias("opens"), "probe", "binds",
-        F.when(F.col("binds") & F.col("puts") & ~follows, F.col("seq")).alias("mark"),
-    )
-    marked = stage.save(marked, "chain-uses")
-    inside = Window.partitionBy("id", "part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    near = marked.withColumn("near", F.max("mark").over(inside))
-    # the last mark of earlier ranges; one row for each range of a cut identifier
-    ends = marked.where("cut").groupBy("id", "part").agg(F.max("mark").alias("mark"))
-    before = ends.select("id", "part", F.max("mark").over(Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    asking = near.where("asks").join(before, ["id", "part"], "left").select("seq", F.coalesce("near", "carried", "first").alias("up"))
-    opening = marked.where("opens").groupBy("seq").agg(F.max("binds").alias("binds")).where("binds").select("seq", F.lit(None).cast("bigint").alias("up"))
-    return asking.unionByName(opening)
+def _named(messages: DataFrame, policy: str) -> DataFrame:
+    """``messages`` with ``__binds`` and their identifiers ``__0``, ``__1``, ...: by place in :data:`PROBES`, null for those they lack."""
+    uses = _uses(messages, policy)
+    ids = {f"__{k}": F.get(uses, F.lit(k))["id"] for k in range(len(PROBES[policy]))}
+    return messages.withColumns({"__binds": F.get(uses, F.lit(0))["binds"], **ids})
+
+
+def _ids(places: list[int]) -> Column:
+    """The distinct identifiers in these places."""
+    return F.array_distinct(F.array_compact(F.array(*(F.col(f"__{k}") for k in places))))
+
+
+def _selecting(named: DataFrame, asking: DataFrame, policy: str, space: str, split: int) -> DataFrame:
+    """``(seq, up)`` of the messages of ``asking`` that select an identifier of a space.
+
+    Only what they ask for is matched with the other uses of the space: a use is its message's number and the identifier, and nothing else.
+    """
+    places = [k for k, p in enumerate(PROBES[policy]) if p[1] == space]
+    every = named.select("seq", "__binds", F.explode(_ids(places)).alias("id"))
+    known = stage.save(every.groupBy("id").agg(
+        F.min(F.when(F.col("__binds"), F.col("seq"))).alias("first"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count(F.lit(1)).alias("n")
+    ), "chain-known")
+    probed = asking.select("seq", F.posexplode(F.array(*(F.col(f"__{k}") for k in places))).alias("probe", "id")).where("id is not null")
+    found = probed.join(known.where("first is not null").select("id", "first"), "id").where("first < seq")
+    asks = stage.save(found.groupBy("seq").agg(F.min(F.struct("probe", "id", "first")).alias("c")).select("seq", "c.id", "c.first"), "chain-asks")
+    puts = named.where("__binds").select("seq", F.explode(_ids([k for k in places if PROBES[policy][k][2]])).alias("id"))
+    # an ask stands before the use that it is; a use that is no ask re-points its identifier
+    both = asks.select("seq", "id", "first", F.lit(0).alias("use")).unionByName(puts.withColumn("use", F.lit(1)), allowMissingColumns=True)
+    large = stage.save(known.where(F.col("n") > split).select("id", "low", "high", F.ceil(F.col("n") / F.lit(split)).cast("int").alias("parts")), "chain-large")
+    cut = large.limit(1).count() > 0
+    if cut:
+        part = ((F.col("seq") - F.col("low")) / (F.col("high") - F.col("low") + 1) * F.col("parts")).cast("int")
+        ranged = lambda rows: rows.join(F.broadcast(large), "id", "left").withColumn("part", F.coalesce(part, F.lit(0))).drop("low", "high", "parts")
+        both = ranged(both)
+    keys = ("id", "part") if cut else ("id",)
+    w = Window.partitionBy(*keys).orderBy("seq", "use")
+    asked = F.coalesce(F.lag("seq").over(w) == F.col("seq"), F.lit(False))
+    marked = both.withColumn("mark", F.when((F.col("use") == 1) & ~asked, F.col("seq")))
+    near = marked.withColumn("near", F.max("mark").over(w.rowsBetween(Window.unboundedPreceding, -1))).where("use = 0")
+    if not cut:
+        return near.select("seq", F.coalesce("near", "first").alias("up"))
+    # the last mark of earlier ranges; one row for each range of a large identifier
+    marks = ranged(puts.join(F.broadcast(large.select("id")), "id", "left_semi").join(asks, ["id", "seq"], "left_anti"))
+    ends = marks.groupBy("id", "part").agg(F.max("seq").alias("mark"))
+    ranges = large.select("id", F.explode(F.sequence(F.lit(0), "parts")).alias("part")).join(ends, ["id", "part"], "left")
+    before = ranges.select("id", "part", F.max("mark").over(Window.partitionBy("id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return near.join(before, ["id", "part"], "left").select("seq", F.coalesce("near", "carried", "first").alias("up"))
+
+
+def _pointers(named: DataFrame, policy: str, split: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, first)`` of order ids, and ``(seq, up)`` of the other messages: the earlier message that decides where one belongs.
+
+    ``up`` is null for a message that opens a chain. The order id is trusted most, so a message selects it whenever an earlier one has bound it, and
+    only the first that binds it may re-point it: all later ones follow that one, and need no row of their own here. What remains are the first
+    messages of the order ids, those without one, and those that bind nothing.
+    """
+    others = [f"__{k}" for k in range(1, len(PROBES[policy]))]
+    of_order = named.where("__0 is not null")
+    firsts = stage.save(of_order.where("__binds").groupBy("__0").agg(F.min("seq").alias("first"), F.min_by(F.struct(*others), "seq").alias("x")), "chain-firsts")
+    anything = F.lit(True) if policy == "A" else F.col("__binds") & (F.coalesce(*others).isNotNull())
+    rest = named.where("__0 is null").select("seq", *others, anything.alias("opens"))
+    rest = rest.unionByName(firsts.select(F.col("first").alias("seq"), "x.*", F.lit(True).alias("opens")))
+    looking = of_order.where("not __binds").join(firsts.select("__0", "first"), "__0", "left")
+    rest = rest.unionByName(looking.where("coalesce(first >= seq, true)").select("seq", *others, F.lit(False).alias("opens")))
+    rest = stage.save(rest, "chain-rest")
+    found = [looking.where("first < seq").select("seq", F.col("first").alias("up"))]
+    for space in dict.fromkeys(p[1] for p in PROBES[policy][1:]):
+        mine = [f"__{k}" for k, p in enumerate(PROBES[policy]) if p[1] == space]
+        asking = rest.where(F.coalesce(*mine).isNotNull())
+        if not asking.limit(1).count():
+            continue
+        found.append(stage.save(_selecting(named, asking, policy, space, split), "chain-found"))
+        following = stage.save(rest.join(found[-1].select("seq"), "seq", "left_anti"), "chain-rest")
+        stage.drop(rest)
+        rest = following
+    pointers = rest.where("opens").select("seq", F.lit(None).cast("bigint").alias("up"))
+    for rows in found:
+        pointers = pointers.unionByName(rows)
+    return firsts.drop("x"), pointers
 
 
 def resolve(messages: DataFrame, policy: str = "A", split: int = SPLIT, max_rounds: int = 60) -> DataFrame:
-    """``messages`` with ``chain_id``; ``seq`` is unique.
+    """``messages`` with ``chain_id``; ``seq`` is unique. They are read several times: a stage table of the needed columns is best.
 
     Under policy A a message without identifiers is a chain of its own; under
     policy B it is dropped, and so is a status request that finds nothing.
     """
-    found = stage.save(_pointers(messages, policy, split), "chain-pointers")
+    named = _named(messages, policy)
+    firsts, pointers = _pointers(named, policy, split)
+    found = stage.save(pointers, "chain-pointers")
+    # messages that follow an order id have no row yet; those that are followed themselves get theirs
+    absent = found.where("up is not null").select(F.col("up").alias("seq")).distinct().join(found.select("seq"), "seq", "left_anti")
+    absent = stage.save(absent, "chain-absent")
+    if absent.limit(1).count():
+        through = named.where("__0 is not null").select("seq", "__0").join(absent, "seq", "left_semi").join(firsts, "__0")
+        every = stage.save(found.unionByName(through.select("seq", F.col("first").alias("up"))), "chain-pointers")
+        stage.drop(found)
+        found = every
     followed = found.where("up is not null").select(F.col("up").alias("seq")).distinct()
     hops = stage.save(found.where("up is not null").join(followed, "seq", "left_semi"), "chain-hops")
     for _ in range(max_rounds):
@@ -112,9 +180,13 @@ def resolve(messages: DataFrame, policy: str = "A", split: int = SPLIT, max_roun
     else:
         raise RuntimeError(f"chains did not settle in {max_rounds} rounds")
     roots = hops.select(F.col("seq").alias("up"), F.col("up").alias("root"))
-    chains = found.join(roots, "up", "left").select("seq", F.coalesce("root", "up", "seq").alias("chain_id"))
-    out = messages.join(chains, "seq", "left" if policy == "A" else "inner")
-    return out.withColumn("chain_id", F.coalesce("chain_id", "seq")) if policy == "A" else out
+    chains = stage.save(found.join(roots, "up", "left").select("seq", F.coalesce("root", "up", "seq").alias("chain_id")), "chain-chains")
+    stage.drop(found, hops)
+    orders = stage.save(firsts.join(chains.withColumnRenamed("seq", "first"), "first").select("__0", "chain_id"), "chain-orders")
+    kept = [F.col(c) for c in messages.columns]
+    by_order = named.where("__0 is not null and __binds").join(orders, "__0").select(*kept, "chain_id")
+    others = named.where("__0 is null or not __binds").select(*kept).join(chains, "seq", "left" if policy == "A" else "inner")
+    return by_order.unionByName(others.select(*kept, F.coalesce("chain_id", "seq").alias("chain_id")))
 
 
 def chain_names(resolved: DataFrame) -> DataFrame:
