@@ -3,7 +3,11 @@
 The first stage assigns chains: each micro-batch is resolved against the stored
 identifier index, appends what it bound and writes its messages with
 ``chain_id``. The second keeps an order's status and terms as keyed state and
-emits a change row per message. Both read files written by the stage before, so
+emits a change row per message: :class:`FoldStage` folds a micro-batch in one
+pass over its sorted rows and keeps states in files, so neither the number of
+orders in a batch nor that of all orders so far is held in memory;
+:func:`fold_stream` is the same fold on Spark's state store, one call for each
+order. Both stages read files written by the stage before, so
 a restart from the checkpoint repeats a batch into the same result: sequence
 numbers and arrival times are part of the input, never stamped again.
 """
@@ -15,7 +19,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordertape.operators import messages
@@ -154,6 +159,145 @@ def fold_stream(resolved: DataFrame) -> DataFrame:
     return resolved.select("chain_id", *_FOLD_INPUT).groupBy("chain_id").applyInPandasWithState(step, CHANGES, _STATE, "append", "NoTimeout")
 
 
+#: Message columns of the fold, and what a state holds besides the figures of its last change row: open requests, execution ids, execution type.
+_FOLDED = ("seq", "ts", "msg_type", "cl_ord_id", "exec_id", "ord_status", "exec_type", "cum_qty", "leaves_qty", "avg_px")
+_CARRIED = "ord_status string, update_count bigint, cum_qty double, leaves_qty double, avg_px double, held string"
+
+
+def _folded_of_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Change rows of messages sorted by chain and sequence; a chain's earlier state, if any, is its first row (without a sequence number).
+
+    The last row of a chain tells in ``held`` what its figures do not.
+    """
+    from ordertape.functions.codes import EXEC_TYPE, ORD_STATUS
+
+    def number(value: str) -> float | None:
+        try:
+            found = float(value)
+        except ValueError:
+            return 0.0
+        return found if found == found else None
+
+    text = lambda v: v if v is not None and v.strip() else None
+    chain, started = None, False
+    status, prior, known, kind, updates, cum, leaves, avg = "UNSPECIFIED", {}, set(), None, 0, 0.0, 0.0, 0.0
+    names = [c.split()[0] for c in CHANGES.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.timestamp("us"), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.string()]
+    for batch in batches:
+        out = []
+        rows = zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns) if k != 2))
+        stamps = batch.column(2)
+        at = []
+        for n, (c, seq, msg, request, execution, given, exec_type, cum_qty, leaves_qty, avg_px, s_status, s_updates, s_cum, s_leaves, s_avg, s_held, last) in enumerate(rows):
+            if not started or c != chain:
+                chain, started = c, True
+                status, prior, known, kind, updates, cum, leaves, avg = "UNSPECIFIED", {}, set(), None, 0, 0.0, 0.0, 0.0
+            if s_held is not None:
+                status, updates, cum, leaves, avg = s_status, s_updates, s_cum, s_leaves, s_avg
+                prior, ids, kind = json.loads(s_held)
+                known = set(ids)
+                continue
+            before, request, execution, given = status, text(request), text(execution), text(given)
+            if msg == "8":
+                if execution is None or execution not in known:
+                    if given:
+                        status = ORD_STATUS.get(given, "UNSPECIFIED")
+                    if text(exec_type):
+                        kind = EXEC_TYPE.get(exec_type, "UNSPECIFIED")
+                    cum = number(cum_qty) if text(cum_qty) else cum
+                    leaves = number(leaves_qty) if text(leaves_qty) else leaves
+                    avg = number(avg_px) if text(avg_px) else avg
+                    if request and kind in ("CANCELED", "REPLACED"):
+                        prior.pop(request, None)
+                    if execution is not None:
+                        known.add(execution)
+            elif msg == "D":
+                status = "PENDING_NEW" if status == "UNSPECIFIED" else status
+            elif msg == "F" or msg == "G":
+                if request:
+                    prior[request] = status
+                status = "PENDING_CANCEL" if msg == "F" else "PENDING_REPLACE"
+            elif msg == "9":
+                back = prior.pop(request, None) if request else None
+                status = back if back is not None else ORD_STATUS.get(given, "UNSPECIFIED") if given else status
+            updates += 1
+            held = json.dumps([prior, sorted(known), kind]) if last else None
+            out.append((c, seq, status, before if updates > 1 else None, updates, cum, leaves, avg, "CREATE" if updates == 1 else "UPDATE", held))
+            at.append(n)
+        columns = list(zip(*out)) if out else [()] * (len(types) - 1)
+        arrays = [pa.array(x, t) for x, t in zip(columns, types[:2] + types[3:])]
+        arrays.insert(2, stamps.cast(types[2]).take(pa.array(at, pa.int64())))
+        yield pa.RecordBatch.from_arrays(arrays, names=[*names, "held"])
+
+
+class FoldStage:
+    """``foreachBatch`` sink that folds messages with ``chain_id`` into change rows (:data:`CHANGES`), as :func:`fold_stream` does.
+
+    The last change row of a chain in a batch holds its state, so a batch is written once. A batch reads the states of its own chains from the
+    batches before it: a repeated batch overwrites itself with the same rows. Null chains and texts, empty batches and repeated executions are
+    handled as :func:`fold_stream` does; a batch may hold a chain's messages in any order.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def changes(self) -> DataFrame:
+        """All change rows so far."""
+        return self._read(self._batches(), CHANGES)
+
+    def states(self, before: int | None = None) -> DataFrame:
+        """``chain_id`` and the state after the last message of batches before ``before``."""
+        run = max((n for n in self._numbers("states") if before is None or n <= before), default=0)
+        fresh = [n for n in self._batches() if n >= run and (before is None or n < before)]
+        rows = self._read(fresh, f"chain_id bigint, {_CARRIED}").where("held is not null")
+        if run:
+            rows = rows.unionByName(self.spark.read.schema(rows.schema).parquet(self._path("states", run)))
+        carried = F.struct(*(c.split()[0] for c in _CARRIED.split(", ")))
+        return rows.groupBy("chain_id").agg(F.max_by(carried, "update_count").alias("x")).select("chain_id", "x.*")
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("chain_id", *_FOLDED)
+        carried = [c.split() for c in _CARRIED.split(", ")]
+        if any(n < batch_id for n in self._batches()):
+            mine = rows.select(F.col("chain_id").alias("__mine")).distinct()
+            old = self.states(batch_id).join(mine, F.col("chain_id").eqNullSafe(F.col("__mine")), "left_semi")
+            # state columns have names of their own, as messages state some of them too
+            old = old.select("chain_id", *(F.col(c).alias(f"__{c}") for c, _ in carried))
+            rows = rows.unionByName(old, allowMissingColumns=True)
+        else:
+            rows = rows.select("*", *(F.lit(None).cast(kind).alias(f"__{c}") for c, kind in carried))
+        w = Window.partitionBy("chain_id").orderBy("seq")
+        dealt = rows.repartition("chain_id").withColumn("__last", F.lead("seq").over(w).isNull()).sortWithinPartitions("chain_id", "seq")
+        stage.put(dealt.mapInArrow(_folded_of_sorted, f"{CHANGES}, held string"), self._path("changes", batch_id))
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            self.compact(batch_id)
+
+    def compact(self, batch_id: int) -> None:
+        """The states of batches before ``batch_id`` as one run with one row for each chain; the run is written before the older ones go."""
+        stage.put(self.states(batch_id), self._path("states", batch_id))
+        for n in self._numbers("states"):
+            if n < batch_id:
+                stage.delete(self.spark, self._path("states", n))
+
+    def _path(self, name: str, n: int) -> str:
+        return f"{self.folder}/{name}/batch={n:012d}"
+
+    def _numbers(self, name: str) -> list[int]:
+        """Batches (or runs) that are complete."""
+        fs, top = fs_of(self.spark, f"{self.folder}/{name}")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = [s.getPath().getName().partition("=")[2] for s in fs.listStatus(top)] if fs.exists(top) else []
+        return sorted(int(n) for n in found if n and fs.exists(path(f"{self._path(name, int(n))}/_SUCCESS")))
+
+    def _batches(self) -> list[int]:
+        return self._numbers("changes")
+
+    def _read(self, batches: list[int], schema: str) -> DataFrame:
+        if not batches:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*(self._path("changes", n) for n in batches))
+
+
 class Snapshots:
     """State snapshots anchored at a sequence number; the newest readable one wins."""
 
