@@ -13,8 +13,9 @@ many short pieces fill every gap. Between epochs
 each island receives the best packing of its neighbour (a shuffle of packings,
 not of texts). The best packing of each shard is the result.
 
-Whitespace-separated chunks are tokenised once each and remembered; this equals
-tokenising the whole text because the tokenizer never joins across white space.
+Whitespace-separated chunks are tokenised once for each slice of text, most of them
+by array operations; this equals tokenising the whole text because the tokenizer
+never joins across white space.
 
 Defined cases: null text counts as empty and becomes a piece of the end id;
 rows that repeat an id are packed each (``copy`` tells them apart); very long
@@ -24,8 +25,8 @@ empty result.
 
 from __future__ import annotations
 
+import json
 import math
-import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -47,74 +48,225 @@ GENERATIONS = 24
 POPULATION = 6
 #: Generations without fewer bins after which a search ends.
 PATIENCE = 5
-#: Latin letters that no normal form changes, then at most one mark.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,:;!?]?)")
+#: Longest word in bytes that is merged by array operations; longer ones go to the tokenizer.
+_LONGEST = 48
+#: What the array operations reproduce: the normal form and lower case leave the letters of Latin-1 apart, and these words are cut out.
+_NORMALIZERS = {"NFC", "Replace", "Lowercase"}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_OTHER, _LETTER, _DIGIT, _MARK = range(4)
+
+
+class Merges:
+    """Byte-pair merges of many short words at once: of each word the pair of lowest rank, the leftmost among equals, round by round."""
+
+    _BITS, _EMPTY, _NONE = 18, np.uint32(0xFFFFFFFF), np.int32(1 << 24)
+
+    def __init__(self, vocab: dict[str, int], merges: list, suffix: str) -> None:
+        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        letters = [chr(b if b in printable else next(others)) for b in range(256)]
+        self.inner = np.array([vocab[x] for x in letters], np.int32)
+        self.final = np.array([vocab[x + suffix] for x in letters], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
+        if max(vocab.values()) >= 0xFFFF or len(np.unique(keys)) < len(keys):
+            raise ValueError("too many tokens, or a pair that is merged in two ways")
+        # open addressing: a key lies at its place or in the unbroken run of used places behind it
+        self.keys, self.ranks = np.full(1 << self._BITS, self._EMPTY), np.zeros(1 << self._BITS, np.int32)
+        at, todo = self._place(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == self._EMPTY]
+            place, one = np.unique(at[free], return_index=True)
+            self.keys[place], self.ranks[place] = keys[free[one]], free[one]
+            todo = np.setdiff1d(todo, free[one], assume_unique=True)
+            at[todo] = (at[todo] + 1) & ((1 << self._BITS) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint32(2654435761)) >> np.uint32(32 - self._BITS)).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of each pair; ``_NONE`` where it is never merged."""
+        keys = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+        at = self._place(keys)
+        held = self.keys[at]
+        out = np.where(held == keys, self.ranks[at], self._NONE)
+        rest = np.flatnonzero((held != keys) & (held != self._EMPTY))
+        at = at[rest]
+        while len(rest):
+            at = at + 1 & ((1 << self._BITS) - 1)
+            held, mine = self.keys[at], keys[rest]
+            same = held == mine
+            out[rest[same]] = self.ranks[at[same]]
+            more = ~same & (held != self._EMPTY)
+            rest, at = rest[more], at[more]
+        return out
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words (none empty, none over ``_LONGEST`` bytes) in one run, and the number of ids of each."""
+        count, found = np.empty(len(starts), np.int64), []
+        for n in np.unique(lengths).tolist():
+            words = np.flatnonzero(lengths == n)
+            symbols = self.inner[data[starts[words] + np.arange(n)[:, None]]]
+            symbols[-1] = self.final[data[starts[words] + n - 1]]
+            for ended, ids in self._rounds(symbols, words):
+                count[ended] = len(ids)
+                found.append((ended, ids))
+        first = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), "<u4")
+        for ended, ids in found:
+            at = first[ended]
+            for k, row in enumerate(ids):
+                out[at + k] = row
+        return out, count
+
+    def _rounds(self, symbols: np.ndarray, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A row for each place, a column for each word; each round takes a place from every word that is left.
+
+        Keys hold the rank and, in six bits, the place of a pair.
+        """
+        place = np.arange(len(symbols), dtype=np.int32)[:, None]
+        keys = self.rank(symbols[:-1].ravel(), symbols[1:].ravel()).reshape(len(symbols) - 1, len(words)) << 6 | place[:-1]
+        while len(symbols) > 1:
+            least = keys.min(axis=0)
+            left = least < 1 << 29
+            if not left.all():
+                yield words[~left], symbols[:, ~left]
+                symbols, keys, least, words = symbols[:, left], keys[:, left], least[left], words[left]
+            if not len(words):
+                return
+            p, column = least & 63, np.arange(len(words))
+            symbols = np.where(place[:len(symbols) - 1] <= p, symbols[:-1], symbols[1:])
+            symbols[p, column] = self.made[least >> 6]
+            # pairs behind the merged one move up by a place, and the two that it is part of now are looked up
+            keys = np.where(place[:len(keys) - 1] < p, keys[:-1], keys[1:] - 1)
+            for at, on in ((p - 1, p > 0), (p, p < len(keys))):
+                at, on = at[on], column[on]
+                keys[at, on] = self.rank(symbols[at, on], symbols[at + 1, on]) << 6 | at
+        yield words, symbols
 
 
 class ChunkTokenizer:
-    """Ids of white-space separated chunks as packed 32-bit numbers.
+    """Ids of white-space separated chunks.
 
-    The first ``most`` different chunks are remembered (frequent ones come early);
-    later ones are tokenised again in each slice of text that holds them.
+    Chunks of printable ASCII but the apostrophe and of Latin-1's letters are cut into words and merged by array
+    operations, where the tokenizer's settings are those that these reproduce. All others go to the tokenizer; the first
+    ``most`` different ones are remembered (frequent ones come early), later ones are tokenised again in each slice of text
+    that holds them.
     """
 
     def __init__(self, path: str, most: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.full, self.most, self.known = Tokenizer.from_file(path), most, {}
-        self.model = self.full.model
-        # byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.alphabet = {b: b for b in printable} | {b: 256 + k for k, b in enumerate(others)}
-        #: plain Latin words skip normaliser and splitter where these leave them alone but for their case
-        probe = "Abcdefghij Zyx, abc! \u00c9t\u00e9 stra\u00dfe"
-        apart = b"".join(self._word(w) for w in ("abcdefghij", "zyx", ",", "abc", "!", "\u00e9t\u00e9", "stra\u00dfe"))
-        self.direct = self._pack(self.full.encode(probe, add_special_tokens=False).ids) == apart
-
-    @staticmethod
-    def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return self._pack([t.id for t in self.model.tokenize(mapped)])
-
-    def ids(self, chunks: list[str]) -> list[bytes]:
+        with open(path, encoding="utf-8") as file:
+            self.merges = self._merges(json.load(file))
+
+    def _merges(self, told: dict) -> Merges | None:
+        model, cut = told["model"], told.get("pre_tokenizer") or {}
+        forms, cuts = (told.get("normalizer") or {}).get("normalizers", []), cut.get("pretokenizers", [])
+        plain = model.get("type") == "BPE" and not any(
+            model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        known = {x["type"] for x in forms} == _NORMALIZERS and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+        if not (plain and known and told.get("post_processor") is None and told.get("truncation") is None and told.get("padding") is None):
+            return None
+        blanks = [(x["pattern"], x["content"]) for x in forms if x["type"] == "Replace"]
+        if blanks != [({"Regex": r"\s+"}, " ")] or cuts[0]["pattern"] != {"Regex": _WORDS} or cuts[0]["behavior"] != "Removed" \
+                or not cuts[0]["invert"] or cuts[1].get("add_prefix_space") or cuts[1].get("use_regex"):
+            return None
+        kind = np.full(256, _OTHER, np.uint8)
+        kind[33:127] = _MARK
+        kind[ord("0"):ord("9") + 1] = _DIGIT
+        kind[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0xC0), 0xC3]] = _LETTER
+        kind[ord("'")] = _OTHER
+        for token in told.get("added_tokens", []):  # the tokenizer looks for these itself
+            first = token["content"][:1]
+            if not first or first.isspace() or token.get("lstrip") or token.get("rstrip"):
+                return None
+            kind[[x.encode()[0] for x in (first.lower(), first.upper())]] = _OTHER
+        self.kind = kind
+        try:
+            return Merges(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
+        except (KeyError, ValueError):
+            return None
+
+    def _encoded(self, chunks: list[str]) -> list[np.ndarray]:
         out = list(map(self.known.get, chunks))
-        rest, plain = [], _PLAIN.fullmatch
-        for k in [k for k, x in enumerate(out) if x is None]:
-            m = plain(chunks[k]) if self.direct else None
-            if m is None:
-                rest.append(k)
-                continue
-            out[k] = self._word(m[1].lower()) + (self._word(m[2]) if m[2] else b"")
-            if len(self.known) < self.most:
-                self.known[chunks[k]] = out[k]
+        rest = [k for k, x in enumerate(out) if x is None]
         for k, e in zip(rest, self.full.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False)):
-            out[k] = self._pack(e.ids)
+            out[k] = np.array(e.ids, "<u4")
             if len(self.known) < self.most:
                 self.known[chunks[k]] = out[k]
         return out
 
+    def ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the chunks in one run, where each chunk starts in it and its number of ids; chunks hold no ASCII white space."""
+        n = len(chunks)
+        start, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        other, flat = np.ones(n, bool), np.zeros(0, "<u4")
+        if self.merges is not None and n:
+            wide = pa.types.is_large_string(chunks.type)
+            bounds = np.frombuffer(chunks.buffers()[1], np.int64 if wide else np.int32)[chunks.offset:chunks.offset + n + 1].astype(np.int64)
+            data = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[bounds[0]:bounds[-1]]
+            bounds -= bounds[0]
+            kind = self.kind[data]
+            behind = np.zeros(len(data), bool)  # second byte of a letter of Latin-1
+            behind[1:] = data[:-1] == 0xC3
+            bad = (kind == _OTHER) | ((data & 0xC0 == 0x80) & ~behind) | (behind & ((data == 0x97) | (data == 0xB7)))
+            upper = (data >= 65) & (data <= 90) | behind & (data <= 0x9E)
+            lower = data + (upper.view(np.uint8) << 5)
+            begin = np.ones(len(data), bool)
+            begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+            begin[bounds[:-1][bounds[:-1] < len(data)]] = True
+            words = np.flatnonzero(begin)
+            lengths = np.diff(words, append=len(data))
+            first = np.searchsorted(words, bounds)
+            before = np.concatenate(([0], np.cumsum(bad)))
+            other = before[bounds[1:]] > before[bounds[:-1]]
+            other[np.searchsorted(bounds, words[lengths > _LONGEST], side="right") - 1] = True
+            mine = np.where(other, 0, np.diff(first))
+            use = np.repeat(~other, np.diff(first))
+            flat, count = self.merges.words(lower, words[use], lengths[use])
+            edges, sums = np.concatenate(([0], np.cumsum(mine))), np.concatenate(([0], np.cumsum(count)))
+            start, size = sums[edges[:-1]], np.diff(sums[edges])
+        rest = np.flatnonzero(other)
+        if len(rest):
+            more = self._encoded(chunks.take(pa.array(rest)).to_pylist())
+            size[rest] = [len(x) for x in more]
+            start[rest] = len(flat) + np.cumsum(size[rest]) - size[rest]
+            flat = np.concatenate([flat, *more])
+        return flat, start, size
+
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one run, and where each text starts in it (one more at the end)."""
         lists = pc.ascii_split_whitespace(pc.fill_null(column, ""))
         # blanks at the ends give empty chunks, which have no ids
         offsets = lists.offsets.to_numpy()
         words = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        unique = self.ids(words.dictionary.to_pylist())
-        size = np.array([*map(len, unique), 0], np.int64) // 4
-        flat = np.frombuffer(b"".join(unique), "<u4")
-        start = np.concatenate(([0], np.cumsum(size[:-1])))
+        flat, start, size = self.ids(words.dictionary)
         index = words.indices.to_numpy()
         lengths = size[index]
         ends = np.cumsum(lengths)
-        at = np.repeat(start[index] - (ends - lengths), lengths) + np.arange(int(lengths.sum()))
+        at = np.repeat(start[index] - (ends - lengths), lengths)
+        at += np.arange(len(at))
         bounds = np.concatenate(([0], ends))[offsets - offsets[0]]
         return flat[at], bounds
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Small batches as one of about ``most`` bytes at most, so that their common words are read once; larger ones as they are."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            end_id: int = END_ID) -> DataFrame:
     """``(doc_id, copy, piece, start, length, ids_crc32)``; ``copy`` numbers rows so that repeated ids stay apart."""
@@ -127,20 +279,20 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         if tokenizer not in held:
             held[tokenizer] = ChunkTokenizer(tokenizer)
         tok = held[tokenizer]
-        for batch in batches:
+        for batch in _gathered(batches, 4 * SLICE_BYTES):
             for part in slices(batch, "text", 4 * SLICE_BYTES):
                 ids, bounds = tok.texts(part.column(1))
-                rows, piece, start, length, crc = [], [], [], [], []
-                for k in range(part.num_rows):
-                    mine = np.append(ids[bounds[k]:bounds[k + 1]], np.uint32(end_id)).astype("<u4")
-                    for n, a in enumerate(range(0, len(mine), capacity)):
-                        cut = mine[a:a + capacity]
-                        rows.append(k)
-                        piece.append(n)
-                        start.append(a)
-                        length.append(len(cut))
-                        crc.append(zlib.crc32(cut.tobytes()))
-                take = pa.array(rows, pa.int64())
+                ids = np.insert(ids, bounds[1:], end_id).astype("<u4", copy=False)
+                first = bounds + np.arange(len(bounds))
+                whole = np.diff(first)
+                count = -(-whole // capacity)
+                rows = np.repeat(np.arange(len(whole)), count)
+                piece = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(whole[rows] - start, capacity)
+                at, view = first[rows] + start, memoryview(ids).cast("B")
+                crc = [zlib.crc32(view[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+                take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(2).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                      pa.array(length, pa.int64()), pa.array(crc, pa.int64())],

@@ -200,6 +200,32 @@ def test_packing_equals_the_tokenizer(spark, texts):
     assert max(by_sequence.values()) <= 2048
 
 
+def test_packing_reads_new_words_without_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, full = np.random.default_rng(11), Tokenizer.from_file(tokenizer_path())
+    letters = np.array([*"abcdeinorstTHEXz\u00e9\u00c9\u00df\u00fc0179,.&!-(\"@"])
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 49))) for _ in range(300)) for _ in range(10)]
+    tok = packing.ChunkTokenizer(tokenizer_path())
+    tok.full = tok.model = None
+    ids, bounds = tok.texts(pa.array([*texts, None]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in full.encode_batch([*texts, ""], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_packing_of_odd_chunks_equals_the_tokenizer(kind):
+    import pyarrow as pa
+
+    rng, tok = np.random.default_rng(12), packing.ChunkTokenizer(tokenizer_path())
+    letters = np.array([*"abcdefTHEing  019'<|>&.\t", *"\u00c0\u00de\u00df\u00ff\u00d7\u00f7\u00aa\u00b5\u0130\u01c5\u03a3\ufb01\u0301\u2028\u00a0\u4e2d\x01\x1c\x7f"])
+    texts = ["".join(rng.choice(letters, rng.integers(0, 80))) for _ in range(4000)]
+    texts += ["a" * n for n in (47, 48, 49, 3000)] + ["<|endoftext|>", "x<|EndOfText|>y", "x<|endoftext|>y,", "don't we'LL", None, ""]
+    ids, bounds = tok.texts(pa.array(texts, getattr(pa, kind)()).slice(2))
+    wanted = tok.full.encode_batch([t or "" for t in texts[2:]], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in wanted]
+
+
 def test_packing_improves_on_random_order():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 1400, 300).tolist()
